@@ -8,8 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import media, mixing, packing, tokencodes, topk
+from labelwright.llm import langid, media, minhash, mixing, packing, substring, tokencodes, topk, toxicity
 from labelwright.llm.common import cut, documents
+from labelwright.llm.fitting import held_out
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = toxicity.score(docs.select("doc_id", "text"), model, "score")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(documents(spark, sf_dir)))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +57,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
+    "op4_repeats": op4_repeats,
     "op5_pack": op5_pack,
     "op6_media": op6_media,
     "op7_token_codes": op7_token_codes,
