@@ -1,6 +1,58 @@
-STAGES = []
+"""From raw documents to packed sequences: five stages, each a training-data operator whose decisions take effect."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelwright.llm import langid, minhash, mixing, packing, substring
+from labelwright.llm.common import cut, documents
+
+#: A text whose best language has less than this mean probability over its words is in none of the languages learnt.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or in no known language go."""
+    rows = langid.identify(docs, langid.train(docs), "_language")
+    return rows.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest doc_id."""
+    found = minhash.near_duplicates(docs, percent=80)
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; a document that loses its last word goes."""
+    rows = substring.remove_repeats(docs, spacing=True).filter("n_removed = 0 OR n_removed < n_words")
+    text = F.col("kept").alias("text")
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return rows.select(*[text if c == "text" else size if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it, from not at all to three times."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of powers of two, at most 1,024 ids, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packed", packed)]
+
+#: A learnt field of features and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``; each but the last is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

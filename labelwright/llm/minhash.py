@@ -126,7 +126,7 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(classes: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame | None:
+def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """(id, root) of every class that is linked with another."""
     buckets = _buckets(classes)
     stars = buckets.filter("id <> lo").select(*_pair("id", "lo")).distinct()
@@ -160,7 +160,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame
     return roots
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links of percent / 100 or more) and kept.
 
     Null and empty texts have no shingles and no link. Rows that repeat a doc_id count as one document with each of their

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import langid, media, minhash, mixing, packing, substring, tokencodes, topk, toxicity
+from labelwright.llm import langid, media, minhash, mixing, packing, quotes, substring, tokencodes, topk, toxicity
 from labelwright.llm.common import cut, documents
 from labelwright.llm.fitting import held_out
 
@@ -48,6 +48,10 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencodes.read_documents(shards)
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.chats(quotes.thread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(documents(spark, sf_dir))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pack": op5_pack,
     "op6_media": op6_media,
     "op7_token_codes": op7_token_codes,
+    "op8_quotes": op8_quotes,
     "op9_mix": op9_mix,
     "op10_top_k": op10_top_k,
 }

@@ -34,10 +34,10 @@ CHARS = 1 << 21
 KEYED = "k1 long, k2 long, text string"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     """k1, k2 name a row by its content, so any evaluation of the input gives the same names. Rows alike share a name and a result."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id.isNull(), text).alias("k2"), text.alias("text"))
+    return docs.select(*more, F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id.isNull(), text).alias("k2"), text.alias("text"))
 
 
 class _Windows:
@@ -192,37 +192,41 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     return packed.groupBy("bucket").applyInArrow(_count(window), "k1 long, k2 long, begin long, end long")
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            out: tuple[list, ...] = ([], [], [])
-            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = text.encode().split() if text else []
-                n = len(words)
-                if spans:
-                    keep = bytearray(b"\1") * n
-                    for s in spans:
-                        keep[s["begin"] : s["end"]] = bytes(s["end"] - s["begin"])
-                    words = [w for w, k in zip(words, keep, strict=True) if k]
-                for column, value in zip(out, (n, n - len(words), b" ".join(words).decode()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["row", "n_words", "n_removed", "kept"])
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` with n_words, n_removed and kept (the words outside repeated windows, joined by one space) in ``_dedup``.
-
-    Null and empty texts have no words and keep none; texts shorter than a window keep all; rows alike repeat each other
-    and lose every window. Columns may have any names: they travel in one struct, ``_doc``.
+def _kept(spacing: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out: tuple[list, ...] = ([], [], [])
+                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    words = text.encode().split() if text else []
+                    n = len(words)
+                    if spans:
+                        keep = bytearray(b"\1") * n
+                        for s in spans:
+                            keep[s["begin"] : s["end"]] = bytes(s["end"] - s["begin"])
+                        words = [w for w, k in zip(words, keep, strict=True) if k]
+                    kept = text if spacing and not spans else b" ".join(words).decode()
+                    for column, value in zip(out, (n, n - len(words), kept), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["row", "n_words", "n_removed", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot: int = HOT, spacing: bool = False) -> DataFrame:
+    """row (a struct of the other columns, by whatever names), n_words, n_removed and kept, for each row of ``docs``.
+
+    ``kept`` is the words outside repeated windows, joined by one space; with ``spacing`` a text that loses nothing stays
+    as it was. Null and empty texts have no words; texts shorter than a window keep all; rows alike repeat each other
+    and lose every window.
     """
     spans = repeated_spans(docs, window, minimiser, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = whole.select("row", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("k2"), "text")
-    joined = whole.withColumn("row", F.col("row").dropFields("text") if len(names) > 1 else F.col("row")).join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row")
+    named = _keyed(docs.select(others, "doc_id", "text"), "row")
+    joined = named.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_kept, f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_kept(spacing), f"row {kind}, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
