@@ -2,12 +2,12 @@
 
 Two small collections of ``BUNDLES`` bundles of ``ROWS`` minhashes each give BUNDLES ** 2 tables: a table's key is one bundle of
 the first joined with one of the second. So 2 * BUNDLES * ROWS minhashes serve where BUNDLES ** 2 * 2 * ROWS would be due, about the
-square root. A pair of similarity s shares no table with probability at most 2 * (1 - s ** ROWS) ** BUNDLES: 7e-5 at 0.85, 3e-6 at 0.9.
+square root. A pair of similarity s shares no table with probability at most 2 * (1 - s ** ROWS) ** BUNDLES: 2e-5 at 0.85, 4e-6 at 0.87.
 
 Texts of equal sets are one class from the start, so copies cost nothing further. A bundle that only one class has can't
-be in a shared key and goes before keys are formed. In a bucket candidates are pairs with one hub, not all pairs; links
-join classes to components, and a bucket is done when all of it is in one component. Buckets that are not get other hubs, and in
-the end all their pairs across components, so no candidate is left out.
+be in a shared key and goes before keys are formed. Each member of a bucket is first held against one hub, the bucket's
+smallest id. Where all that buckets connect is then one component, nothing is left to find. Where it isn't, the members outside
+the largest component are held against all members, tile by tile on full sets; a tile returns links, never pairs.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from labelwright.llm.components import components
 from labelwright.llm.tokenize import slices
 from labelwright.llm.words import Words, mix, runs_of
 
-SHINGLE, BUNDLES, ROWS = 5, 8, 2
+SHINGLE, BUNDLES, ROWS = 5, 12, 3
 HASHES = 2 * BUNDLES * ROWS
-#: Candidates agree in at least this many of their 32 minhashes; a pair of similarity 0.85 has fewer with probability 1e-8.
-AGREE = 14
-#: Hub rounds while a bucket's pairs across components are more than ``PAIRS_PER_ROW`` for each row of the buckets.
-HUB_ROUNDS, PAIRS_PER_ROW = 6, 4
+#: Hub pairs agree in at least this many of the 72 minhashes; a pair of similarity 0.8 has fewer with probability 1e-6.
+AGREE = 40
+#: Members of a tile; and of connected buckets up to which they are compared as one group. Larger ones are compared bucket by bucket.
+TILE, GROUP = 1024, 20_000
 #: Ids up to which the set of candidates is broadcast to the scan (8 bytes each); beyond it the scan is shuffled.
 BROADCAST_IDS = 500_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -109,55 +109,112 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(sizes & (agree >= AGREE)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * common >= percent * union on the full sets, made anew from the texts of the ids concerned."""
-    pairs = cut(pairs, "candidates")
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
-    few = ids.count() <= BROADCAST_IDS
-    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>")
-    sets = cut(sets, "sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * common >= percent * union on the full sets."""
     one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Common elements of each set of one group with each of another; (sizes, elements) each, elements of a set different."""
+    (n1, x1), (n2, x2) = one, two
+    known = np.unique(x1)
+    has = np.zeros((known.size, n1.size), np.int32)
+    has[np.searchsorted(known, x1), np.repeat(np.arange(n1.size), n1)] = 1
+    place = np.minimum(np.searchsorted(known, x2), known.size - 1)
+    hit = known[place] == x2
+    ends = np.cumsum(n2)
+    out = np.zeros((n2.size, n1.size), np.int64)
+    for i, (a, b) in enumerate(zip((ends - n2).tolist(), ends.tolist(), strict=True)):
+        out[i] = has[place[a:b][hit[a:b]]].sum(0)
+    return out.T
+
+
+def _tile_links(percent: int):
+    def links(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, sizes: np.ndarray, elements: np.ndarray) -> list[tuple[int, int]]:
+        """Links between different components of one tile, as few as join them."""
+        ends = np.cumsum(sizes)
+        low, high = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+
+        def part(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return sizes[own], np.concatenate([elements[ends[i] - sizes[i] : ends[i]] for i in own.tolist()])
+
+        common = _common(part(low), part(high))
+        union = sizes[low][:, None] + sizes[high][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * union) & (roots[low][:, None] != roots[high][None, :]))
+        top: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while top.get(r, r) != r:
+                r = top[r]
+            return r
+
+        out = []
+        for i, j in zip(low[x].tolist(), high[y].tolist(), strict=True):
+            p, q = find(int(roots[i])), find(int(roots[j]))
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        table = table.sort_by([("set", "ascending"), ("s", "ascending"), ("t", "ascending"), ("id", "ascending")])
+        columns = {c: table.column(c).to_numpy() for c in ("set", "s", "t", "id", "root", "side")}
+        lists = table.column("shingles").combine_chunks()
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        elements, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+        new = np.ones(sizes.size, bool)
+        new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in ("set", "s", "t")], axis=0)
+        edges = np.append(np.flatnonzero(new), sizes.size)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                found += links(columns["id"][a:b], columns["root"][a:b], columns["side"][a:b], sizes[a:b], elements[ends[a] - sizes[a] : ends[b - 1]])
+        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
+
+    return run
+
+
+def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside each set of members (set, id, root).
+
+    The members outside a set's largest component visit all others; those inside it don't visit each other. Tiles are dealt by
+    hash, so a set of any size is many tasks.
+    """
+    counts = members.groupBy("set", "root").agg(F.count("*").alias("n"))
+    of_set = counts.groupBy("set").agg(F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("members > largest")
+    inside = members.join(of_set, "set").withColumn("inner", F.col("root") == F.col("main"))
+    out_tiles, in_tiles = F.ceil((F.col("members") - F.col("largest")) / TILE), F.ceil(F.col("largest") / TILE)
+    inside = inside.withColumns({"outs": out_tiles, "ins": in_tiles})
+    own = F.when(F.col("inner"), F.col("outs") + F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outs")))
+    visits = inside.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("outs")).otherwise(F.col("outs") + F.col("ins")) - 1)))
+    visits = visits.select("set", "id", "root", "side", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"))
+    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = visits.join(sets, "id").withColumn("part", F.pmod(F.xxhash64("set", "s", "t"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(_tile_links(percent), "a long, b long")
+
+
+def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, root) of every class that is linked with another."""
     buckets = _buckets(classes)
-    stars = buckets.filter("id <> lo").select(*_pair("id", "lo")).distinct()
-    links = cut(_confirmed(_alike(stars, classes, percent), docs, percent), "links")
-    for turn in range(HUB_ROUNDS + 1):
-        roots = components(links)
-        named = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        named = cut(named, "named")
-        counted = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-        spread = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
-        open_ = cut(counted.groupBy("key").agg(spread.alias("pairs")).filter("pairs > 0"), "open")
-        pairs, left = open_.agg(F.coalesce(F.sum("pairs") / 2, F.lit(0)), F.count("*")).first()
-        if not left:
-            return roots
-        named = named.join(open_.select("key"), "key", "left_semi")
-        last = turn == HUB_ROUNDS or pairs <= PAIRS_PER_ROW * max(1_000, named.count())
-        if last:
-            other = named.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-            more = named.join(other, "key").filter("id < id2 AND root <> root2").select(*_pair("id", "id2"))
-        else:
-            hub = named.groupBy("key").agg(F.min_by(F.struct("id", "root"), F.xxhash64(F.lit(turn), "id")).alias("hub"))
-            more = named.join(hub, "key").filter(F.col("root") != F.col("hub.root")).select("id", F.col("hub.id").alias("id2")).select(*_pair("id", "id2"))
-        found = cut(_confirmed(_alike(more.distinct(), classes, percent), docs, percent), "links")
-        if found.isEmpty():
-            if last:
-                return roots
-            continue
-        links = links.union(found)
-        if last:
-            return components(links)
-    return roots
+    stars = cut(buckets.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    near = components(stars).withColumnRenamed("root", "set")
+    near = cut(near, "near")
+    few = near.count() <= BROADCAST_IDS
+    ids = near.select(F.col("id").alias("doc_id"))
+    sets = cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    links = cut(_confirmed(_alike(stars, classes, percent), sets, percent), "links")
+    roots = components(links)
+    members = near.join(roots, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root"))
+    sizes = near.groupBy("set").agg(F.count("*").alias("n"))
+    large = cut(sizes.filter(F.col("n") > GROUP), "large")
+    if not large.isEmpty():
+        apart = members.join(large, "set", "left_semi").select("id", "root").join(buckets.select("id", F.col("key").alias("set")), "id").select("set", "id", "root")
+        members = members.join(large, "set", "left_anti").unionByName(apart)
+    more = cut(_between(members, sets, percent), "links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
