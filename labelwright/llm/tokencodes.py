@@ -78,8 +78,8 @@ class Codes:
             whole = np.arange(BLOCK // 8)
             from_byte = block * (BLOCK // 8)
             inside = from_byte[:, None] + whole
-            rank += np.where(inside < (at >> 3)[:, None], _ONES[bits[np.minimum(inside, bits.size - 1)]], 0).sum(1)
-            rank += _ONES[bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)]
+            rank += np.where(inside < (at >> 3)[:, None], _ONES[bits[np.minimum(inside, bits.size - 1)]], 0).sum(1, dtype=np.int64)
+            rank += _ONES[bits[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8)].astype(np.int64)
             at = rank
         return out
 
