@@ -45,34 +45,42 @@ def linkage(df: DataFrame, method: str = "average", text_col: str = "text", id_c
     n = rows.count()
     if n > fit_rows:
         raise ValueError(f"{n} rows: fit a tree on {fit_rows} at most and label the rest by their nearest")
-    pairs = pairwise_distances(rows, "ascii", dense=method == "ward", id_col="id").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1).cast("long").alias("n"), (1 - F.col("distance")).alias("similar"), (F.col("distance") * F.col("distance")).alias("squares"), F.col("distance").alias("far"))
-    pairs = stored(pairs, "pairs")
-    clusters = rows.select("id", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("within"))
+    one, none = F.lit(1).cast("long"), F.lit(0.0)
+    state = pairwise_distances(rows, "ascii", dense=method == "ward", id_col="id").select(
+        F.col("i").alias("a"), F.col("j").alias("b"), one.alias("n"), (1 - F.col("distance")).alias("similar"), (F.col("distance") * F.col("distance")).alias("squares"), F.col("distance").alias("far"),
+        one.alias("size_a"), one.alias("size_b"), none.alias("within_a"), none.alias("within_b"))
+    columns = state.columns
     merges, turn = [], 0
     while True:
-        sides = [clusters.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("within").alias(f"within_{s}")) for s in "ab"]
-        full = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("d", _dissimilarity(method))
-        full = stored(full.withColumn("order", F.struct(F.round("d", 12), F.xxhash64("a", "b"), "a", "b")), "round")
-        if full.isEmpty():
-            break
+        # The state carries each side's size, so a round writes two tables: its merges and the next state.
+        state = stored(state, "state")
+        full = state.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.xxhash64("a", "b"), "a", "b"))
         ends = full.select("order", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("order").alias("best"))
         mutual = ends.groupBy("best").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("best").alias("order"))
-        merged = stored(full.join(mutual, "order").select("a", "b", F.col("d").alias("dissimilarity"), (F.col("size_a") + F.col("size_b")).alias("size"), (F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))).alias("within")), "merged")
-        merges.append(merged.select(F.lit(turn).alias("turn"), F.col("a").alias("keep1"), F.col("b").alias("keep2"), "dissimilarity", "size"))
-        to = merged.select(F.col("b").alias("id"), F.col("a").alias("to"))
-        grown = merged.select(F.col("a").alias("id"), F.col("size").alias("size2"), F.col("within").alias("within2"))
-        clusters = clusters.join(to.select("id"), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("size2", "size").alias("size"), F.coalesce("within2", "within").alias("within"))
-        clusters = stored(clusters, "clusters")
-        moved = reduce(lambda d, s: d.join(to.select(F.col("id").alias(s), F.col("to").alias(f"to_{s}")), s, "left"), "ab", full.select("a", "b", "n", "similar", "squares", "far"))
-        x, y = F.coalesce("to_a", "a"), F.coalesce("to_b", "b")
-        moved = moved.withColumns({"x": F.least(x, y), "y": F.greatest(x, y)}).filter("x <> y")
-        pairs = stored(moved.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(*[F.sum(c).alias(c) for c in ("n", "similar", "squares")], F.max("far").alias("far")), "pairs")
+        within = F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))
+        merged = stored(full.join(mutual, "order").select(F.col("a").alias("keep1"), F.col("b").alias("keep2"), F.col("d").alias("dissimilarity"), (F.col("size_a") + F.col("size_b")).alias("size"), within.alias("within")), "merged")
+        if merged.isEmpty():
+            break
+        merges.append(merged.select(F.lit(turn).alias("turn"), "keep1", "keep2", "dissimilarity", "size"))
+        moved = state
+        for s in "ab":
+            new = merged.select(F.explode(F.array("keep1", "keep2")).alias(s), F.col("keep1").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
+            moved = moved.join(new, s, "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
+        turned = F.col("to_a") > F.col("to_b")
+        sides = {f"{c}_{s}": F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("to", "size", "within") for s, o in ("ab", "ba")}
+        moved = moved.filter("to_a <> to_b").withColumns(sides)
+        sums = [F.sum(c).alias(c) for c in ("n", "similar", "squares")] + [F.max(c).alias(c) for c in ("far", "size_a", "size_b", "within_a", "within_b")]
+        state = moved.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(*sums).select(*columns)
         turn += 1
     # What is left shares no token: all of it merges at 1, one after another, into the smallest.
-    left = Window.orderBy("id")
-    rest = clusters.select(F.lit(turn).alias("turn"), F.min("id").over(Window.partitionBy()).alias("keep1"), F.col("id").alias("keep2"), F.lit(1.0).alias("dissimilarity"), F.sum("size").over(left).alias("size"), F.row_number().over(left).alias("r")).filter("r > 1")
-    every = reduce(DataFrame.unionByName, merges, rest.drop("r"))
-    return dendrogram(every, rows, n)
+    tree = reduce(DataFrame.unionByName, merges) if merges else None
+    left = rows.select("id").withColumn("size", one)
+    if tree is not None:
+        grown = tree.groupBy(F.col("keep1").alias("id")).agg(F.max("size").alias("grown"))
+        left = left.join(tree.select(F.col("keep2").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "size").alias("size"))
+    order = Window.orderBy("id")
+    rest = left.select(F.lit(turn).alias("turn"), F.min("id").over(Window.partitionBy()).alias("keep1"), F.col("id").alias("keep2"), F.lit(1.0).alias("dissimilarity"), F.sum("size").over(order).alias("size"), F.row_number().over(order).alias("r")).filter("r > 1").drop("r")
+    return dendrogram(rest if tree is None else tree.unionByName(rest), rows, n)
 
 
 def dendrogram(merges: DataFrame, rows: DataFrame, n: int) -> DataFrame:
