@@ -5,9 +5,10 @@ the first joined with one of the second. So 2 * BUNDLES * ROWS minhashes serve w
 square root. A pair of similarity s shares no table with probability at most 2 * (1 - s ** ROWS) ** BUNDLES: 2e-5 at 0.85, 4e-6 at 0.87.
 
 Texts of equal sets are one class from the start, so copies cost nothing further. A bundle that only one class has can't
-be in a shared key and goes before keys are formed. Each member of a bucket is first held against one hub, the bucket's
-smallest id. Where all that buckets connect is then one component, nothing is left to find. Where it isn't, the members outside
-the largest component are held against all members, tile by tile on full sets; a tile returns links, never pairs.
+be in a shared key and goes before keys are formed. What buckets connect is a set; its members are first held against two hubs, the
+member that shares most buckets and their own smallest. Where a set is then one component, nothing is left to find. Where it
+isn't, the members outside the largest component are held against all members, tile by tile on full sets; a tile returns
+links, never pairs.
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     counts = members.groupBy("set", "root").agg(F.count("*").alias("n"))
     of_set = counts.groupBy("set").agg(F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("members > largest")
+    of_set = cut(of_set, "open")
     inside = members.join(of_set, "set").withColumn("inner", F.col("root") == F.col("main"))
     out_tiles, in_tiles = F.ceil((F.col("members") - F.col("largest")) / TILE), F.ceil(F.col("largest") / TILE)
     inside = inside.withColumns({"outs": out_tiles, "ins": in_tiles})
@@ -196,16 +198,35 @@ def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(_tile_links(percent), "a long, b long")
 
 
+def _connected(buckets: DataFrame) -> DataFrame:
+    """id, set (smallest id that buckets connect it with), lo (its smallest bucket's hub), shared (its buckets).
+
+    First by one link an id, to its smallest hub; what other buckets connect beyond that is few links between roots.
+    """
+    first = cut(buckets.groupBy("id").agg(F.min("lo").alias("lo"), F.count("*").alias("shared")), "hubs")
+    roots = components(first.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    first = cut(first.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    one, two = first.select("id", F.col("root").alias("a")), first.select(F.col("id").alias("lo"), F.col("root").alias("b"))
+    more = cut(buckets.select("id", "lo").join(one, "id").join(two, "lo").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    near = first
+    if not more.isEmpty():
+        up = components(more).select(F.col("id").alias("root"), F.col("root").alias("up"))
+        near = near.join(up, "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up")
+    return cut(near.select("id", F.col("root").alias("set"), "lo", "shared"), "near")
+
+
 def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, root) of every class that is linked with another."""
     buckets = _buckets(classes)
-    stars = cut(buckets.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    near = components(stars).withColumnRenamed("root", "set")
-    near = cut(near, "near")
+    near = _connected(buckets)
     few = near.count() <= BROADCAST_IDS
     ids = near.select(F.col("id").alias("doc_id"))
     sets = cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    links = cut(_confirmed(_alike(stars, classes, percent), sets, percent), "links")
+    hubs = near.groupBy("set").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("hub"))
+    hubs = cut(hubs, "hubs")
+    pairs = near.join(hubs, "set").select("id", F.explode(F.array_distinct(F.array("hub", "lo"))).alias("hub")).filter("id <> hub")
+    pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = cut(_confirmed(_alike(pairs, classes, percent), sets, percent), "links")
     roots = components(links)
     members = near.join(roots, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root"))
     sizes = near.groupBy("set").agg(F.count("*").alias("n"))
@@ -233,3 +254,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     whole = sketches.drop("sketch").join(named, content, "left")
     component = F.coalesce("root", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+#: The same result by comparing all texts that share a shingle; links followed by recursion.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM d
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT DISTINCT a AS id, a AS root FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.root
+), c AS (
+  SELECT id, min(root) AS root FROM r GROUP BY id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(doc_id = coalesce(root, doc_id), false) AS kept
+FROM s LEFT JOIN c ON c.id = s.doc_id
+"""

@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE, "op4_repeats": substring.ORACLE, "op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE}
