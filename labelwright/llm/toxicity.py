@@ -25,8 +25,8 @@ from labelwright.llm.fitting import held_out, sample, texts_of
 
 #: Learnt from at most about this many texts of each label.
 TEXTS_PER_LABEL = 1_000
-#: A stem stands in so many toxic sample texts and in this share of them at least, and in at most so few others for each of them.
-STEM_TEXTS, STEM_SHARE, STEM_MISS, STEM_SHORT, STEM_LONG = 3, 0.025, 0.02, 4, 8
+#: A stem stands in so many toxic sample texts and in this share of them at least, and this many times as often in them as in others.
+STEM_TEXTS, STEM_SHARE, STEM_RATIO, STEM_SHORT, STEM_LONG = 4, 0.025, 5.0, 4, 8
 #: Closed-class words of the four languages, by their part in a clause.
 TARGET = frozenset("you your yours yourself he him she her they them u tu te toi vous votre du dich dir euch ihr ihn sie usted ustedes tus vosotros".split())
 NEGATION = frozenset("not no never isn aren wasn don doesn didn nor without nicht kein keine keinen nie niemals ohne pas jamais sans nunca jamás sin".split())
@@ -42,6 +42,10 @@ OTHER, INSULT, MENACE, ADDRESS, DENIAL, REPORT, QUOTE = range(7)
 #: What the grammar puts out for a match: plain or at a target, denied, reported; threats apart.
 PLAIN, TARGETED, DENIED, SAID, THREATENED = range(5)
 OUTPUTS = 5
+#: Characters by which a text's length enters the curve: long texts meet stems by chance.
+LENGTH, LENGTH_RIDGE, OUTPUT_RIDGE = 500, 20.0, 5.0
+#: Sums of matches beyond this say no more.
+ENOUGH = 10.0
 
 
 @dataclass(frozen=True)
@@ -135,50 +139,57 @@ class Grammar:
                 total[i] += weight
         return total
 
+    def inputs(self, text: str | None) -> list[float]:
+        """What the curve weighs: 1, all matches' sum, each output's own beside it (but the plain one's), the length's logarithm."""
+        found = self.matches(text)
+        return [1.0, min(sum(found), ENOUGH) / 5, *(min(m, ENOUGH) / 5 for m in found[1:]), math.log1p(len(text or "") / LENGTH)]
+
     def score(self, text: str | None) -> float:
-        x = self.curve[0] + sum(w * math.log1p(m) for w, m in zip(self.curve[1:].tolist(), self.matches(text), strict=True))
+        x = sum(w * v for w, v in zip(self.curve.tolist(), self.inputs(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def learn_stems(labelled: list[tuple[str, int]]) -> dict[str, float]:
     """Stems and whole words (``$``) that mark toxic texts, weighted by log odds of text counts.
 
-    A stem covers longer ones, unless one of them stands in nearly all its texts and takes its place. Equal texts count once.
+    A stem must pass what chance would give by four deviations, in texts and in different neighbours, so copies of one text
+    make no stem. A longer stem stays beside a shorter one only if it says clearly more. Equal texts count once.
     """
     texts = [(re.findall(r"[^\W\d_]+", t.lower()), y) for t, y in sorted(set(labelled))]
     size = Counter(y for _, y in texts)
-    clean_words = Counter(w for words, y in texts if not y for w in set(words))
-    per_text = Counter(w for words, y in texts if y for w in set(words))
+    per_word = {y: Counter(w for words, z in texts if z == y for w in set(words)) for y in (0, 1)}
 
     def stems(word: str) -> list[str]:
         return [word[:n] for n in range(STEM_SHORT, min(len(word), STEM_LONG) + 1)] + [word + "$"]
 
-    clean, most = Counter(), Counter()
-    for s, n in ((s, n) for w, n in per_text.items() for s in stems(w)):
+    most, clean = Counter(), Counter()
+    for s, n in ((s, n) for w, n in per_word[1].items() for s in stems(w)):
         most[s] += n
-    for s, n in ((s, n) for w, n in clean_words.items() for s in stems(w) if s in most):
+    for s, n in ((s, n) for w, n in per_word[0].items() for s in stems(w) if s in most):
         clean[s] += n
-    # A copied passage is one occurrence: what counts is different neighbours, not texts.
-    fit_ = {s for s, n in most.items() if n >= STEM_TEXTS and clean[s] <= STEM_MISS * size[1]}
-    own = {w: [s for s in stems(w) if s in fit_] for w in per_text}
-    places: dict[str, set] = defaultdict(set)
+    likely = {s for s, n in most.items() if n >= STEM_TEXTS and 2 * n * size[0] >= STEM_RATIO * clean[s] * size[1]}
+    own = {w: found for w in set(per_word[0]) | set(per_word[1]) if (found := [s for s in stems(w) if s in likely])}
+    counts, places = {0: Counter(), 1: Counter()}, defaultdict(set)
     for words, y in texts:
+        counts[y].update({s for w in words for s in own.get(w, ())})
         if y:
             for left, word, right in zip(["", *words], words, [*words[1:], ""], strict=False):
-                for s in own[word]:
+                for s in own.get(word, ()):
                     places[s].add((left, right))
-    toxic = {s: len(p) for s, p in places.items()}
     least = max(STEM_TEXTS, STEM_SHARE * size[1])
     found: dict[str, float] = {}
-    for s, n in sorted(toxic.items(), key=lambda x: (len(x[0]), x[0])):
-        if n < least or clean[s] > STEM_MISS * n:
+    for s, n in sorted(counts[1].items(), key=lambda x: (len(x[0]), x[0])):
+        chance = (counts[0][s] + 1) / (size[0] + 1) * size[1]
+        weight = math.log((n + 0.5) / (size[1] + 1)) - math.log((counts[0][s] + 0.5) / (size[0] + 1))
+        if min(n, len(places[s])) < max(least, chance + 4 * math.sqrt(chance) + 2) or weight < math.log(STEM_RATIO):
             continue
         shorter = [s[:k] for k in range(STEM_SHORT, len(s)) if s[:k] in found]
-        if any(n < 0.95 * toxic[x] for x in shorter):
+        if any(n < 0.95 * counts[1][x] and weight < found[x] + 1 for x in shorter):
             continue
         for x in shorter:
-            del found[x]
-        found[s] = math.log((n + 0.5) / (size[1] + 1)) - math.log((clean[s] + 0.5) / (size[0] + 1))
+            if n >= 0.95 * counts[1][x]:
+                del found[x]
+        found[s] = weight
     return found
 
 
@@ -187,23 +198,23 @@ def fit(labelled: list[tuple[str, int]], share: float | None = None, steps: int
 
     For the curve each half of the texts is matched with stems of the other half, so it doesn't trust them too much.
 
-    ``share``: of label 1 among all labelled rows, to set the sample's labels in their true proportion.
+    ``share``: of label 1 among all labelled rows; the sample's labels weigh as half-way between it and the sample's own share.
     """
     y = np.array([t for _, t in labelled], float)
-    model = Grammar(learn_stems(labelled), np.zeros(OUTPUTS + 1))
+    model = Grammar(learn_stems(labelled), np.zeros(OUTPUTS + 2))
     if not len(y) or y.min() == y.max():
         model.curve[0] = 0.0 if not len(y) else 5.0 if y[0] else -5.0
         return model
     halves = [Grammar(learn_stems(labelled[k::2]), model.curve) for k in (1, 0)]
-    x = np.column_stack([np.ones(len(y)), np.log1p([halves[i % 2].matches(t) for i, (t, _) in enumerate(labelled)])])
-    share = y.mean() if share is None else share
+    x = np.array([halves[i % 2].inputs(t) for i, (t, _) in enumerate(labelled)])
+    share = y.mean() if share is None else (share + y.mean()) / 2
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    curve = np.zeros(OUTPUTS + 1)
-    penalty = np.diag([0.0] + [ridge] * OUTPUTS)
+    curve = np.zeros(OUTPUTS + 2)
+    penalty = np.diag([0.0, ridge] + [OUTPUT_RIDGE] * (OUTPUTS - 1) + [LENGTH_RIDGE])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
         slope = x.T @ (weight * (p - y)) + penalty @ curve
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(OUTPUTS + 1)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(OUTPUTS + 2)
         curve = curve - np.linalg.solve(bend, slope)
     model.curve = curve
     return model

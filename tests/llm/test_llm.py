@@ -169,7 +169,7 @@ def test_toxicity(spark):
 
 
 def test_grammar_states():
-    g = toxicity.Grammar({"dolt$": 5.0, "grub": 4.0}, np.zeros(6))
+    g = toxicity.Grammar({"dolt$": 5.0, "grub": 4.0}, np.zeros(7))
     p, t, d, s, m = range(5)
     for text, at, weight in (("a dolt", p, 5), ("you are a dolt", t, 5), ("he is not a dolt", d, 5), ("she said he was a dolt", s, 5), ('a "dolt" again', s, 5), ("i will kill you", m, 1), ("grublike thing", p, 4)):
         out = g.clause(text)
