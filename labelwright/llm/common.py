@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,20 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HOLDER: list = [None, None]
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Say that a Python worker's memory now is ``owner``'s: the one before, if another, drops what it kept (``clear``).
+
+    Workers live on from stage to stage, so each stage's caches would add up otherwise.
+    """
+    if _HOLDER[0] != owner:
+        if _HOLDER[1]:
+            _HOLDER[1]()
+        _HOLDER[:] = [owner, clear]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

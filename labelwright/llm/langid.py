@@ -8,6 +8,7 @@ probabilities, and a text's language is the one with the largest mean over its w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.llm.common import hold
 from labelwright.llm.fitting import held_out, sample, texts_of
 from labelwright.llm.tokenize import slices
 from labelwright.llm.words import mix, powers
@@ -28,7 +30,9 @@ TEXTS_PER_LANGUAGE = 300
 EPOCHS, RATE, STRETCH, LENGTH = 15, 0.3, 16, 64
 #: Longer texts are labelled in parts of so many words.
 PART = 512
-CACHE = 500_000
+CACHE = 300_000
+#: The words one worker has scored: places in a table, and the table. It belongs to one field at a time.
+_SEEN: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,28 +122,26 @@ class Field:
     languages: list[str]
     weights: np.ndarray
     moves: np.ndarray
-    places: dict[str, int] = field(default_factory=dict)
-    known: list[np.ndarray] = field(default_factory=list)
-
-    def __getstate__(self):
-        return self.__dict__ | {"places": {}, "known": []}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of different words and whether they have letters, from the cache or anew."""
-        new = [w for w in words if w not in self.places]
-        if len(self.places) + len(new) > CACHE:
-            self.places, self.known, new = {}, [], words
+        hold(f"language {self.name}", _SEEN.clear)
+        places, table = _SEEN.get("words", ({}, np.zeros((0, len(self.languages) + 1), np.float32)))
+        new = [w for w in words if w not in places]
+        if len(places) + len(new) > CACHE:
+            places, table, new = {}, table[:0], words
         if new:
             feature, at = features(new)
-            self.known.append(np.column_stack([emissions(self.weights, feature, at), np.diff(at) > 0]))
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            if len(self.known) > 1:
-                self.known = [np.concatenate(self.known)]
-        table = self.known[0] if self.known else np.zeros((0, len(self.languages) + 1), np.float32)
-        mine = table[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
+            places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
+            table = np.concatenate([table, np.column_stack([emissions(self.weights, feature, at), np.diff(at) > 0]).astype(np.float32)])
+            _SEEN["words"] = places, table
+        mine = table[np.fromiter(map(places.__getitem__, words), np.int64, len(words))]
         return mine[:, :-1], mine[:, -1] > 0
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
         codes = lists.flatten().dictionary_encode()
         scores, lettered = self.rows(codes.dictionary.to_pylist())
@@ -154,7 +156,7 @@ class Field:
             begins = lists.offsets.to_numpy()[:-1][some]
             sums[some, :-1] = np.add.reduceat(chances, begins, axis=0, dtype=np.float64)
             sums[some, -1] = np.add.reduceat(lettered[index], begins, dtype=np.int64)
-        best = sums[:, :-1].argmax(1) if len(self.languages) else np.zeros(len(texts), int)
+        best = sums[:, :-1].argmax(1)
         names = [self.languages[b] if n > 0.5 else "und" for b, n in zip(best.tolist(), sums[:, -1].tolist(), strict=True)]
         shares = [min(1.0, max(0.0, s[b] / s[-1])) if s[-1] > 0.5 else 0.0 for s, b in zip(sums, best.tolist(), strict=True)]
         return names, shares
@@ -222,7 +224,7 @@ def identify(docs: DataFrame, model: Field, column: str = "language") -> DataFra
         field_ = shared.value
         for batch in batches:
             rows, names, scores = batch.tolist(), [], []
-            for a, b in slices(rows):
+            for a, b in slices(rows, 1 << 21):
                 got = field_.label(rows[a:b])
                 names += got[0]
                 scores += got[1]

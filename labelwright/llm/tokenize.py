@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from labelwright.llm.common import hold
+
 #: The Unicode White_Space characters, as the tokenizers' own patterns see them.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Letters that are one composed character in either case.
@@ -123,12 +125,17 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and Python worker."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a file, one for each Python worker, with its cache."""
+    hold(f"tokens {path}", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def slices(texts: list[str | None], chars: int = 1 << 22):
     """Index ranges of about ``chars`` characters, so a batch's tokens never are in memory all at once."""
     start = size = 0

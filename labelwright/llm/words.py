@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -23,17 +21,19 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _INVERSE = _U(pow(int(_ODD), -1, 1 << 64))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _ODD), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: The longest tables of powers made so far in this process.
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd number and of its inverse modulo 2**64."""
-    up, down = _powers(1 << max(16, n.bit_length()))
-    return up[:n], down[:n]
+    if _POWERS[0].size < n:
+        size = ((n >> 18) + 1) << 18
+        for i, base in enumerate((_ODD, _INVERSE)):
+            own = np.full(size, base)
+            own[0] = 1
+            _POWERS[i] = np.cumprod(own)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
