@@ -81,7 +81,7 @@ def _pack(strings: dict[bytes, list[tuple[int, int, int]]]) -> bytes:
     places = np.array([p for own in strings.values() for p in own], np.int64).reshape(-1, 3)
     n = np.fromiter(map(len, strings.values()), np.uint32, len(strings))
     raw = struct.pack("<II", len(strings), len(places)) + n.tobytes() + places.T.tobytes() + b"\n".join(strings)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
