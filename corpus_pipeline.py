@@ -20,10 +20,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that of the smallest doc_id, rows without one last.
+
+    Rows are named once and written, so rows that repeat a doc_id or have none are decided one by one.
+    """
+    named = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(named.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")
+    kept = groups.groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return named.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,18 @@ def test_stages(spark, docs):
     assert sum(r.length for r in packed) == total and all(len(struct.unpack(f"<{r.length}I", r.ids)) == r.length for r in packed)
 
 
+def test_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    long, unnamed, unique, short = (speech(rng, "xx", n) for n in (60, 50, 45, 12))
+    data = [(4, long), (4, long), (None, long), (None, unnamed), (None, unnamed), (2, short), (7, short), (7, unique), (5, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(a, b, "xx", "s", len(b or "")) for a, b in data], SCHEMA)
+    single = P.near_duplicates(spark, df, "")
+    assert single.columns == df.columns
+    want = [(4, long), (None, unnamed), (2, short), (7, unique), (5, None), (None, ""), (None, "")]
+    assert rows(single.select("doc_id", "text")) == sorted(want, key=repr)
+    assert rows(P.repeated_passages(spark, single, "").select("doc_id", "text")) == sorted(want, key=repr)
+
+
 def test_run_and_empty(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 0
