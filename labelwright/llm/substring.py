@@ -6,13 +6,16 @@ with that content meet. A bucket numbers its words, sorts its windows and counts
 
 Before they travel, equal strings of a task become one string with a list of places. A minimiser that many strings
 share (a passage that many texts quote in other surroundings) would fill one bucket; such a minimiser is found by
-counting beforehand, and its windows travel singly, dealt by their own content.
+counting beforehand, and its windows travel singly, dealt by their own content. A window that is itself so frequent is
+counted by its digest: it is known to be repeated, so its texts are marked where they are and its places never travel.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ BUCKETS_PER_PARTITION = 4
 HOT = 5_000
 CHARS = 1 << 21
 KEYED = "k1 long, k2 long, text string"
+SPANS = "k1 long, k2 long, begin long, end long"
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -77,6 +81,70 @@ def _hot(docs: DataFrame, window: int, m: int, hot: int) -> list[int]:
     return [r[0] for r in counted.filter(F.col("n") > hot).select("minimiser").collect()]
 
 
+def _alone(found: _Windows, many: np.ndarray) -> np.ndarray:
+    """The windows of hot minimisers, in order."""
+    single = np.isin(found.least, many)
+    return np.concatenate([np.arange(x, y) for x, y in zip(found.begin[single], found.end[single], strict=True)] or [np.zeros(0, np.int64)])
+
+
+def _digests(found: _Windows, alone: np.ndarray, window: int) -> list[bytes]:
+    """128 bits of each window's words."""
+    first = found.at[alone]
+    starts, ends = found.words.starts[first].tolist(), found.words.ends[first + window - 1].tolist()
+    return [blake2b(found.words.data[s:e], digest_size=16).digest() for s, e in zip(starts, ends, strict=True)]
+
+
+def _unsigned(minimisers: list[int]) -> np.ndarray:
+    return np.sort(np.array(minimisers, np.int64).view(np.uint64))
+
+
+def _heavy(docs: DataFrame, window: int, m: int, minimisers: list[int], hot: int) -> frozenset[bytes]:
+    """Digests of windows of hot minimisers that more than ``hot`` places have; as few as hot minimisers are. A window met once
+    in a slice is not counted there, so other windows have at most ``hot`` places and one a slice."""
+    if not minimisers:
+        return frozenset()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = _unsigned(minimisers)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts, CHARS):
+                found = _Windows(texts[a:b], window, m)
+                if found.n:
+                    seen = {d: n for d, n in Counter(_digests(found, _alone(found, many), window)).items() if n > 1}
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["digest", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    return frozenset(bytes(r[0]) for r in counted.filter(F.col("n") > hot).select("digest").collect())
+
+
+def _marked(window: int, m: int, hot: list[int], heavy: frozenset[bytes]):
+    """Spans that heavy windows cover, one for each stretch of neighbouring ones."""
+    names = ["k1", "k2", "begin", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = _unsigned(hot)
+        for batch in batches:
+            keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts, CHARS):
+                found = _Windows(texts[a:b], window, m)
+                if not found.n:
+                    continue
+                alone = _alone(found, many)
+                hit = alone[np.array([d in heavy for d in _digests(found, alone, window)], bool)]
+                if not hit.size:
+                    continue
+                text = found.text[hit]
+                place = found.at[hit] - found.words.first[text]
+                edge = np.flatnonzero((np.diff(place) != 1) | (np.diff(text) != 0))
+                low, high = np.append(0, edge + 1), np.append(edge, hit.size - 1)
+                rows = text[low] + a
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[0][rows], keys[1][rows], place[low], place[high] + window)], names=names)
+
+    return run
+
+
 def _pack(strings: dict[bytes, list[tuple[int, int, int]]]) -> bytes:
     places = np.array([p for own in strings.values() for p in own], np.int64).reshape(-1, 3)
     n = np.fromiter(map(len, strings.values()), np.uint32, len(strings))
@@ -92,9 +160,9 @@ def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return raw[at + 24 * places :].split(b"\n"), n, np.frombuffer(raw, np.int64, 3 * places, at).reshape(3, places)
 
 
-def _travel(window: int, m: int, buckets: int, hot: list[int]):
+def _travel(window: int, m: int, buckets: int, hot: list[int], heavy: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.sort(np.array(hot, np.int64).view(np.uint64))
+        many = _unsigned(hot)
         for batch in batches:
             keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
@@ -105,7 +173,9 @@ def _travel(window: int, m: int, buckets: int, hot: list[int]):
                 w, begin, end, to = found.words, found.begin, found.end, found.least
                 if many.size:
                     single = np.isin(to, many)
-                    alone = np.concatenate([np.arange(x, y) for x, y in zip(begin[single], end[single], strict=True)] or [np.zeros(0, np.int64)])
+                    alone = _alone(found, many)
+                    if heavy:
+                        alone = alone[np.array([d not in heavy for d in _digests(found, alone, window)], bool)]
                     own = runs_of(w.hashes, window)[found.at[alone]]
                     begin, end, to = (np.concatenate(x) for x in ((begin[~single], alone), (end[~single], alone + 1), (to[~single], own)))
                 first = found.at[begin]
@@ -187,8 +257,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
     many = _hot(keyed, window, minimiser, hot)
-    packed = keyed.select("k1", "k2", "text").mapInArrow(_travel(window, minimiser, buckets, many), "bucket int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(_count(window), "k1 long, k2 long, begin long, end long")
+    heavy = _heavy(keyed, window, minimiser, many, hot)
+    texts = keyed.select("k1", "k2", "text")
+    packed = texts.mapInArrow(_travel(window, minimiser, buckets, many, heavy), "bucket int, packed binary")
+    spans = packed.groupBy("bucket").applyInArrow(_count(window), SPANS)
+    return spans.unionByName(texts.mapInArrow(_marked(window, minimiser, many, heavy), SPANS)) if heavy else spans
 
 
 def _kept(spacing: bool):

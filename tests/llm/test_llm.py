@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -216,6 +217,26 @@ def test_repeats_edges(spark):
     assert got == {(1, 4, ""), (None, 0, "x y z w"), (2, 0, "p\n q")}
 
 
+def test_places_of_a_hot_window_stay(spark, monkeypatch):
+    """The windows of a passage that all texts have reach no counting group, and the result is the same."""
+    passage = "a b c d e f g h"
+    texts = [f"{i} {passage} {i * 7 + 1000}" for i in range(40)] + ["q r s t u v", "q r s t u w", "x y z"]
+    packed = []
+    pack = substring._pack
+    monkeypatch.setattr(substring, "_pack", lambda held: packed.append(held) or pack(held))
+    df = docs_of(spark, texts).select(F.lit(1).cast("long").alias("k1"), F.monotonically_increasing_id().alias("k2"), "text").coalesce(1)
+    many = substring._hot(df, 5, 2, 10)
+    heavy = substring._heavy(df, 5, 2, many, 10)
+    assert len(heavy) == 4
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
+    list(substring._travel(5, 2, 8, many, heavy)(iter([batch])))
+    assert max(len(places) for held in packed for places in held.values()) == 1
+    spans = pa.Table.from_batches(substring._marked(5, 2, many, heavy)(iter([batch])))
+    assert sorted(zip(spans["begin"].to_pylist(), spans["end"].to_pylist(), strict=True)) == [(1, 9)] * 40
+    got = sorted(map(tuple, substring.digest(substring.remove_repeats(docs_of(spark, texts), 5, 2, 10)).collect()))
+    assert [g[1:] for g in got] == kept_by_hand(texts, 5)
+
+
 # --- 5, 7 --------------------------------------------------------------------------------------------------------------------
 
 
