@@ -81,32 +81,100 @@ def links(parsed: DataFrame) -> DataFrame:
     return votes.groupBy("conv_id", "turn", "passage", "level").agg(best.alias("best")).select("conv_id", "turn", "passage", "level", F.col("best.original").alias("linked_turn"), F.when(F.col("best.original").isNotNull(), F.col("best.n")).otherwise(0).alias("matched"))
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the earlier rows of equal keys, in ``order``.
+
+    Rows are dealt by ranges of keys and order, so equal keys may lie in many parts: a sum inside the part and one over the
+    parts before. Only keys that go on from one part to the next have the latter, at most one a part.
+    """
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "dealt")
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "part").agg(F.sum(value).alias("whole")).withColumn("offset", F.sum("whole").over(earlier)).filter("offset IS NOT NULL")
+    offsets = offsets.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("part").alias("of_part"), "offset")
+    own = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("inside", F.sum(value).over(own))
+    same = F.col("part") == F.col("of_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    before = F.coalesce("inside", F.lit(0)) + F.coalesce("offset", F.lit(0))
+    return inside.join(F.broadcast(offsets), same, "left").select(*rows.columns, before.cast("long").alias("before"))
+
+
+def _sizes(inside: DataFrame) -> DataFrame:
+    """conv_id, turn, size: the rows of a message and of all that answer it, directly or not.
+
+    By doubling: ``size`` covers answers nearer than the ancestor ``head``, and each round adds those of the messages below.
+    """
+    state = inside.select("conv_id", "turn", F.col("reply_to").alias("head"), F.col("weight").alias("size"))
+    while True:
+        state = cut(state, "sizes")
+        below = state.filter("head IS NOT NULL")
+        if below.isEmpty():
+            return state.select("conv_id", "turn", "size")
+        gains = below.groupBy("conv_id", F.col("head").alias("turn")).agg(F.sum("size").alias("gain"))
+        up = below.select("conv_id", F.col("turn").alias("head"), F.col("head").alias("up"))
+        state = state.join(gains, ["conv_id", "turn"], "left").join(up, ["conv_id", "head"], "left").select("conv_id", "turn", F.col("up").alias("head"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+
+
+def _firsts(steps: DataFrame) -> DataFrame:
+    """conv_id, turn, first: the sum of ``step`` over a message and all above it, by doubling."""
+    state = steps.select("conv_id", "turn", F.col("reply_to").alias("head"), F.col("step").alias("first"))
+    while True:
+        state = cut(state, "firsts")
+        if state.filter("head IS NOT NULL").isEmpty():
+            return state.select("conv_id", "turn", "first")
+        up = state.select("conv_id", F.col("turn").alias("head"), F.col("head").alias("up"), F.col("first").alias("further"))
+        state = state.join(up, ["conv_id", "head"], "left").select("conv_id", "turn", F.col("up").alias("head"), (F.col("first") + F.coalesce("further", F.lit(0))).alias("first"))
+
+
+def _placed(parsed: DataFrame, outer: DataFrame) -> DataFrame:
+    """conv_id, turn, reply_to, weight (rows of the turn), first: the place of its first row. State a message is a few numbers.
+
+    A message stands behind the one it answers and the whole threads of that one's earlier answers.
+    """
+    nodes = cut(parsed.filter("conv_id IS NOT NULL").groupBy("conv_id", "turn").agg(F.count("*").alias("weight")).join(outer, ["conv_id", "turn"], "left"), "nodes")
+    ends = outer.select("conv_id", "turn").union(outer.select("conv_id", F.col("reply_to").alias("turn"))).distinct()
+    inside = cut(nodes.join(ends, ["conv_id", "turn"], "left_semi"), "inside")
+    sized = nodes.join(_sizes(inside), ["conv_id", "turn"], "left").withColumn("size", F.coalesce("size", "weight"))
+    beside = cut(running(sized, ["conv_id", "reply_to"], ["turn"], "size"), "beside")
+    above = inside.select("conv_id", F.col("turn").alias("reply_to"), F.col("weight").alias("above"))
+    steps = beside.join(ends, ["conv_id", "turn"], "left_semi").join(above, ["conv_id", "reply_to"], "left").withColumn("step", F.col("before") + F.coalesce("above", F.lit(0)))
+    return beside.join(_firsts(steps), ["conv_id", "turn"], "left").select("conv_id", "turn", "reply_to", "weight", F.coalesce("first", "before").alias("first"))
+
+
 def thread(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_quotes, n_linked, reply_to, position: every message, quotes taken out, placed in reply order.
 
     ``position`` counts from 0 in a conversation: a message comes after the one it answers and that one's earlier answers.
-    Null texts are empty; rows that repeat a turn stay, next to each other; messages without conversation or turn link with none.
+    Null texts are empty; rows that repeat a turn stay, next to each other; messages without conversation or turn link with none,
+    and each message without conversation is one of its own.
     """
-    parsed = cut(parse(messages), "messages")
+    parsed = cut(parse(messages).withColumn("row", F.monotonically_increasing_id()), "messages")
     found = cut(links(parsed), "quote-links")
-    outer = found.filter("linked_turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.max_by("linked_turn", F.struct(-F.col("level"), "linked_turn")).alias("reply_to"))
+    outer = cut(found.filter("linked_turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.max_by("linked_turn", F.struct(-F.col("level"), "linked_turn")).alias("reply_to")), "replies")
     counts = found.groupBy("conv_id", "turn").agg(F.count("linked_turn").alias("n_linked"))
-    # Paths of turns from the first message of a thread, by doubling: each round splices the path of the path's head's parent.
-    paths = outer.select("conv_id", "turn", F.col("reply_to").alias("head"), F.array("turn").alias("path"))
-    while True:
-        paths = cut(paths, "paths")
-        if paths.filter("head IS NOT NULL").isEmpty():
-            break
-        up = paths.select("conv_id", F.col("turn").alias("head"), F.col("head").alias("up"), F.col("path").alias("before"))
-        paths = paths.join(up, ["conv_id", "head"], "left").select("conv_id", "turn", F.col("up").alias("head"), F.concat(F.when(F.col("before").isNotNull(), F.col("before")).when(F.col("head").isNotNull(), F.array("head")).otherwise(F.array().cast("array<bigint>")), "path").alias("path"))
-    whole = parsed.join(outer, ["conv_id", "turn"], "left").join(counts, ["conv_id", "turn"], "left").join(paths.select("conv_id", "turn", "path"), ["conv_id", "turn"], "left")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.coalesce("path", F.array("turn")), "role", "text")) - 1
-    return whole.select("conv_id", "turn", "role", "text", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", place.alias("position"))
+    placed = cut(_placed(parsed, outer).join(counts, ["conv_id", "turn"], "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0))), "placed")
+    said = parsed.select("conv_id", "turn", "role", "text", F.size("quotes").alias("n_quotes"), "row")
+
+    def of(some: str) -> DataFrame:
+        p = placed.filter(some).withColumnsRenamed({"conv_id": "of_conv", "turn": "of_turn"})
+        return said.join(p, (said.conv_id == p.of_conv) & said.turn.eqNullSafe(p.of_turn)).select(*said.columns, "n_linked", "reply_to", "first", F.lit(1).alias("one"))
+
+    columns = ["conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_to"]
+    single = of("weight = 1").select(*columns, F.col("first").alias("position"))
+    repeated = running(of("weight > 1"), ["conv_id", "turn"], ["role", "text", "row"], "one").select(*columns, (F.col("first") + F.col("before")).alias("position"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    alone = said.filter("conv_id IS NULL").select("conv_id", "turn", "role", "text", "n_quotes", zero.alias("n_linked"), none.alias("reply_to"), zero.alias("position"))
+    return single.unionByName(repeated).unionByName(alone)
 
 
 def chats(threaded: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, turns, n_linked, chat: messages with text in reply order, ``segment`` of them at most in one chat text."""
+    """conv_id, segment, turns, n_linked, chat: messages with text in reply order, ``segment`` of them at most in one chat text.
+
+    Messages without conversation are a row each.
+    """
+    threaded = threaded.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     part = F.floor(F.col("position") / segment).alias("segment")
     line = F.struct("position", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("line"), F.col("turn").alias("turn"))
-    grouped = threaded.filter("text <> ''").groupBy("conv_id", part).agg(F.sort_array(F.collect_list(line)).alias("all"), F.sum("n_linked").alias("n_linked"))
+    grouped = threaded.filter("text <> ''").groupBy("conv_id", "alone", part).agg(F.sort_array(F.collect_list(line)).alias("all"), F.sum("n_linked").alias("n_linked"))
     return grouped.select("conv_id", "segment", F.transform("all", lambda x: x["turn"]).alias("turns"), "n_linked", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("chat"))

@@ -391,6 +391,29 @@ def test_quote_of_repeated_words_links_latest(spark):
     assert got[n].reply_to == n - 1 and got[n + 1].reply_to == n and got[n + 1].position == n + 1
 
 
+def test_reply_order_by_hand(spark):
+    """Against paths of turns, on chains, stars, forests, repeated and missing turns; no array grows with a thread's length."""
+    rng = random.Random(5)
+    messages, parent = [], {}
+    for conv, kind in enumerate(("chain", "star", "random", "flat")):
+        for t in range(70):
+            up = None if t == 0 or kind == "flat" else t - 1 if kind == "chain" else 0 if kind == "star" else rng.choice([None, *range(t)])
+            parent[conv, t] = up
+            for role in ("user",) * (1 + (t % 13 == 5)):
+                messages.append((conv, t, role, ("" if up is None else f"> say {up} x\n") + f"say {t} x"))
+    messages += [(2, None, "user", "q"), (None, 1, "a", "one"), (None, 1, "b", "two"), (None, None, "c", "three")]
+    rng.shuffle(messages)
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    path = lambda c, t: (-1,) if t is None else (*(path(c, parent[c, t]) if parent[c, t] is not None else ()), t)
+    want = [(c, t, i) for c in range(4) for i, t in enumerate(sorted((m[1] for m in messages if m[0] == c), key=lambda t: path(c, t)))]
+    threaded = quotes.thread(df).cache()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r.conv_id, r.turn, r.position) for r in threaded.collect() if r.conv_id is not None), key=key) == sorted(want, key=key)
+    assert {(r.conv_id, r.turn): r.reply_to for r in threaded.collect() if r.conv_id is not None and r.turn is not None} == parent
+    assert [r.position for r in threaded.filter("conv_id IS NULL").collect()] == [0, 0, 0]
+    assert sorted(r.chat for r in quotes.chats(threaded).filter("conv_id IS NULL").collect()) == ["<|a|>\none\n<|end|>", "<|b|>\ntwo\n<|end|>", "<|c|>\nthree\n<|end|>"]
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------------
 
 
