@@ -129,12 +129,18 @@ def nearest_neighbour(df: DataFrame, base: DataFrame, text_col: str = "text", id
 def classify_cluster(df: DataFrame, base: DataFrame, k: int = 3, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows with ``estimated``: the label of their nearest fitted row's cluster.
 
-    A base above ``fit_rows`` rows is sampled for the tree, by a hash of the id.
+    A base above ``fit_rows`` rows is sampled for the tree, by a hash of the id; its other rows join their nearest fitted row's
+    cluster, so all of the base votes on the clusters' labels.
     """
-    fitted = base
-    if base.count() > fit_rows:
+    fitted, sampled = base, base.count() > fit_rows
+    if sampled:
         fitted = stored(base.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows), "fitted")
     membership = stored(cut(linkage(fitted, method, text_col, id_col, fit_rows), fitted, k, id_col), "membership")
-    labels = cluster_labels(fitted, membership, id_col=id_col)
+    voters = membership
+    if sampled:
+        others = nearest_neighbour(base.join(fitted.select(id_col), id_col, "left_anti"), fitted, text_col, id_col)
+        joined = others.join(membership.withColumnRenamed("row_id", "base_id"), "base_id").select(F.col("query_id").alias("row_id"), "cluster")
+        voters = stored(membership.unionByName(joined), "voters")
+    labels = cluster_labels(base, voters, id_col=id_col)
     near = nearest_neighbour(df, fitted, text_col, id_col).join(membership.withColumnRenamed("row_id", "base_id"), "base_id").join(labels, "cluster")
     return df.join(near.select(F.col("query_id").alias(id_col), F.col("label").alias("estimated")), id_col, "left")

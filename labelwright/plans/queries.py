@@ -357,4 +357,4 @@ def classify_cluster(spark, sf_dir):
 
 @query("evaluate_cluster")
 def evaluate_cluster(spark, sf_dir):
-    return evaluate.confusion_matrix(evaluations.evaluate_cluster(labelled(spark, sf_dir), 3, fit_rows=500))
+    return evaluate.confusion_matrix(evaluations.evaluate_cluster(labelled(spark, sf_dir), 3))

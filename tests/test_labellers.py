@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from labelwright.operators import bayes, cluster, distance, evaluate, knn, wordlist
-from labelwright.plans import evaluations
+from labelwright.plans import evaluations, queries
 
 TEXTS = ["le chat noir dort", "le chien noir court", "un chat blanc", "", "   ", "chat chat chien", "rien de commun ici", "le chat noir dort bien", "zzz", "court le chien"]
 
@@ -158,3 +158,25 @@ def test_evaluations(spark, base):
     n = evaluate.stratified_split(base).filter("NOT is_train").count()
     assert evaluations.evaluate_wordlist(base, words).count() == evaluations.evaluate_knn(base, 2).count() == evaluations.evaluate_bayes(base).count() == n
     assert evaluations.evaluate_cluster(base, 2).count() == n
+
+
+def test_rows_outside_the_tree_vote(spark):
+    texts = ["red apple", "blue sky"]
+    data = [(i, texts[i % 2], 0 if i % 2 else 4) for i in range(40)]
+    df = spark.createDataFrame(data, "row_id long, text string, label int")
+    fitted = {r.row_id for r in df.orderBy(F.xxhash64("row_id"), "row_id").limit(4).collect()}
+    assert {i % 2 for i in fitted} == {0, 1}
+    # The fitted rows' own labels are the wrong ones; the many outside outvote them.
+    base = df.withColumn("label", F.when(F.col("row_id").isin(fitted), 2).otherwise(F.col("label")))
+    asked = spark.createDataFrame([(100, "red apple"), (101, "blue sky")], "row_id long, text string")
+    got = cluster.classify_cluster(asked, base, 2, fit_rows=4)
+    assert rows(got.select("row_id", "estimated")) == [(100, 4), (101, 0)]
+
+
+def test_registered_evaluation_has_the_stated_bound(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries.evaluations, "evaluate_cluster", lambda df, k, **more: asked.update(more))
+    monkeypatch.setattr(queries, "labelled", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries.evaluate, "confusion_matrix", lambda df: df)
+    queries.QUERIES["evaluate_cluster"](spark, "")
+    assert asked.get("fit_rows", cluster.FIT_ROWS) == cluster.FIT_ROWS == 2_000
