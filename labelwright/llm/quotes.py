@@ -169,12 +169,12 @@ def thread(messages: DataFrame) -> DataFrame:
 
 
 def chats(threaded: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, turns, n_linked, chat: messages with text in reply order, ``segment`` of them at most in one chat text.
+    """conv_id, segment, turns, n_linked, chat: messages with text or quotes in reply order, ``segment`` of them at most in one chat text.
 
-    Messages without conversation are a row each.
+    A message that only quotes has its turn and links here and no line in the chat. Messages without conversation are a row each.
     """
     threaded = threaded.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     part = F.floor(F.col("position") / segment).alias("segment")
-    line = F.struct("position", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "text", F.lit("\n<|end|>")).alias("line"), F.col("turn").alias("turn"))
-    grouped = threaded.filter("text <> ''").groupBy("conv_id", "alone", part).agg(F.sort_array(F.collect_list(line)).alias("all"), F.sum("n_linked").alias("n_linked"))
+    line = F.struct("position", F.when(F.col("text") != "", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "text", F.lit("\n<|end|>"))).alias("line"), F.col("turn").alias("turn"))
+    grouped = threaded.filter("text <> '' OR n_quotes > 0").groupBy("conv_id", "alone", part).agg(F.sort_array(F.collect_list(line)).alias("all"), F.sum("n_linked").alias("n_linked"))
     return grouped.select("conv_id", "segment", F.transform("all", lambda x: x["turn"]).alias("turns"), "n_linked", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("chat"))

@@ -414,6 +414,13 @@ def test_reply_order_by_hand(spark):
     assert sorted(r.chat for r in quotes.chats(threaded).filter("conv_id IS NULL").collect()) == ["<|a|>\none\n<|end|>", "<|b|>\ntwo\n<|end|>", "<|c|>\nthree\n<|end|>"]
 
 
+def test_messages_that_only_quote_stay(spark):
+    messages = [(1, 0, "user", "hello"), (1, 1, "bot", "> hello"), (1, 2, "user", "bye"), (2, 0, "user", "> one"), (2, 1, "user", "> two")]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.turns, r.n_linked, r.chat) for r in quotes.chats(quotes.thread(df)).collect()}
+    assert got == {1: ([0, 1, 2], 1, "<|user|>\nhello\n<|end|>\n<|user|>\nbye\n<|end|>"), 2: ([0, 1], 0, "")}
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------------------
 
 
