@@ -22,7 +22,7 @@ def _split(text: Column, pattern: str) -> Column:
 
 def words_ws(text: Column) -> Column:
     """Words between white space, lower-cased, in order, repeats kept."""
-    return F.transform(_split(text, WS), F.lower)
+    return _split(F.lower(text), WS)
 
 
 def tokens_ws(text: Column) -> Column:
@@ -52,10 +52,13 @@ def ngrams(text: Column, mode: str = "unibi") -> Column:
         return uni
     if mode not in ("bi", "unibi"):
         raise ValueError(f"mode {mode!r}: uni, bi or unibi")
-    n = F.size(uni) - 1
-    pairs = F.zip_with(F.slice(uni, 1, F.greatest(n, F.lit(0))), F.slice(uni, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    bi = F.when(n < 1, F.array().cast("array<string>")).otherwise(pairs)
-    return bi if mode == "bi" else F.concat(uni, bi)
+
+    def both(u: Column) -> Column:
+        n = F.greatest(F.size(u) - 1, F.lit(0))
+        bi = F.zip_with(F.slice(u, 1, n), F.slice(u, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return bi if mode == "bi" else F.concat(u, bi)
+
+    return F.transform(F.array(uni), both)[0]  # the words are bound to a name, so they are split once
 
 
 def representation(tokens: Column, mode: str = "frequency") -> Column:

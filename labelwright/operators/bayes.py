@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import LABELS, ngrams, representation
+from labelwright.tables import stored
 
 #: Additive smoothing by name.
 SMOOTHING = {"laplace": 1.0, "lidstone": 0.5}
@@ -62,7 +63,7 @@ def likelihoods(counts: DataFrame, totals: DataFrame, alpha: float = 1.0) -> Dat
 def train_bayes(df: DataFrame, alpha: float | str = 1.0, repr: str = "frequency", ngram: str = "unibi", text_col: str = "text", label_col: str = "label") -> BayesModel:
     a = SMOOTHING[alpha] if isinstance(alpha, str) else float(alpha)
     priors = class_priors(df, label_col)
-    counts = token_counts(df, repr, ngram, text_col, label_col)
+    counts = stored(token_counts(df, repr, ngram, text_col, label_col), "token-counts")  # vocabulary, totals and likelihoods read it
     totals = class_totals(priors, counts, a)
     return BayesModel(priors, totals, likelihoods(counts, totals, a), repr, ngram)
 
@@ -93,4 +94,5 @@ def bayes_argmax(scores: DataFrame, id_col: str = "row_id") -> DataFrame:
 
 
 def classify_bayes(df: DataFrame, model: BayesModel, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
-    return df.join(bayes_argmax(bayes_scores(df, model, text_col, id_col), id_col), id_col, "left")
+    """The rows with ``estimated``, in place of a column of that name."""
+    return df.drop("estimated").join(bayes_argmax(bayes_scores(df, model, text_col, id_col), id_col), id_col, "left")

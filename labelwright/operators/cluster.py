@@ -1,20 +1,19 @@
 """Hierarchical clustering as a labeller.
 
 The linkages built here are reducible, so all pairs of clusters that are each other's nearest may merge in one round and the
-tree is the same. A round is a few joins on a table of cluster pairs with additive sums; ties are broken by a hash of the
+tree is the same. A round is a few joins on a table of cluster pairs with additive sums, written once; ties are broken by a hash of the
 pair, so a field of equal distances merges many pairs a round. A cluster is named by its smallest member.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from labelwright.operators.distance import pairwise_distances
 from labelwright.operators.knn import knn_neighbours
-from labelwright.tables import stored
+from labelwright.tables import new_path, stored
 
 METHODS = ("average", "complete", "ward")
 #: Rows a tree is fitted on at most; more rows are labelled by their nearest fitted one.
@@ -50,37 +49,40 @@ def linkage(df: DataFrame, method: str = "average", text_col: str = "text", id_c
         F.col("i").alias("a"), F.col("j").alias("b"), one.alias("n"), (1 - F.col("distance")).alias("similar"), (F.col("distance") * F.col("distance")).alias("squares"), F.col("distance").alias("far"),
         one.alias("size_a"), one.alias("size_b"), none.alias("within_a"), none.alias("within_b"))
     columns = state.columns
-    merges, turn = [], 0
+    path = new_path(df.sparkSession, "tree")
+    # A round writes one table: the pairs that are left, with each side's size, and the merges it made.
+    state.select("*", F.lit(False).alias("merged"), none.alias("d")).write.parquet(f"{path}/turn=0")
+    schema = df.sparkSession.read.parquet(f"{path}/turn=0").schema
+    turn = 0
     while True:
-        # The state carries each side's size, so a round writes two tables: its merges and the next state.
-        state = stored(state, "state")
-        full = state.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.xxhash64("a", "b"), "a", "b"))
+        pairs = df.sparkSession.read.schema(schema).parquet(f"{path}/turn={turn}").filter("NOT merged").drop("merged", "d")
+        full = pairs.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.md5(F.concat_ws("|", "a", "b")), "a", "b"))
         ends = full.select("order", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("order").alias("best"))
-        mutual = ends.groupBy("best").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("best").alias("order"))
+        mutual = ends.groupBy("best").agg(F.count("*").alias("both")).filter("both = 2").select(F.col("best").alias("order"))
         within = F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))
-        merged = stored(full.join(mutual, "order").select(F.col("a").alias("keep1"), F.col("b").alias("keep2"), F.col("d").alias("dissimilarity"), (F.col("size_a") + F.col("size_b")).alias("size"), within.alias("within")), "merged")
-        if merged.isEmpty():
-            break
-        merges.append(merged.select(F.lit(turn).alias("turn"), "keep1", "keep2", "dissimilarity", "size"))
-        moved = state
+        merged = full.join(F.broadcast(mutual), "order").withColumns({"size": F.col("size_a") + F.col("size_b"), "within": within})  # at most a pair for two rows
+        moved = pairs
         for s in "ab":
-            new = merged.select(F.explode(F.array("keep1", "keep2")).alias(s), F.col("keep1").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
-            moved = moved.join(new, s, "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
+            new = merged.select(F.explode(F.array("a", "b")).alias(f"of_{s}"), F.col("a").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
+            moved = moved.join(F.broadcast(new), F.col(s) == F.col(f"of_{s}"), "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
         turned = F.col("to_a") > F.col("to_b")
         sides = {f"{c}_{s}": F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("to", "size", "within") for s, o in ("ab", "ba")}
         moved = moved.filter("to_a <> to_b").withColumns(sides)
         sums = [F.sum(c).alias(c) for c in ("n", "similar", "squares")] + [F.max(c).alias(c) for c in ("far", "size_a", "size_b", "within_a", "within_b")]
-        state = moved.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(*sums).select(*columns)
+        left = moved.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(*sums).select(*columns, F.lit(False).alias("merged"), none.alias("d"))
+        seen = Observation()
         turn += 1
+        left.unionByName(merged.select(*columns, F.lit(True).alias("merged"), "d")).observe(seen, F.count("*").alias("rows")).write.parquet(f"{path}/turn={turn}")
+        if not seen.get["rows"]:
+            break
+    made = df.sparkSession.read.schema(StructType([*schema, StructField("turn", IntegerType())])).parquet(path).filter("merged")
+    tree = stored(made.select("turn", F.col("a").alias("keep1"), F.col("b").alias("keep2"), F.col("d").alias("dissimilarity"), (F.col("size_a") + F.col("size_b")).alias("size")), "merges")
     # What is left shares no token: all of it merges at 1, one after another, into the smallest.
-    tree = reduce(DataFrame.unionByName, merges) if merges else None
-    left = rows.select("id").withColumn("size", one)
-    if tree is not None:
-        grown = tree.groupBy(F.col("keep1").alias("id")).agg(F.max("size").alias("grown"))
-        left = left.join(tree.select(F.col("keep2").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "size").alias("size"))
+    grown = tree.groupBy(F.col("keep1").alias("id")).agg(F.max("size").alias("grown"))
+    left = rows.select("id").withColumn("size", one).join(tree.select(F.col("keep2").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "size").alias("size"))
     order = Window.orderBy("id")
     rest = left.select(F.lit(turn).alias("turn"), F.min("id").over(Window.partitionBy()).alias("keep1"), F.col("id").alias("keep2"), F.lit(1.0).alias("dissimilarity"), F.sum("size").over(order).alias("size"), F.row_number().over(order).alias("r")).filter("r > 1").drop("r")
-    return dendrogram(rest if tree is None else tree.unionByName(rest), rows, n)
+    return dendrogram(tree.unionByName(rest), rows, n)
 
 
 def dendrogram(merges: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -126,21 +128,30 @@ def nearest_neighbour(df: DataFrame, base: DataFrame, text_col: str = "text", id
     return knn_neighbours(df, base, 1, "ascii", text_col, id_col, label_col).select("query_id", "base_id", "distance")
 
 
-def classify_cluster(df: DataFrame, base: DataFrame, k: int = 3, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows with ``estimated``: the label of their nearest fitted row's cluster.
+def fit_tree(base: DataFrame, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(fitted rows, merges): a base above ``fit_rows`` rows is sampled for the tree, by a hash of the id."""
+    fitted = base
+    if base.count() > fit_rows:
+        fitted = base.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|fit"))), id_col).limit(fit_rows)
+    fitted = stored(fitted, "fitted")
+    return fitted, stored(linkage(fitted, method, text_col, id_col, fit_rows), "tree")
+
 
-    A base above ``fit_rows`` rows is sampled for the tree, by a hash of the id; its other rows join their nearest fitted row's
-    cluster, so all of the base votes on the clusters' labels.
+def classify_by_tree(df: DataFrame, base: DataFrame, tree: tuple[DataFrame, DataFrame], k: int = 3, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    """The rows with ``estimated``, in place of a column of that name: the label of their nearest fitted row's cluster.
+
+    Rows of the base outside the tree join their nearest fitted row's cluster, so all of the base votes on the clusters' labels.
     """
-    fitted, sampled = base, base.count() > fit_rows
-    if sampled:
-        fitted = stored(base.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows), "fitted")
-    membership = stored(cut(linkage(fitted, method, text_col, id_col, fit_rows), fitted, k, id_col), "membership")
-    voters = membership
-    if sampled:
-        others = nearest_neighbour(base.join(fitted.select(id_col), id_col, "left_anti"), fitted, text_col, id_col)
-        joined = others.join(membership.withColumnRenamed("row_id", "base_id"), "base_id").select(F.col("query_id").alias("row_id"), "cluster")
-        voters = stored(membership.unionByName(joined), "voters")
+    fitted, merges = tree
+    membership = stored(cut(merges, fitted, k, id_col), "membership")
+    others = base.join(fitted.select(id_col), id_col, "left_anti")
+    near = nearest_neighbour(others, fitted, text_col, id_col).join(membership.withColumnRenamed("row_id", "base_id"), "base_id")
+    voters = stored(membership.unionByName(near.select(F.col("query_id").alias("row_id"), "cluster")), "voters")
     labels = cluster_labels(base, voters, id_col=id_col)
-    near = nearest_neighbour(df, fitted, text_col, id_col).join(membership.withColumnRenamed("row_id", "base_id"), "base_id").join(labels, "cluster")
-    return df.join(near.select(F.col("query_id").alias(id_col), F.col("label").alias("estimated")), id_col, "left")
+    asked = nearest_neighbour(df, fitted, text_col, id_col).join(membership.withColumnRenamed("row_id", "base_id"), "base_id").join(labels, "cluster")
+    return df.drop("estimated").join(asked.select(F.col("query_id").alias(id_col), F.col("label").alias("estimated")), id_col, "left")
+
+
+def classify_cluster(df: DataFrame, base: DataFrame, k: int = 3, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows with ``estimated``, by a tree of at most ``fit_rows`` rows of the base cut into k clusters."""
+    return classify_by_tree(df, base, fit_tree(base, method, text_col, id_col, fit_rows), k, text_col, id_col)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from labelwright.functions.text import tokens_ascii, tokens_ws
 
 QUERY_BLOCK, BASE_BLOCK = 256, 2048
+#: Tokens of a block, give or take a row: long texts make blocks of few rows, so a tile's tables stay small.
+BLOCK_TOKENS = 1 << 16
 BLOCK = "ids binary, sizes binary, hashes binary"
 TOKENS = {"ws": tokens_ws, "ascii": tokens_ascii}
 #: The distance of two rows without tokens, by kind of token.
@@ -31,6 +33,7 @@ def _sets(df: DataFrame, tokens: str, text_col: str, id_col: str) -> DataFrame:
 def blocks(df: DataFrame, size: int, tokens: str = "ws", text_col: str = "text", id_col: str = "row_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, list[int]]] = []
+        tokens_held = 0
 
         def block() -> pa.RecordBatch:
             ids, sets = np.array([i for i, _ in held], np.int64), [np.array(s, np.int64) for _, s in held]
@@ -40,9 +43,10 @@ def blocks(df: DataFrame, size: int, tokens: str = "ws", text_col: str = "text",
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append(row)
-                if len(held) == size:
+                tokens_held += len(row[1])
+                if len(held) == size or tokens_held >= BLOCK_TOKENS:
                     yield block()
-                    held = []
+                    held, tokens_held = [], 0
         if held:
             yield block()
 
@@ -61,7 +65,7 @@ def jaccard_tile(q: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     known = np.unique(qh)
     common = np.zeros((bs.size, qs.size), np.int32)
     if known.size:
-        has = np.zeros((known.size, qs.size), np.int32)
+        has = np.zeros((known.size, qs.size), np.uint8)
         has[np.searchsorted(known, qh), np.repeat(np.arange(qs.size), qs)] = 1
         place = np.minimum(np.searchsorted(known, bh), known.size - 1)
         hit = known[place] == bh
@@ -70,7 +74,7 @@ def jaccard_tile(q: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             for at in range(0, begin.size, 64):
                 first, last = begin[at], begin[at + 64] if at + 64 < begin.size else owner.size
-                common[owner[begin[at : at + 64]]] = np.add.reduceat(has[place[first:last]], begin[at : at + 64] - first)
+                common[owner[begin[at : at + 64]]] = np.add.reduceat(has[place[first:last]], begin[at : at + 64] - first, dtype=np.int32)
     common = common.T
     union = qs[:, None] + bs[None, :] - common
     return np.where(union > 0, (union - common) / np.maximum(union, 1), both_empty)

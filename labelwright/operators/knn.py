@@ -41,6 +41,6 @@ def vote(neighbours: DataFrame, kind: str = "majority") -> DataFrame:
 
 
 def classify_knn(df: DataFrame, base: DataFrame, k: int = 5, kind: str = "majority", text_col: str = "text", id_col: str = "row_id") -> DataFrame:
-    """The rows with ``estimated``, null where there is no answer."""
+    """The rows with ``estimated``, in place of a column of that name; null where there is no answer."""
     found = vote(knn_neighbours(df, base, k, "ws", text_col, id_col), kind)
-    return df.join(found.withColumnRenamed("query_id", id_col), id_col, "left")
+    return df.drop("estimated").join(found.withColumnRenamed("query_id", id_col), id_col, "left")

@@ -12,8 +12,8 @@ from labelwright.operators import bayes, clean, cluster, distance, evaluate, knn
 from labelwright.operators.edits import apply_label_edits
 from labelwright.plans import evaluations
 from labelwright.plans.views import labelled, messages, passages, raw_messages, table, words
-from labelwright.sources.files import decode_text
-from labelwright.tables import stored
+from labelwright.sources.files import decode_text, read_labelled, read_raw_csv, read_words, read_words_csv, write_labelled
+from labelwright.tables import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,14 @@ def rules_clean(spark, sf_dir):
     return clean.apply_rules(raw_messages(spark, sf_dir), clean.default_rules())
 
 
+@query("rules_replace", rf"""WITH {RAW} SELECT row_id, regexp_replace(replace(text, ':)', '<happy $1 \>'), '( |^)@[^ ]*( |\z)', '', 'g') AS text FROM raw
+ WHERE text IS NOT NULL AND NOT regexp_matches(text, '( |^)RT( |\z)')""")
+def rules_replace(spark, sf_dir):
+    """Rules given in any order are put in order: deletions, replacements (of plain text), trims."""
+    given = [clean.trim("user", r"( |^)@[^ ]*( |\z)"), clean.replace("smile", r":\)", "<happy $1 \\>"), clean.delete("retweet", r"( |^)RT( |\z)")]
+    return clean.apply_rules(raw_messages(spark, sf_dir), clean.order_rules(given))
+
+
 @query("rule_audit", f"""WITH {RULED} SELECT row_id, rule_no, rule, action, before, after FROM (
  SELECT row_id, 0 AS rule_no, 'mixed emotions' AS rule, 'delete' AS action, text AS before, CAST(NULL AS VARCHAR) AS after FROM r3 WHERE mixed
  UNION ALL SELECT row_id, 1, 'retweet', 'delete', text, NULL FROM r3 WHERE NOT mixed AND rt
@@ -111,10 +119,60 @@ def edits(spark, sf_dir):
     return apply_label_edits(labelled(spark, sf_dir), e)
 
 
-@query("decode_text", "SELECT doc_id AS row_id, text, 'UTF-8' AS encoding FROM documents")
+@query("decode_text", r"""SELECT doc_id AS row_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '€ 5 “café” ' || t ELSE 'café ' || t END AS text,
+ CASE doc_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'windows-1252' ELSE 'ISO-8859-1' END AS encoding FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM documents)""")
 def decoded(spark, sf_dir):
-    misread = messages(spark, sf_dir).withColumn("raw", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
-    return misread.withColumn("d", decode_text(F.col("raw"))).select("row_id", "d.text", "d.encoding")
+    """Every document's bytes, in turn UTF-8, windows-1252 and ISO-8859-1, as a reader of the last sees them."""
+    kind, ascii_only = F.col("row_id") % 3, F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    misread = F.when(kind == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).when(kind == 1, F.concat(F.lit("\x80 5 \x93caf\xe9\x94 "), ascii_only)).otherwise(F.concat(F.lit("caf\xe9 "), ascii_only))
+    return messages(spark, sf_dir).withColumn("d", decode_text(misread)).select("row_id", "d.text", "d.encoding")
+
+
+# --- files: each query writes a given table into the shared folder and reads it back ------------------------------------------
+
+
+@query("read_raw_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def raw_csv(spark, sf_dir):
+    path = new_path(spark, "raw-csv")
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_raw_csv(spark, path).drop("row_id")
+
+
+_LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+
+
+def _written(spark, rows):
+    path = new_path(spark, "labelled")
+    write_labelled(rows.select("rating", F.regexp_replace("text", r"[\r\n]+", " ").alias("message")), path)
+    return read_labelled(spark, path).select("label", "text")
+
+
+@query("read_labelled", f"WITH {LABELLED} SELECT label, {_LINE} AS text FROM labelled")
+def labelled_files(spark, sf_dir):
+    """write_labelled and read_labelled: every labelled document as a line of a file."""
+    return _written(spark, labelled(spark, sf_dir).withColumnRenamed("label", "rating"))
+
+
+@query("write_cleaned", f"WITH {RULED} SELECT 2 AS label, {_LINE} AS text FROM (SELECT text FROM cleaned GROUP BY text)")
+def cleaned_files(spark, sf_dir):
+    return _written(spark, clean.clean(raw_messages(spark, sf_dir)))
+
+
+@query("read_words", f"SELECT DISTINCT lower(word) AS word, 'pos' AS polarity FROM (SELECT unnest({SPLIT}) AS word FROM documents)")
+def word_file(spark, sf_dir):
+    """A word a line, with space around it, from all documents."""
+    path = new_path(spark, "words")
+    messages(spark, sf_dir).select(F.explode(F.split("text", T.WS)).alias("w")).select(F.concat(F.lit("  "), "w", F.lit(" ")).alias("value")).write.text(path)
+    return read_words(spark, path, "pos")
+
+
+@query("read_words_csv", f"SELECT word, 'neg' AS polarity, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(array_to_string({SPLIT}, ' , '), ',')), '^\\s+|\\s+$', '', 'g') AS word FROM documents) WHERE word <> '' GROUP BY word")
+def word_csv_file(spark, sf_dir):
+    """A line of words with commas from each document; repeats and case are kept."""
+    path = new_path(spark, "words-csv")
+    words_ = F.filter(F.split(F.coalesce("text", F.lit("")), T.WS), lambda x: x != "")
+    messages(spark, sf_dir).select(F.array_join(words_, " , ").alias("value")).write.text(path)
+    return read_words_csv(spark, path, "neg").groupBy("word", "polarity").agg(F.count("*").alias("n"))
 
 
 # --- profiling --------------------------------------------------------------------------------------------------------------
@@ -132,6 +190,14 @@ def column_profile(spark, sf_dir):
     return profile.profile_columns(_sheet(spark, sf_dir), None)
 
 
+@query("match_headers", "SELECT turn % 3 * 2 AS rating, text FROM conversations")
+def match_headers(spark, sf_dir):
+    """The columns that the header names say, of a sheet that names both."""
+    sheet = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") % 3 * 2).alias("Polarity"), F.col("role").alias("user"), F.col("text").alias("Tweet"))
+    text, rating = profile.match_headers(sheet.columns)
+    return sheet.select(F.col(sheet.columns[rating]).alias("rating"), F.col(sheet.columns[text]).alias("text"))
+
+
 @query("sniff_columns", f"{_PROFILE} SELECT CAST(coalesce((SELECT pos FROM p WHERE max_len <= 280 ORDER BY 280 - avg_len, pos LIMIT 1), 1) AS INTEGER) AS data_column, CAST((SELECT min(pos) FROM p WHERE all_ratings) AS INTEGER) AS rating_column")
 def sniff_columns(spark, sf_dir):
     return profile.sniff_columns(_sheet(spark, sf_dir), None)
@@ -174,10 +240,19 @@ def classify_wordlist(spark, sf_dir):
 
 @query("annotate_wordlist", "WITH " + _COUNTS.format("list_transform(string_split(coalesce(text, ''), ' '), lambda x: trim(x))", "msg").replace("tok AS", "msg AS (SELECT conv_id * 1000 + turn AS row_id, text FROM conversations), tok AS") + f", l AS (SELECT msg.row_id, text, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM msg LEFT JOIN c USING (row_id)) SELECT {_LABEL.format(0.0)} AS rating, text FROM l")
 def annotate_wordlist(spark, sf_dir):
+    return _annotated(spark, sf_dir)
+
+
+def _annotated(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
     return wordlist.annotate_wordlist(rows, words(spark)).select("rating", "text")
 
 
+@query("write_annotated", f"SELECT rating AS label, {_LINE} AS text FROM ({ORACLE_SQL['annotate_wordlist']})")
+def annotated_files(spark, sf_dir):
+    return _written(spark, _annotated(spark, sf_dir))
+
+
 # --- split and evaluation ---------------------------------------------------------------------------------------------------
 
 
@@ -271,14 +346,6 @@ for _name, _alpha, _presence, _mode in (("evaluate_bayes", 1.0, False, "unibi"),
     query(_name, _bayes_matrix(_alpha, _presence, _mode))(lambda spark, sf_dir, a=_alpha, p=_presence, m=_mode: evaluate.confusion_matrix(evaluations.evaluate_bayes(labelled(spark, sf_dir), a, "presence" if p else "frequency", m)))
 
 
-@query("compare_settings", f"""WITH {_TRAIN}, {_bayes_sql('train')}, {_scores_sql('test')} SELECT 'bayes' AS setting, round(avg(CASE WHEN label = estimated THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM test JOIN best USING (row_id)
- UNION ALL SELECT 'words', round(avg(CASE WHEN label = estimated THEN 1.0 ELSE 0.0 END), 6), count(*) FROM (WITH {_LISTED} SELECT row_id, estimated FROM est) JOIN test USING (row_id)""")
-def compare_settings(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    made = {"bayes": evaluations.evaluate_bayes(rows), "words": evaluations.evaluate_wordlist(rows, words(spark))}
-    return evaluate.compare_settings(made).withColumn("accuracy", F.round("accuracy", 6))
-
-
 # --- distances and neighbours -----------------------------------------------------------------------------------------------
 
 
@@ -312,18 +379,86 @@ for _kind, _votes in (("majority", _MAJORITY), ("weighted", _WEIGHTED)):
     query(f"evaluate_knn_{_kind}", f"{_KNN}, {_votes}, {_VOTED}, {GRID}, pred AS (SELECT label AS real, estimated FROM test JOIN best USING (row_id)) {MATRIX}")(lambda spark, sf_dir, k=_kind: evaluate.confusion_matrix(evaluations.evaluate_knn(labelled(spark, sf_dir), 5, k)))
 
 
+_ACCURACY = "round(avg(CASE WHEN label = estimated THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n"
+_GRID = [f"SELECT 'words' AS setting, {_ACCURACY} FROM (WITH {_LISTED} SELECT row_id, estimated FROM est) JOIN (WITH {_TRAIN} SELECT row_id, label FROM test) USING (row_id)"]
+_GRID += [
+    f"SELECT 'knn {k} {kind}' AS setting, {_ACCURACY} FROM (WITH {_TRAIN}, {_near_sql('test', 'train', WS_SET, 0.0)}, nn AS (SELECT * FROM near WHERE rank <= {k}), {votes}, {_VOTED} SELECT label, estimated FROM test JOIN best USING (row_id))"
+    for k in (3, 5, 10) for kind, votes in (("majority", _MAJORITY), ("weighted", _WEIGHTED))
+]
+_GRID += [
+    f"SELECT 'bayes {kind} {name}' AS setting, {_ACCURACY} FROM (WITH {_TRAIN}, {_bayes_sql('train', alpha, kind == 'presence')}, {_scores_sql('test', kind == 'presence')} SELECT label, estimated FROM test JOIN best USING (row_id))"
+    for kind in ("frequency", "presence") for name, alpha in bayes.SMOOTHING.items()
+]
+
+
+@query("compare_settings", " UNION ALL ".join(_GRID))
+def compare_settings(spark, sf_dir):
+    made = evaluations.grid(labelled(spark, sf_dir), words(spark))
+    return evaluate.compare_settings(made).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query("pairwise_distances", f"WITH {_PASSAGES}, s AS (SELECT row_id, {ASCII_SET} AS t FROM passages), d AS (SELECT a.row_id AS i, b.row_id AS j, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS x, len(b.t) AS y FROM s a, s b WHERE a.row_id < b.row_id) SELECT i, j, round(CASE WHEN x + y - c = 0 THEN 1::DOUBLE ELSE (x + y - 2 * c)::DOUBLE / (x + y - c) END, 9) AS distance FROM d")
 def pairwise_distances(spark, sf_dir):
     return distance.pairwise_distances(passages(spark, sf_dir), "ascii", dense=True).withColumn("distance", F.round("distance", 9))
 
 
-# --- clustering (no SQL for the trees; tests hold them against brute force) --------------------------------------------------
+# --- clustering ---------------------------------------------------------------------------------------------------------------
+
+_DISSIMILAR = {
+    "average": "1 - alike / (size_a * size_b)",
+    "complete": "CASE WHEN n = size_a * size_b THEN far ELSE 1::DOUBLE END",
+    "ward": "sqrt(greatest(0::DOUBLE, 2 * (size_a * size_b)::DOUBLE / (size_a + size_b) * ((squares + (size_a * size_b - n)) / (size_a * size_b) - (within_a / (size_a * size_a) + within_b / (size_b * size_b)) / 2)))",
+}
+
+
+def _tree_sql(source: str, method: str = "average") -> str:
+    """CTEs up to ``tree`` (step, cluster1, cluster2, new_cluster, dissimilarity, size, keep1, keep2) of a relation's texts.
+
+    A turn of the recursion merges all pairs of clusters that are each other's nearest.
+    """
+    dense = "" if method == "ward" else "WHERE distance < 1"
+    return f"""leaves AS (SELECT row_id AS id, {ASCII_SET} AS t, row_number() OVER (ORDER BY row_id) - 1 AS leaf FROM {source}),
+far_pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS x, len(b.t) AS y FROM leaves a, leaves b WHERE a.id < b.id),
+pairs AS (SELECT a, b, CASE WHEN x + y - c = 0 THEN 1::DOUBLE ELSE (x + y - 2 * c)::DOUBLE / (x + y - c) END AS distance FROM far_pairs),
+turns AS (SELECT 0 AS turn, a, b, 1::BIGINT AS n, 1 - distance AS alike, distance * distance AS squares, distance AS far, 1::BIGINT AS size_a, 1::BIGINT AS size_b, 0::DOUBLE AS within_a, 0::DOUBLE AS within_b, false AS merged, 0::DOUBLE AS d FROM pairs {dense}
+ UNION ALL (WITH own AS (SELECT * EXCLUDE (d, merged), {_DISSIMILAR[method]} AS d FROM turns WHERE NOT merged),
+  sorted AS (SELECT *, struct_pack(d := round(d, 12), h := md5(a || '|' || b), a := a, b := b) AS ord FROM own),
+  ends AS (SELECT id, min(ord) AS best FROM (SELECT a AS id, ord FROM sorted UNION ALL SELECT b, ord FROM sorted) GROUP BY id),
+  merges AS (SELECT s.*, size_a + size_b AS size, within_a + within_b + 2 * (squares + size_a * size_b - n) AS within FROM sorted s JOIN (SELECT best FROM ends GROUP BY best HAVING count(*) = 2) m ON s.ord = m.best),
+  moves AS (SELECT a AS id, a AS keep, size, within FROM merges UNION ALL SELECT b, a, size, within FROM merges),
+  moved AS (SELECT own.*, coalesce(p.keep, a) AS to_a, coalesce(q.keep, b) AS to_b, coalesce(p.size, size_a) AS s_a, coalesce(q.size, size_b) AS s_b, coalesce(p.within, within_a) AS w_a, coalesce(q.within, within_b) AS w_b FROM own LEFT JOIN moves p ON p.id = a LEFT JOIN moves q ON q.id = b)
+  SELECT any_value(turn) + 1, least(to_a, to_b), greatest(to_a, to_b), CAST(sum(n) AS BIGINT), sum(alike), sum(squares), max(far), max(CASE WHEN to_a < to_b THEN s_a ELSE s_b END), max(CASE WHEN to_a < to_b THEN s_b ELSE s_a END),
+    max(CASE WHEN to_a < to_b THEN w_a ELSE w_b END), max(CASE WHEN to_a < to_b THEN w_b ELSE w_a END), false, 0::DOUBLE FROM moved WHERE to_a <> to_b GROUP BY least(to_a, to_b), greatest(to_a, to_b)
+  UNION ALL SELECT turn + 1, a, b, n, alike, squares, far, size_a, size_b, within_a, within_b, true, d FROM merges)),
+near_merges AS (SELECT turn, a AS keep1, b AS keep2, d AS dissimilarity, size_a + size_b AS size FROM turns WHERE merged),
+apart AS (SELECT id, coalesce((SELECT max(size) FROM near_merges m WHERE m.keep1 = id), 1) AS size FROM leaves WHERE id NOT IN (SELECT keep2 FROM near_merges)),
+last_merges AS (SELECT 1000000 AS turn, min(id) OVER () AS keep1, id AS keep2, 1::DOUBLE AS dissimilarity, CAST(sum(size) OVER (ORDER BY id) AS BIGINT) AS size, row_number() OVER (ORDER BY id) AS r FROM apart),
+steps AS (SELECT *, row_number() OVER (ORDER BY round(dissimilarity, 9), turn, keep1, size, keep2) - 1 AS step FROM (SELECT * FROM near_merges UNION ALL SELECT * EXCLUDE (r) FROM last_merges WHERE r > 1)),
+names AS (SELECT s.step, x.id, coalesce((SELECT count(*) FROM leaves) + (SELECT max(e.step) FROM steps e WHERE e.keep1 = x.id AND e.step < s.step), x.leaf) AS name FROM steps s JOIN leaves x ON x.id = s.keep1 OR x.id = s.keep2),
+tree AS (SELECT CAST(s.step AS INTEGER) AS step, least(p.name, q.name) AS cluster1, greatest(p.name, q.name) AS cluster2, (SELECT count(*) FROM leaves) + s.step AS new_cluster, dissimilarity, size, keep1, keep2
+ FROM steps s JOIN names p ON p.step = s.step AND p.id = keep1 JOIN names q ON q.step = s.step AND q.id = keep2)"""
+
+
+def _cut_sql(source: str, k: int) -> str:
+    """CTE ``membership`` (row_id, cluster): the first merges of ``tree`` done, so that k clusters are left."""
+    return f"""tops AS (SELECT row_id, row_id AS top FROM {source} UNION ALL SELECT tops.row_id, keep1 FROM tops JOIN tree ON keep2 = top WHERE step < (SELECT count(*) FROM {source}) - {k}),
+membership AS (SELECT row_id, min(top) AS cluster FROM tops GROUP BY row_id)"""
+
+
+def _clustered_sql(queries: str, base: str, fitted: str, k: int) -> str:
+    """CTE ``best`` (row_id, estimated): the label of the cluster of each row's nearest fitted row; all of the base votes."""
+    return f"""{_cut_sql(fitted, k)}, {_near_sql(base, fitted, ASCII_SET, 1.0).replace('near AS', 'base_near AS').replace('dist AS', 'base_dist AS').replace('FROM dist', 'FROM base_dist').replace('ranked_n', 'base_ranked').replace('qs AS', 'base_q AS').replace('bs AS', 'base_b AS').replace('FROM qs, bs', 'FROM base_q, base_b').replace('qs.t', 'base_q.t').replace('bs.t', 'base_b.t')},
+voters AS (SELECT * FROM membership UNION ALL SELECT query_id, cluster FROM base_near JOIN membership ON row_id = base_id WHERE rank = 1 AND query_id NOT IN (SELECT row_id FROM membership)),
+votes AS (SELECT cluster, label, count(*) AS n FROM voters JOIN {base} USING (row_id) GROUP BY ALL), named AS (SELECT cluster, arg_max(label, struct_pack(a := n, b := -label)) AS label FROM votes GROUP BY cluster),
+{_near_sql(queries, fitted, ASCII_SET, 1.0)}, best AS (SELECT query_id AS row_id, named.label AS estimated FROM near JOIN membership ON row_id = base_id JOIN named USING (cluster) WHERE rank = 1)"""
+
 
 for _method in cluster.METHODS:
-    query(f"linkage_{_method}")(lambda spark, sf_dir, m=_method: cluster.linkage(passages(spark, sf_dir), m).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9).alias("dissimilarity"), "size"))
+    query(f"linkage_{_method}", f"WITH RECURSIVE {_PASSAGES}, {_tree_sql('passages', _method)} SELECT step, cluster1, cluster2, new_cluster, round(dissimilarity, 9) AS dissimilarity, size FROM tree")(
+        lambda spark, sf_dir, m=_method: cluster.linkage(passages(spark, sf_dir), m).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9).alias("dissimilarity"), "size"))
 
 
-@query("cut")
+@query("cut", f"WITH RECURSIVE {_PASSAGES}, {_tree_sql('passages')}, {_cut_sql('passages', 3)} SELECT row_id, cluster FROM membership")
 def cut(spark, sf_dir):
     rows = passages(spark, sf_dir)
     return cluster.cut(cluster.linkage(rows), rows, 3)
@@ -349,12 +484,24 @@ def cluster_labels(spark, sf_dir):
     return cluster.cluster_labels(labelled(spark, sf_dir), _by_language(spark, sf_dir))
 
 
-@query("classify_cluster")
+@query("classify_cluster", f"WITH RECURSIVE {LABELLED}, {_PASSAGES}, {_tree_sql('passages')}, {_clustered_sql('labelled', 'passages', 'passages', 3)} SELECT row_id, estimated FROM best")
 def classify_cluster(spark, sf_dir):
     base = stored(passages(spark, sf_dir), "base")
     return cluster.classify_cluster(labelled(spark, sf_dir), base, 3).select("row_id", "estimated")
 
 
-@query("evaluate_cluster")
+_FITTED = f"fitted AS (SELECT * FROM train ORDER BY md5(row_id || '|fit'), row_id LIMIT {cluster.FIT_ROWS})"
+
+
+@query("evaluate_cluster", f"WITH RECURSIVE {_TRAIN}, {_FITTED}, {_tree_sql('fitted')}, {_clustered_sql('test', 'train', 'fitted', 3)}, {GRID}, pred AS (SELECT label AS real, estimated FROM test JOIN best USING (row_id)) {MATRIX}")
 def evaluate_cluster(spark, sf_dir):
     return evaluate.confusion_matrix(evaluations.evaluate_cluster(labelled(spark, sf_dir), 3))
+
+
+def _cluster_setting(method: str, k: int) -> str:
+    return f"SELECT 'cluster {method} {k}' AS setting, {_ACCURACY} FROM (WITH RECURSIVE {_TRAIN}, {_FITTED}, {_tree_sql('fitted', method)}, {_clustered_sql('test', 'train', 'fitted', k)} SELECT label, estimated FROM test JOIN best USING (row_id))"
+
+
+@query("compare_clusters", " UNION ALL ".join(_cluster_setting(m, k) for m in cluster.METHODS for k in (2, 3)))
+def compare_clusters(spark, sf_dir):
+    return evaluate.compare_settings(evaluations.cluster_grid(labelled(spark, sf_dir))).withColumn("accuracy", F.round("accuracy", 6))

@@ -34,11 +34,20 @@ def read_raw_csv(spark: SparkSession, path: str, header: bool = True, sep: str =
     return rows.select(F.monotonically_increasing_id().alias("row_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns])
 
 
+def _windows() -> tuple[str, str]:
+    """The characters that ISO-8859-1 and windows-1252 read differently, by the codec; five bytes have none and stay."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
+
+
 def decode_text(column: Column) -> Column:
-    """struct(text, encoding) of text read as ISO-8859-1: its bytes as UTF-8 where they are valid, else as they were read."""
+    """struct(text, encoding) of text read as ISO-8859-1: its bytes as UTF-8 where they are valid, else as windows-1252 if some
+    are control characters otherwise, else as they were read."""
     data = F.encode(column, "ISO-8859-1")
     valid = F.is_valid_utf8(data.cast("string"))
-    return F.when(valid, F.struct(F.decode(data, "UTF-8").alias("text"), F.lit("UTF-8").alias("encoding"))).otherwise(F.struct(column.alias("text"), F.lit("ISO-8859-1").alias("encoding")))
+    as_read = F.struct(column.alias("text"), F.lit("ISO-8859-1").alias("encoding"))
+    windows = F.struct(F.translate(column, *_windows()).alias("text"), F.lit("windows-1252").alias("encoding"))
+    return F.when(valid, F.struct(F.decode(data, "UTF-8").alias("text"), F.lit("UTF-8").alias("encoding"))).when(column.rlike(r"[\x80-\x9F]"), windows).otherwise(as_read)
 
 
 def read_words(spark: SparkSession, path: str, polarity: str) -> DataFrame:
@@ -56,6 +65,6 @@ def write_labelled(df: DataFrame, path: str, fmt: str = "csv", mode: str = "erro
     """``rating,message`` with a header (a reader that skips the first line then loses no row), quotes only where needed."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+        writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.format(fmt).save(path)

@@ -7,17 +7,35 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as Parquet in the folder of ``spark.checkpoint.dir``; a temporary one is named only where the session has none."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Where a local session (one machine) names none, a temporary folder is made and named; a cluster must name its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back.
+
+    This ends the lineage: what follows neither recomputes ``df`` nor depends on blocks that live on one executor only, and
+    columns made by a non-deterministic layout (row ids) stay fixed.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

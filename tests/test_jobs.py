@@ -24,6 +24,14 @@ def test_clean_then_label(spark, tmp_path):
         assert labels.count() == 12 and all((r.label, n) in ((0, "awful"), (2, "plain"), (4, "lovely")) for r in labels.collect() for n in r.text.split() if n in ("awful", "plain", "lovely"))
 
 
+def test_cells_are_decoded(spark, tmp_path):
+    """Each cell by itself: UTF-8, windows-1252 and ISO-8859-1 in one file."""
+    cells = ["été".encode(), "“été” €".encode("cp1252"), "été fini".encode("latin-1")]
+    (tmp_path / "raw.csv").write_bytes(b"rating,message\n" + b"".join(b"4," + c + b"\n" for c in cells))
+    jobs.run_clean(spark, str(tmp_path / "raw.csv"), str(tmp_path / "clean"))
+    assert sorted(r.text for r in read_labelled(spark, str(tmp_path / "clean")).collect()) == sorted(["été", "“été” €", "été fini"])
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "good @you day"), (2, "bad!"), (3, "RT x")], "row_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("row_id long, text string").parquet(str(tmp_path / "in"))

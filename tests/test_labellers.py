@@ -108,7 +108,7 @@ def test_split_and_matrix(spark):
     assert evaluate.accuracy(pred).first().accuracy == 0.75
 
 
-def brute_heights(d, method):
+def brute_merges(d, method):
     groups = [[i] for i in range(len(d))]
 
     def far(a, b):
@@ -123,9 +123,9 @@ def brute_heights(d, method):
     out = []
     while len(groups) > 1:
         i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: far(groups[p[0]], groups[p[1]]))
-        out.append(far(groups[i], groups[j]))
+        out.append((far(groups[i], groups[j]), frozenset(groups[i] + groups[j])))
         groups[i] += groups.pop(j)
-    return sorted(out)
+    return sorted(out, key=lambda x: (x[0], len(x[1])))
 
 
 @pytest.mark.parametrize("method", cluster.METHODS)
@@ -137,7 +137,13 @@ def test_linkage(spark, method):
     got = merges.orderBy("step").collect()
     d = np.array([[jaccard(a, b, 1.0) for b in texts] for a in texts])
     np.fill_diagonal(d, 0)
-    assert np.allclose(sorted(r.dissimilarity for r in got), brute_heights(d, method))
+    want = brute_merges(d, method)
+    assert np.allclose([r.dissimilarity for r in got], [h for h, _ in want])
+    members = {i: frozenset([i]) for i in range(12)}
+    for r in got:
+        members[r.new_cluster] = members[r.cluster1] | members[r.cluster2]
+        assert r.size == len(members[r.new_cluster])
+    assert len({round(h, 9) for h, _ in want}) == 11 and [members[r.new_cluster] for r in got] == [m for _, m in want]
     used = [c for r in got for c in (r.cluster1, r.cluster2)]
     assert sorted(used) == list(range(22)) and [r.new_cluster for r in got] == list(range(12, 23)) and got[-1].size == 12
     assert all(c < r.new_cluster for r in got for c in (r.cluster1, r.cluster2))
@@ -164,7 +170,7 @@ def test_rows_outside_the_tree_vote(spark):
     texts = ["red apple", "blue sky"]
     data = [(i, texts[i % 2], 0 if i % 2 else 4) for i in range(40)]
     df = spark.createDataFrame(data, "row_id long, text string, label int")
-    fitted = {r.row_id for r in df.orderBy(F.xxhash64("row_id"), "row_id").limit(4).collect()}
+    fitted = {r.row_id for r in df.orderBy(F.md5(F.concat(F.col("row_id").cast("string"), F.lit("|fit"))), "row_id").limit(4).collect()}
     assert {i % 2 for i in fitted} == {0, 1}
     # The fitted rows' own labels are the wrong ones; the many outside outvote them.
     base = df.withColumn("label", F.when(F.col("row_id").isin(fitted), 2).otherwise(F.col("label")))
@@ -180,3 +186,11 @@ def test_registered_evaluation_has_the_stated_bound(spark, monkeypatch):
     monkeypatch.setattr(queries.evaluate, "confusion_matrix", lambda df: df)
     queries.QUERIES["evaluate_cluster"](spark, "")
     assert asked.get("fit_rows", cluster.FIT_ROWS) == cluster.FIT_ROWS == 2_000
+
+
+def test_columns_of_the_results_names(spark, base):
+    """A table that already has the columns a labeller adds gets them replaced."""
+    words = spark.createDataFrame([("chat", "pos"), ("chien", "neg")], "word string, polarity string")
+    odd = base.withColumns({"pos": F.lit("x"), "neg": F.lit("y"), "estimated": F.lit("z")})
+    for got in (wordlist.classify_wordlist(odd, words), knn.classify_knn(odd, base, 2), bayes.classify_bayes(odd, bayes.train_bayes(base)), cluster.classify_cluster(odd, base, 2)):
+        assert got.columns.count("estimated") == 1 and got.select("estimated").filter("estimated IN (0, 2, 4)").count() == base.count()

@@ -18,6 +18,9 @@ def test_raw_csv_and_decoding(spark, tmp_path):
     assert rows(got) == [("", 'é "q"'), ("one\ntwo", "x")]
     df = spark.createDataFrame([("é".encode().decode("latin-1"),), ("é",), ("a",)], "t string")
     assert [tuple(r.d) for r in df.select(files.decode_text(F.col("t")).alias("d")).collect()] == [("é", "UTF-8"), ("é", "ISO-8859-1"), ("a", "UTF-8")]
+    every = "".join(chr(b) for b in range(0x80, 0x100))
+    got = spark.createDataFrame([(every,)], "t string").select(files.decode_text(F.col("t")).alias("d")).first().d
+    assert got.encoding == "windows-1252" and [x for x in got.text if x > "\xff"] == [x for b in range(0x80, 0xA0) for x in bytes([b]).decode("cp1252", "ignore")] and got.text[0x20:] == every[0x20:]
 
 
 def test_words(spark, tmp_path):
