@@ -1,49 +1,37 @@
-"""What the training-data operators share: the shared folder, written cuts of a lineage, text rules."""
+"""What the training-data operators share: written cuts of a lineage, caches of a worker, text rules."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space (space, tab, LF, VT, FF, CR).
-WORD = r"[^\x20\x09-\x0D]+"
+from labelwright.tables import stored as cut
 
+__all__ = ["WORD", "cut", "documents", "hold", "release", "slices", "word_count"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is made and named.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
+#: Words are runs of anything but ASCII white space (space, tab, LF, VT, FF, CR).
+WORD = r"[^\x20\x09-\x0D]+"
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
 
-    This ends the lineage: what follows neither recomputes ``df`` nor depends on blocks that live on
-    one executor only, and columns made by a non-deterministic layout (row ids) stay fixed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_HOLDER: list = [None, None]
 
 
-_HOLDER: list = [None, None]
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
-def hold(owner: str, clear: Callable[[], None]) -> None:
+def hold(owner: str, clear: Callable[[], None] | None = None) -> None:
     """Say that a Python worker's memory now is ``owner``'s: the one before, if another, drops what it kept (``clear``).
 
     Workers live on from stage to stage, so each stage's caches would add up otherwise.
@@ -52,6 +40,22 @@ def hold(owner: str, clear: Callable[[], None]) -> None:
         if _HOLDER[1]:
             _HOLDER[1]()
         _HOLDER[:] = [owner, clear]
+        release()
+
+
+def slices(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int, list[str | None]]]:
+    """The texts of a batch in runs of about ``size`` bytes, with the first one's place and the end; a longer text is a run of its own.
+
+    Only one run is in memory as Python texts.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield start, end, texts.slice(start, end - start).to_pylist()
+        start = end
+    release()
 
 
 def word_count(text: Column) -> Column:

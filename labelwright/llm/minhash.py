@@ -20,17 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut
+from labelwright.llm.common import cut, hold, slices
 from labelwright.llm.components import components
-from labelwright.llm.tokenize import slices
 from labelwright.llm.words import Words, mix, runs_of
 
 SHINGLE, BUNDLES, ROWS = 5, 12, 3
 HASHES = 2 * BUNDLES * ROWS
 #: Hub pairs agree in at least this many of the 72 minhashes; a pair of similarity 0.8 has fewer with probability 1e-6.
 AGREE = 40
-#: Members of a tile; and of connected buckets up to which they are compared as one group. Larger ones are compared bucket by bucket.
-TILE, GROUP = 1024, 20_000
+#: Shingles of one side of a tile: an eighth of the set's, between these bounds. A member's set is never cut.
+TILE_LEAST, TILE_MOST = 1 << 13, 1 << 18
+#: Shingles and members of one side that a tile counts at once.
+COUNTED, AT_ONCE = 1 << 15, 256
+#: Text that is made shingles of at once.
+BYTES = 1 << 20
 #: Ids up to which the set of candidates is broadcast to the scan (8 bytes each); beyond it the scan is shuffled.
 BROADCAST_IDS = 500_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -55,10 +58,11 @@ def shingles(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np.
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("near-duplicates")
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in slices(texts, 1 << 21):
-            hashes, at = shingles(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in slices(batch.column(1), BYTES):
+            hashes, at = shingles(texts)
             sizes = np.diff(at)
             some = np.flatnonzero(sizes)
             begins = at[:-1][some]
@@ -76,10 +80,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("near-duplicates")
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in slices(texts, 1 << 21):
-            hashes, at = shingles(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in slices(batch.column(1), BYTES):
+            hashes, at = shingles(texts)
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["id", "shingles"])
 
 
@@ -119,18 +124,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Common elements of each set of one group with each of another; (sizes, elements) each, elements of a set different."""
+    """Common elements of each set of one group with each of another; (sizes, elements) each, elements of a set different.
+
+    The first group goes in runs of few members and elements, so the table of who has what stays small whatever the sets.
+    """
     (n1, x1), (n2, x2) = one, two
-    known = np.unique(x1)
-    has = np.zeros((known.size, n1.size), np.int32)
-    has[np.searchsorted(known, x1), np.repeat(np.arange(n1.size), n1)] = 1
-    place = np.minimum(np.searchsorted(known, x2), known.size - 1)
-    hit = known[place] == x2
-    ends = np.cumsum(n2)
-    out = np.zeros((n2.size, n1.size), np.int64)
-    for i, (a, b) in enumerate(zip((ends - n2).tolist(), ends.tolist(), strict=True)):
-        out[i] = has[place[a:b][hit[a:b]]].sum(0)
-    return out.T
+    known, at1 = np.unique(x1, return_inverse=True)
+    place = np.minimum(np.searchsorted(known, x2), max(known.size - 1, 0))
+    hit = np.flatnonzero(known[place] == x2)
+    owner, place = np.repeat(np.arange(n2.size), n2)[hit], place[hit]
+    out = np.zeros((n1.size, n2.size), np.int32)
+    ends = np.append(0, np.cumsum(n1))
+    local = np.full(known.size, -1, np.int64)
+    first = 0
+    while first < n1.size:
+        last = max(first + 1, min(first + AT_ONCE, int(np.searchsorted(ends, ends[first] + COUNTED, side="right")) - 1))
+        own = np.unique(at1[ends[first] : ends[last]])
+        local[own] = np.arange(own.size)
+        has = np.zeros((own.size, last - first), np.uint8)
+        has[local[at1[ends[first] : ends[last]]], np.repeat(np.arange(last - first), n1[first:last])] = 1
+        met = np.flatnonzero(local[place] >= 0)
+        rows, who = local[place[met]], owner[met]
+        for at in range(0, rows.size, COUNTED):
+            part = who[at : at + COUNTED]
+            begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            out[first:last, part[begins]] += np.add.reduceat(has[rows[at : at + COUNTED]], begins, axis=0, dtype=np.int32).T
+        local[own] = -1
+        first = last
+    return out
 
 
 def _tile_links(percent: int):
@@ -161,41 +182,30 @@ def _tile_links(percent: int):
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        table = table.sort_by([("set", "ascending"), ("s", "ascending"), ("t", "ascending"), ("id", "ascending")])
-        columns = {c: table.column(c).to_numpy() for c in ("set", "s", "t", "id", "root", "side")}
+        hold("near-duplicates")
+        table = table.sort_by("id")
         lists = table.column("shingles").combine_chunks()
-        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
-        elements, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
-        new = np.ones(sizes.size, bool)
-        new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in ("set", "s", "t")], axis=0)
-        edges = np.append(np.flatnonzero(new), sizes.size)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 1:
-                found += links(columns["id"][a:b], columns["root"][a:b], columns["side"][a:b], sizes[a:b], elements[ends[a] - sizes[a] : ends[b - 1]])
+        found = links(*(table.column(c).to_numpy() for c in ("id", "root", "side")), np.asarray(lists.value_lengths()).astype(np.int64), lists.flatten().to_numpy()) if len(table) > 1 else []
         return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
 
     return run
 
 
 def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components inside each set of members (set, id, root).
+    """Links (a, b) between components inside each set of members (set, id, root, n_shingles).
 
-    The members outside a set's largest component visit all others; those inside it don't visit each other. Tiles are dealt by
-    hash, so a set of any size is many tasks.
+    The members outside a set's largest component visit all others; those inside it don't visit each other. Tiles are cut by
+    shingles and each is a group of its own, so a set of any size is many tasks of bounded memory.
     """
-    counts = members.groupBy("set", "root").agg(F.count("*").alias("n"))
-    of_set = counts.groupBy("set").agg(F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("members > largest")
-    of_set = cut(of_set, "open")
+    counts = members.groupBy("set", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    of_set = counts.groupBy("set").agg(F.sum("n").alias("members"), F.sum("w").alias("all_w"), F.max(F.struct("n", "root", "w")).alias("main")).filter(F.col("members") > F.col("main.n"))
+    tile = F.least(F.lit(float(TILE_MOST)), F.greatest(F.lit(float(TILE_LEAST)), F.col("all_w") / 8))
+    of_set = cut(of_set.select("set", F.col("main.root").alias("main"), F.ceil((F.col("all_w") - F.col("main.w")) / tile).alias("outs"), F.ceil(F.col("main.w") / tile).alias("ins")), "open")
     inside = members.join(of_set, "set").withColumn("inner", F.col("root") == F.col("main"))
-    out_tiles, in_tiles = F.ceil((F.col("members") - F.col("largest")) / TILE), F.ceil(F.col("largest") / TILE)
-    inside = inside.withColumns({"outs": out_tiles, "ins": in_tiles})
     own = F.when(F.col("inner"), F.col("outs") + F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outs")))
     visits = inside.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("outs")).otherwise(F.col("outs") + F.col("ins")) - 1)))
     visits = visits.select("set", "id", "root", "side", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"))
-    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = visits.join(sets, "id").withColumn("part", F.pmod(F.xxhash64("set", "s", "t"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(_tile_links(percent), "a long, b long")
+    return visits.join(sets, "id").groupBy("set", "s", "t").applyInArrow(_tile_links(percent), "a long, b long")
 
 
 def _connected(buckets: DataFrame) -> DataFrame:
@@ -228,12 +238,7 @@ def linked(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = cut(_confirmed(_alike(pairs, classes, percent), sets, percent), "links")
     roots = components(links)
-    members = near.join(roots, "id", "left").select("set", "id", F.coalesce("root", "id").alias("root"))
-    sizes = near.groupBy("set").agg(F.count("*").alias("n"))
-    large = cut(sizes.filter(F.col("n") > GROUP), "large")
-    if not large.isEmpty():
-        apart = members.join(large, "set", "left_semi").select("id", "root").join(buckets.select("id", F.col("key").alias("set")), "id").select("set", "id", "root")
-        members = members.join(large, "set", "left_anti").unionByName(apart)
+    members = near.join(classes.select("id", "n_shingles"), "id").join(roots, "id", "left").select("set", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
     more = cut(_between(members, sets, percent), "links")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
