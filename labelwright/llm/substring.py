@@ -5,15 +5,14 @@ travel as one packed string (their words once, not once a window) to the minimis
 with that content meet. A bucket numbers its words, sorts its windows and counts those of equal words.
 
 Before they travel, equal strings of a task become one string with a list of places. A minimiser that many strings
-share (a passage that many texts quote in other surroundings) would fill one bucket; such a minimiser is found by
-counting beforehand, and its windows travel singly, dealt by their own content. A window that is itself so frequent is
-counted by its digest: it is known to be repeated, so its texts are marked where they are and its places never travel.
+share (a passage that many texts quote in other surroundings) would fill one bucket; such minimisers are found by
+counting all of them beforehand. Their windows become rows of digest and place: digests are counted with partial sums, and
+places are marked by a join in which a frequent digest's places stay where they are.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -22,19 +21,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from labelwright.llm.common import cut
-from labelwright.llm.tokenize import slices
+from labelwright.llm.common import cut, hold, slices
 from labelwright.llm.words import Words, least_of, mix, powers, runs_of
 
-WINDOW, MINIMISER = 35, 6
-#: Buckets for each shuffle partition. A bucket is what one Python call holds.
-BUCKETS_PER_PARTITION = 4
-#: Strings of one minimiser beyond which its windows travel singly.
+WINDOW, MINIMISER = 35, 4
+#: Strings of a bucket, about. A bucket is what one Python call holds.
+BUCKET_STRINGS = 40_000
+#: Strings of one minimiser (and places of one window) beyond which its windows are rows of their own (and its places stay).
 HOT = 5_000
-CHARS = 1 << 21
+#: Hot minimisers and frequent digests up to which they are broadcast (8 and 16 bytes each); beyond it they are joined, in so many parts.
+BROADCAST, SALTS = 500_000, 64
+BYTES = 1 << 21
 KEYED = "k1 long, k2 long, text string"
 SPANS = "k1 long, k2 long, begin long, end long"
+SINGLES = "d1 long, d2 long, k1 long, k2 long, start long"
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -63,88 +65,108 @@ class _Windows:
         self.least = least[self.begin]
 
 
-def _hot(docs: DataFrame, window: int, m: int, hot: int) -> list[int]:
-    """Minimisers of more than ``hot`` strings. There are at most (strings / hot) of them, so the list is short at any size
-    that ``hot`` grows with; a minimiser met once in a slice of texts is not counted there."""
+def _prefix(minimisers: np.ndarray) -> np.ndarray:
+    """Minimisers are counted by their first 32 bits: what is hot then is what must be, and seldom more."""
+    return (minimisers >> np.uint64(32)).astype(np.int64)
+
+
+def _minimisers(window: int, m: int):
+    """Counts of strings by minimiser, for each slice; every minimiser is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("repeats")
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, CHARS):
-                found = _Windows(texts[a:b], window, m)
+            for a, b, texts in slices(batch.column(0), BYTES):
+                found = _Windows(texts, window, m)
                 if found.n:
-                    values, n = np.unique(found.least, return_counts=True)
-                    values, n = values[n > 1], n[n > 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["minimiser", "n"])
+                    values, n = np.unique(_prefix(found.least), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["minimiser", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.filter(F.col("n") > hot).select("minimiser").collect()]
+    return run
 
 
-def _alone(found: _Windows, many: np.ndarray) -> np.ndarray:
-    """The windows of hot minimisers, in order."""
-    single = np.isin(found.least, many)
-    return np.concatenate([np.arange(x, y) for x, y in zip(found.begin[single], found.end[single], strict=True)] or [np.zeros(0, np.int64)])
+def _hot(docs: DataFrame, window: int, m: int, hot: int) -> tuple[DataFrame, int]:
+    """(minimiser) of more than ``hot`` strings, as a stored table; and the number of all strings."""
+    counted = docs.select("text").mapInArrow(_minimisers(window, m), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    found = cut(counted.groupBy(F.when(F.col("n") > hot, F.col("minimiser")).alias("minimiser")).agg(F.sum("n").alias("n")), "minimisers")
+    return found.filter("minimiser IS NOT NULL").select("minimiser"), found.agg(F.sum("n")).first()[0] or 0
 
 
-def _digests(found: _Windows, alone: np.ndarray, window: int) -> list[bytes]:
-    """128 bits of each window's words."""
-    first = found.at[alone]
-    starts, ends = found.words.starts[first].tolist(), found.words.ends[first + window - 1].tolist()
-    return [blake2b(found.words.data[s:e], digest_size=16).digest() for s, e in zip(starts, ends, strict=True)]
+def _with_hot(texts: DataFrame, found: DataFrame, window: int, m: int) -> DataFrame:
+    """``texts`` with ``hot``: the hot minimisers that each text has, by a join."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("repeats")
+        for batch in batches:
+            keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, texts in slices(batch.column(2), BYTES):
+                own = _Windows(texts, window, m)
+                if own.n:
+                    text = own.text[own.begin] + a
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[0][text], keys[1][text], _prefix(own.least))], names=["k1", "k2", "minimiser"])
 
-def _unsigned(minimisers: list[int]) -> np.ndarray:
-    return np.sort(np.array(minimisers, np.int64).view(np.uint64))
+    pairs = texts.mapInArrow(run, "k1 long, k2 long, minimiser long").distinct()
+    salt = F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = found.select("minimiser", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lists = pairs.select("*", salt).join(salted, ["minimiser", "salt"]).groupBy("k1", "k2").agg(F.collect_set("minimiser").alias("hot"))
+    return texts.join(lists, ["k1", "k2"], "left").select("k1", "k2", "text", "hot")
 
 
-def _heavy(docs: DataFrame, window: int, m: int, minimisers: list[int], hot: int) -> frozenset[bytes]:
-    """Digests of windows of hot minimisers that more than ``hot`` places have; as few as hot minimisers are. A window met once
-    in a slice is not counted there, so other windows have at most ``hot`` places and one a slice."""
-    if not minimisers:
-        return frozenset()
+class _Routes:
+    """Which windows of a slice go alone: those of hot minimisers, known to every task (``shared``) or listed beside each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = _unsigned(minimisers)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, CHARS):
-                found = _Windows(texts[a:b], window, m)
-                if found.n:
-                    seen = {d: n for d, n in Counter(_digests(found, _alone(found, many), window)).items() if n > 1}
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["digest", "n"])
+    def __init__(self, shared):
+        self.shared = shared
 
-    counted = docs.select("text").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    return frozenset(bytes(r[0]) for r in counted.filter(F.col("n") > hot).select("digest").collect())
+    def alone(self, batch: pa.RecordBatch, found: _Windows, a: int, b: int) -> np.ndarray:
+        """For each string of the slice, whether its minimiser is hot."""
+        if self.shared is not None:
+            many = self.shared.value
+        else:
+            many = np.unique(batch.column(3).slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
+        return np.isin(_prefix(found.least), many)
 
 
-def _marked(window: int, m: int, hot: list[int], heavy: frozenset[bytes]):
-    """Spans that heavy windows cover, one for each stretch of neighbouring ones."""
-    names = ["k1", "k2", "begin", "end"]
+def _singles(window: int, m: int, routes: _Routes):
+    """A row (128-bit digest of its words, place) for each window of a hot minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = _unsigned(hot)
+        hold("repeats")
         for batch in batches:
             keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, CHARS):
-                found = _Windows(texts[a:b], window, m)
+            for a, b, texts in slices(batch.column(2), BYTES):
+                found = _Windows(texts, window, m)
                 if not found.n:
                     continue
-                alone = _alone(found, many)
-                hit = alone[np.array([d in heavy for d in _digests(found, alone, window)], bool)]
-                if not hit.size:
-                    continue
-                text = found.text[hit]
-                place = found.at[hit] - found.words.first[text]
-                edge = np.flatnonzero((np.diff(place) != 1) | (np.diff(text) != 0))
-                low, high = np.append(0, edge + 1), np.append(edge, hit.size - 1)
-                rows = text[low] + a
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[0][rows], keys[1][rows], place[low], place[high] + window)], names=names)
+                single = routes.alone(batch, found, a, b)
+                own = np.flatnonzero(np.repeat(single, found.end - found.begin))
+                for at in range(0, own.size, 65_536):
+                    some = own[at : at + 65_536]
+                    first, text = found.at[some], found.text[some]
+                    starts, ends = found.words.starts[first].tolist(), found.words.ends[first + window - 1].tolist()
+                    data = found.words.data
+                    digests = np.frombuffer(b"".join([blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts, ends, strict=True)]), np.int64).reshape(-1, 2)
+                    columns = digests[:, 0], digests[:, 1], keys[0][text + a], keys[1][text + a], first - found.words.first[text]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["d1", "d2", "k1", "k2", "start"])
 
     return run
 
 
+def _marked(singles: DataFrame, window: int, hot: int) -> DataFrame:
+    """Spans of windows whose digest more places have. Places of a digest that more than ``hot`` have don't meet: they are marked
+    where they are (broadcast) or, if such digests are very many, in ``SALTS`` parts."""
+    seen = cut(singles.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1"), "digests")
+    frequent = seen.filter(F.col("n") > hot).select("d1", "d2", F.lit(True).alias("often"))
+    if frequent.count() <= BROADCAST:
+        told = singles.join(F.broadcast(frequent), ["d1", "d2"], "left")
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("k1", "k2", "start"), F.lit(SALTS)).cast("int")
+        told = singles.withColumn("salt", salt).join(salted, ["d1", "d2", "salt"], "left")
+    twice = told.filter("often IS NULL").join(seen.filter(F.col("n") <= hot), ["d1", "d2"], "left_semi")
+    return told.filter("often").select("k1", "k2", "start").unionByName(twice.select("k1", "k2", "start")).select("k1", "k2", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
+
+
 def _pack(strings: dict[bytes, list[tuple[int, int, int]]]) -> bytes:
     places = np.array([p for own in strings.values() for p in own], np.int64).reshape(-1, 3)
     n = np.fromiter(map(len, strings.values()), np.uint32, len(strings))
@@ -160,33 +182,28 @@ def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return raw[at + 24 * places :].split(b"\n"), n, np.frombuffer(raw, np.int64, 3 * places, at).reshape(3, places)
 
 
-def _travel(window: int, m: int, buckets: int, hot: list[int], heavy: frozenset[bytes]):
+def _travel(window: int, m: int, buckets: int, routes: _Routes):
+    """The strings of all minimisers that aren't hot, packed for their buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = _unsigned(hot)
+        hold("repeats")
         for batch in batches:
             keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, CHARS):
-                found = _Windows(texts[a:b], window, m)
+            for a, b, texts in slices(batch.column(2), BYTES):
+                found = _Windows(texts, window, m)
                 if not found.n:
                     continue
-                w, begin, end, to = found.words, found.begin, found.end, found.least
-                if many.size:
-                    single = np.isin(to, many)
-                    alone = _alone(found, many)
-                    if heavy:
-                        alone = alone[np.array([d not in heavy for d in _digests(found, alone, window)], bool)]
-                    own = runs_of(w.hashes, window)[found.at[alone]]
-                    begin, end, to = (np.concatenate(x) for x in ((begin[~single], alone), (end[~single], alone + 1), (to[~single], own)))
+                own = np.flatnonzero(~routes.alone(batch, found, a, b))
+                w, begin, end = found.words, found.begin[own], found.end[own]
                 first = found.at[begin]
                 starts, ends = w.starts[first], w.ends[found.at[end - 1] + window - 1]
                 text = found.text[begin]
                 held: dict[int, dict[bytes, list]] = {}
-                columns = (to % np.uint64(buckets)).tolist(), starts.tolist(), ends.tolist(), (text + a).tolist(), (first - w.first[text]).tolist()
+                columns = (found.least[own] % np.uint64(buckets)).tolist(), starts.tolist(), ends.tolist(), (text + a).tolist(), (first - w.first[text]).tolist()
                 for bucket, s, e, row, place in zip(*columns, strict=True):
                     held.setdefault(bucket, {}).setdefault(w.data[s:e], []).append((keys[0][row], keys[1][row], place))
                 packed = [_pack(x) for x in held.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     return run
 
@@ -238,6 +255,7 @@ def _count(window: int):
     names = ["k1", "k2", "begin", "end"]
 
     def run(table: pa.Table) -> pa.Table:
+        hold("repeats")
         parts = [_unpack(x) for x in table.column("packed").to_pylist()]
         strings = [s for own, _, _ in parts for s in own]
         n = np.concatenate([x for _, x, _ in parts])
@@ -254,18 +272,26 @@ def _count(window: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """k1, k2, begin, end: word spans of rows that repeated windows cover. Spans may overlap."""
-    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs)
-    many = _hot(keyed, window, minimiser, hot)
-    heavy = _heavy(keyed, window, minimiser, many, hot)
-    texts = keyed.select("k1", "k2", "text")
-    packed = texts.mapInArrow(_travel(window, minimiser, buckets, many, heavy), "bucket int, packed binary")
+    spark = docs.sparkSession
+    texts = _keyed(docs).select("k1", "k2", "text")
+    found, strings = _hot(texts, window, minimiser, hot)
+    n_hot = found.count()
+    few = n_hot <= BROADCAST
+    routes = _Routes(spark.sparkContext.broadcast(np.array([r[0] for r in found.collect()], np.int64)) if few else None)
+    if not few:
+        texts = _with_hot(texts, found, window, minimiser)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), strings // BUCKET_STRINGS)
+    packed = texts.mapInArrow(_travel(window, minimiser, buckets, routes), "bucket long, packed binary")
     spans = packed.groupBy("bucket").applyInArrow(_count(window), SPANS)
-    return spans.unionByName(texts.mapInArrow(_marked(window, minimiser, many, heavy), SPANS)) if heavy else spans
+    if not n_hot:
+        return spans
+    singles = cut(texts.mapInArrow(_singles(window, minimiser, routes), SINGLES), "singles")
+    return spans.unionByName(_marked(singles, window, hot))
 
 
 def _kept(spacing: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("repeats")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -297,16 +323,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row")
     named = _keyed(docs.select(others, "doc_id", "text"), "row")
     joined = named.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_kept(spacing), f"row {kind}, n_words long, n_removed long, kept string")
+    kind = StructType([joined.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("kept", StringType())])
+    return joined.mapInArrow(_kept(spacing), kind)
 
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-
-
 #: The same result from every window's words, grouped.
 ORACLE = r"""
 WITH d AS (
