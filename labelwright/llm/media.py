@@ -132,7 +132,8 @@ def store_texts(docs: DataFrame, width: int = 64) -> DataFrame:
     """Each text's UTF-8 bytes, padded with zeros to a positive multiple of ``width``, as a PNG of that width.
 
     Returns doc_id, n_bytes, media. A null text counts as empty: one row of zeros. Repeated rows stay repeated;
-    a null doc_id is kept; other columns are left out.
+    a null doc_id is kept; other columns are left out whatever their names; an empty table stays empty. A very long text is one
+    tall image: a few times its size in memory, and no image waits for another.
     """
 
     def row(text: str | None) -> tuple[int, bytes]:

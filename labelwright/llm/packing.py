@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.tokenize import encoder, slices
+from labelwright.llm.common import slices
+from labelwright.llm.tokenize import encoder
 
 #: ids is little-endian unsigned 32-bit.
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long"
@@ -40,10 +41,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1)):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts), strict=True):
                     data = memoryview(np.append(ids, np.uint16(end_id)).astype("<u4").tobytes())
                     n, start = len(ids) + 1, 0
                     for length in cuts(n, longest):

@@ -5,7 +5,8 @@ chunks form level 1, and so on. A rank directory (set bits before each block of
 place on the next, so any id is read without decoding others.
 
 A shard is one byte string: header, document index (doc ids, first id of each), levels. Shards are rows of a binary
-column in Parquet, so any store that Spark writes to will do.
+column in Parquet whose pages aren't compressed, so any store that Spark writes to will do and no page has to be decoded for
+an id. ``lookup`` reads single ids of documents; ``read_documents`` reads all.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut
-from labelwright.llm.tokenize import encoder, slices
+from labelwright.llm.common import cut, slices
+from labelwright.llm.tokenize import encoder
 
 MAGIC, BLOCK = b"DAC1", 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -117,7 +118,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
     """Encode whole texts into shards in ascending doc_id order and store them; returns the stored table.
 
     Documents go to tasks by ranges of doc_id and are sorted there, so (part, seq) orders shards as doc_id does. A null
-    doc_id comes first; rows with one doc_id are ordered by text; a null text is the end id alone. Other columns are left out.
+    doc_id comes first; rows with one doc_id are ordered by a hash of the text, and however many there are, they are dealt over
+    tasks; a null text is the end id alone. Other columns are left out whatever their names; an empty table gives no shard. A very
+    long text is whole in a shard of its own size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +136,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts), strict=True):
                     own_docs.append(doc_id)
                     own_ids.append(np.append(ids, np.uint16(end_id)))
                     held += ids.size + 1
@@ -145,8 +148,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int =
         if own_docs:
             yield shard()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, SHARDS), "token-codes")
+    order = ["doc_id", "_hash", "_row"]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = named.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ordered = named.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return cut(ordered.mapInArrow(run, SHARDS), "token-codes", compression="none")
 
 
 def with_starts(shards: DataFrame) -> DataFrame:
@@ -156,8 +162,40 @@ def with_starts(shards: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("start_in_part"))
 
 
+def lookup(shards: DataFrame, wanted: DataFrame, pieces: int = 64) -> DataFrame:
+    """doc_id, position, token_id for each asked (doc_id, position): one id by the rank directories, whatever the shard's size.
+
+    A position outside its document, and a document that no shard has, get a null. A doc_id that several documents share answers
+    for each. A shard's index says where its documents lie; what is asked of one shard goes to it in ``pieces``.
+    """
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs, at, _ = read_shard(payload)
+                n = len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(at[:-1]), pa.array(np.diff(at))], names=["of", "part", "seq", "first", "n"])
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_ids, positions, at = batch.column(0)[i].values.flatten()
+                ids = read_shard(batch.column(1)[i].as_py())[2].get(at.to_numpy())
+                yield pa.RecordBatch.from_arrays([doc_ids, positions, pa.array(ids.astype(np.int64))], names=["doc_id", "position", "token_id"])
+
+    places = shards.select("part", "seq", "payload").mapInArrow(index, "of long, part int, seq int, first long, n long")
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
+    found = asked.join(places, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    inside = F.coalesce((F.col("position") >= 0) & (F.col("position") < F.col("n")), F.lit(False))
+    ask = F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("place"))
+    lists = found.filter(inside).groupBy("part", "seq", F.pmod(F.xxhash64("doc_id", "position"), F.lit(pieces))).agg(F.collect_list(ask).alias("asks"))
+    read = lists.join(shards.select("part", "seq", "payload"), ["part", "seq"]).select("asks", "payload").mapInArrow(get, "doc_id long, position long, token_id long")
+    return read.unionByName(found.filter(~inside).select("doc_id", "position", F.lit(None).cast("long").alias("token_id")))
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, all read from the stored shards."""
+    """doc_id, start, n_tokens, ids_crc32 and middle_id (the id at n_tokens // 2, by random access) of every document, all read
+    from the stored shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +203,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 docs, at, codes = read_shard(payload)
                 data = memoryview(codes.all().astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                middle = codes.get(at[:-1] + np.diff(at) // 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(middle)], names=["doc_id", "start", "n_tokens", "ids_crc32", "middle_id"])
 
-    return with_starts(shards).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_starts(shards).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, middle_id long")

@@ -204,15 +204,3 @@ def encoder(path: str) -> PieceEncoder:
     """The encoder of a file, one for each Python worker, with its cache."""
     hold(f"tokens {path}", _encoder.cache_clear)
     return _encoder(path)
-
-
-def slices(texts: list[str | None], chars: int = 1 << 22):
-    """Index ranges of about ``chars`` characters, so a batch's tokens never are in memory all at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

@@ -118,7 +118,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_
     """query_id, rank (from 1), vec_id, score: each query's k best of all other rows, or all if fewer; ties to the smaller vec_id.
 
     ``is_query`` is a Column over vec_id. Rows that repeat a vec_id are rows of their own: each searches and is found,
-    and only its own row is left out. Vectors of other lengths are taken as ending in zeros. Equal rows tie in row order.
+    and only its own row is left out. Vectors of other lengths are taken as ending in zeros, so a very long one widens its own block
+    only. Equal rows tie in row order. Null vectors, and those with null or non-finite components, take no part; an empty table gives
+    no rows; other columns are left out whatever their names.
     """
     spark = vectors.sparkSession
     rows = cut(quantized(vectors, scale), "vectors")
