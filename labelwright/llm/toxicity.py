@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read a clause word by word: one knows insults (stems learnt from labelled texts, weighted) and threats,
-one whether a target is addressed, one how far a negation reaches, one whether the words are reported speech. Their
-composition is one table of arcs; where it passes an insult or threat it puts out the match's weight under the state
-it is in. A text is scored by its matched clauses: the best match of each state of each clause, summed over clauses, through a
-fitted logistic curve. Clauses without a match are never walked: an Aho-Corasick automaton over the stems finds those with one.
+Five weighted transducers rewrite a clause in turn: one may take an insult (stems learnt from labelled texts are its arcs, with
+their weights), one a threat, one says whether the match has a target, one whether a negation reaches it, one whether it is
+reported speech. Weights lie in one semiring (best path: sums along a path, the maximum over paths). The five are composed into
+one machine; a clause's score under each label is the weight of its best accepting path that puts that label out. A text is
+scored by the sums over its clauses through a fitted logistic curve. Sentences without a match are never walked: an Aho-Corasick
+automaton over the stems finds those with one. What a sentence reports goes on over its commas and colons.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.llm.common import slices
 from labelwright.llm.fitting import held_out, sample, texts_of
 
 #: Learnt from at most about this many texts of each label.
@@ -35,47 +37,102 @@ THREAT = frozenset("kill hurt beat stab shoot destroy burn murder töten umbring
 #: Words over which a negation reaches.
 REACH = 4
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»„]")
-_CLAUSE = re.compile(r"[.,;:!?|()\n]+")
-
-#: What a word is to the grammar.
-OTHER, INSULT, MENACE, ADDRESS, DENIAL, REPORT, QUOTE = range(7)
-#: What the grammar puts out for a match: plain or at a target, denied, reported; threats apart.
-PLAIN, TARGETED, DENIED, SAID, THREATENED = range(5)
-OUTPUTS = 5
+_SENTENCE = re.compile(r"[.!?\n]+")
+_CLAUSE = re.compile(r"[,;:|()]+")
+
+#: What a word is to the grammar; what the first two transducers make of a match; and the labels that the others give it.
+OTHER, INSULT, MENACE, ADDRESS, DENIAL, REPORT, QUOTE, HIT, AIMED = range(9)
+PLAIN, TARGETED, DENIED, SAID, THREATENED = LABELS = range(9, 14)
+OUTPUTS = len(LABELS)
+PASSED = (OTHER, ADDRESS, DENIAL, REPORT, QUOTE)
+#: Weights of arcs: the semiring's one; a threat (as a stem of that weight); a target; being denied or reported.
+ONE, THREAT_WEIGHT, TARGET_WEIGHT, LESS = 0.0, 1.0, 0.5, -0.5
 #: Characters by which a text's length enters the curve: long texts meet stems by chance.
 LENGTH, LENGTH_RIDGE, OUTPUT_RIDGE = 500, 20.0, 5.0
 #: Sums of matches beyond this say no more.
 ENOUGH = 10.0
 
 
+@dataclass(frozen=True)
+class Arc:
+    """``takes``: whether the word's own weight is added to ``weight``."""
+
+    to: int
+    out: int
+    weight: float = ONE
+    takes: bool = False
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """Arcs (state, symbol) -> (state, mark). Marks of composed machines are tuples."""
+    """Reads and writes one symbol an arc. Several arcs may leave a state under one symbol; a missing one ends a path."""
 
-    states: int
-    arcs: dict[tuple[int, int], tuple[int, object]]
+    arcs: dict[tuple[int, int], tuple[Arc, ...]]
+    finals: frozenset[int]
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both machines read the same word; the state is the pair of states, the mark the pair of marks."""
-        arcs = {}
-        for (a, x), (to, mark) in self.arcs.items():
-            for b in range(other.states):
-                to2, mark2 = other.arcs[b, x]
-                arcs[a * other.states + b, x] = (to * other.states + to2, (mark, mark2))
-        return Transducer(self.states * other.states, arcs)
+        """What ``other`` makes of what this one writes. States are pairs (a * n + b), of any start; weights add along."""
+        n = 1 + max(q for q, _ in other.arcs)
+        arcs: dict[tuple[int, int], tuple[Arc, ...]] = {}
+        for (a, x), own in self.arcs.items():
+            for b in range(n):
+                both = tuple(Arc(one.to * n + two.to, two.out, one.weight + two.weight, one.takes or two.takes) for one in own for two in other.arcs.get((b, one.out), ()))
+                if both:
+                    arcs[a * n + b, x] = both
+        return Transducer(arcs, frozenset(a * n + b for a in self.finals for b in other.finals))
+
+
+def insult() -> Transducer:
+    """Takes one insult of the clause or none: 0 none yet, 1 one taken."""
+    arcs = {(q, x): (Arc(q, OTHER if x == INSULT else x),) for q in (0, 1) for x in (*PASSED, MENACE, INSULT)}
+    arcs[0, INSULT] += (Arc(1, HIT, ONE, True),)
+    return Transducer(arcs, frozenset((0, 1)))
+
+
+def threat() -> Transducer:
+    """Takes one threat, if there is no insult taken, or none."""
+    arcs = {(q, x): (Arc(q, OTHER if x == MENACE else x),) for q in (0, 1) for x in (*PASSED, MENACE)}
+    arcs[0, MENACE] += (Arc(1, AIMED, THREAT_WEIGHT),)
+    arcs[0, HIT] = (Arc(1, HIT),)
+    return Transducer(arcs, frozenset((0, 1)))
+
 
+def target() -> Transducer:
+    """0 no target yet, 1 one met, 2 a match that needs one still to come, 3 a match that must have none. A threat needs one."""
+    arcs = {(q, x): (Arc(q, x),) for q in range(4) for x in PASSED}
+    arcs[0, ADDRESS] = arcs[1, ADDRESS] = arcs[2, ADDRESS] = (Arc(1, ADDRESS),)
+    del arcs[3, ADDRESS]
+    arcs[0, HIT], arcs[1, HIT] = (Arc(3, PLAIN), Arc(2, TARGETED, TARGET_WEIGHT)), (Arc(1, TARGETED, TARGET_WEIGHT),)
+    arcs[0, AIMED], arcs[1, AIMED] = (Arc(2, THREATENED),), (Arc(1, THREATENED),)
+    return Transducer(arcs, frozenset((0, 1, 3)))
 
-def _machine(states: int, step) -> Transducer:
-    return Transducer(states, {(s, x): step(s, x) for s in range(states) for x in range(7)})
+
+def negation() -> Transducer:
+    """The state is how many words the negation still reaches."""
+    arcs = {}
+    for q in range(REACH + 1):
+        for x in (*PASSED, PLAIN, TARGETED, THREATENED):
+            denied = q > 0 and x in LABELS
+            arcs[q, x] = (Arc(REACH if x == DENIAL else max(0, q - 1), DENIED if denied else x, LESS if denied else ONE),)
+    return Transducer(arcs, frozenset(range(REACH + 1)))
+
+
+def report() -> Transducer:
+    """Bit 1: a word of reporting was met; bit 2: inside quotation marks."""
+    arcs = {}
+    for q in range(4):
+        for x in (*PASSED, *(y for y in LABELS if y != SAID)):
+            said = q > 0 and x in LABELS
+            arcs[q, x] = (Arc(q | 1 if x == REPORT else q ^ 2 if x == QUOTE else q, SAID if said else x, LESS if said else ONE),)
+    return Transducer(arcs, frozenset(range(4)))
+
+
+REPORTS = report()
 
 
 def grammar() -> Transducer:
-    """Match, target, negation and reported speech composed: one arc a word, marks (((match, target), negation), report)."""
-    match = _machine(1, lambda s, x: (0, x if x in (INSULT, MENACE) else None))
-    target = _machine(2, lambda s, x: (1 if s or x == ADDRESS else 0, bool(s)))
-    negation = _machine(REACH + 1, lambda s, x: (REACH if x == DENIAL else max(0, s - 1), s > 0))
-    report = _machine(4, lambda s, x: (s | 1 if x == REPORT else s ^ 2 if x == QUOTE else s, s > 0))
-    return match.compose(target).compose(negation).compose(report)
+    """All five composed; a clause starts in the state whose report part the sentence so far gives."""
+    return insult().compose(threat()).compose(target()).compose(negation()).compose(REPORTS)
 
 
 @dataclass
@@ -101,23 +158,40 @@ class Grammar:
                 return kind, 1.0
         return (QUOTE if not word.isalpha() else OTHER), 0.0
 
-    def clause(self, text: str) -> list[float]:
-        """The best match under each output for one clause (lower case)."""
-        out, state = [0.0] * OUTPUTS, 0
-        words = [self._kind(w) for w in _WORD.findall(text)]
-        addressed = any(k == ADDRESS for k, _ in words)
+    def clause(self, words: list[tuple[int, float]], start: int = 0) -> list[float]:
+        """For one clause (kinds and weights of its words): the best accepting path's weight under each label, 0 without one."""
+        arcs, paths = self.table.arcs, {(start, 0): ONE}
         for kind, weight in words:
-            state, (((match, _), denied), said) = self.table.arcs[state, kind]
-            if match is None or (match == MENACE and not addressed):
-                continue
-            at = SAID if said else DENIED if denied else THREATENED if match == MENACE else TARGETED if addressed else PLAIN
-            out[at] = max(out[at], weight)
+            ahead: dict[tuple[int, int], float] = {}
+            for (state, label), so_far in paths.items():
+                for arc in arcs.get((state, kind), ()):
+                    key = arc.to, arc.out if arc.out in LABELS else label
+                    total = so_far + arc.weight + (weight if arc.takes else ONE)
+                    if total > ahead.get(key, -math.inf):
+                        ahead[key] = total
+            paths = ahead
+        out = [0.0] * OUTPUTS
+        for (state, label), total in paths.items():
+            if label and state in self.table.finals:
+                out[label - PLAIN] = max(out[label - PLAIN], total)
+        return out
+
+    def sentence(self, text: str) -> list[float]:
+        """Sums over the clauses of one sentence (lower case)."""
+        out, said = [0.0] * OUTPUTS, 0
+        for part in _CLAUSE.split(text):
+            words = [self._kind(w) for w in _WORD.findall(part)]
+            if any(kind in (INSULT, MENACE) for kind, _ in words):
+                out = [a + b for a, b in zip(out, self.clause(words, said), strict=True)]
+            for kind, _ in words:
+                if kind in (REPORT, QUOTE):
+                    said = REPORTS.arcs[said, kind][0].to
         return out
 
     def matches(self, text: str | None) -> list[float]:
-        """Sums over clauses with a match. A text without any is all zeros."""
+        """Sums over sentences with a match. A text without any is all zeros. Each character is looked at a few times."""
         total = [0.0] * OUTPUTS
-        if not text or not self.stems and not THREAT:
+        if not text:
             return total
         if self.finder is None:
             import ahocorasick
@@ -127,16 +201,16 @@ class Grammar:
                 self.finder.add_word(word, len(word))
             self.finder.make_automaton()
         low = text.lower()
+        left, stop = 0, _SENTENCE.search(low)
         done = -1
         for end, size in self.finder.iter(low):
             start = end - size + 1
             if start < done or (start and low[start - 1].isalpha()):
                 continue
-            left = max((m for m in (low.rfind(c, 0, start) for c in ".,;:!?|()\n")), default=-1) + 1
-            cut = _CLAUSE.search(low, end)
-            done = cut.start() if cut else len(low)
-            for i, weight in enumerate(self.clause(low[left:done])):
-                total[i] += weight
+            while stop and stop.end() <= start:
+                left, stop = stop.end(), _SENTENCE.search(low, stop.end())
+            done = stop.start() if stop else len(low)
+            total = [a + b for a, b in zip(total, self.sentence(low[left:done]), strict=True)]
         return total
 
     def inputs(self, text: str | None) -> list[float]:
@@ -229,13 +303,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TEXTS_PER_LABEL)
 
 
 def score(docs: DataFrame, model: Grammar, column: str = "toxicity") -> DataFrame:
-    """The rows with ``column``: 0 to 1, higher for likelier toxic. Null and empty texts get the score of no match."""
+    """The rows with ``column``: 0 to 1, higher for likelier toxic. Null and empty texts get the score of no match.
+
+    Only the text is looked at, so repeated rows get one score and null ids stay. Other columns stay whatever their names, but one
+    named ``column`` is replaced. An empty table stays empty. Very long texts take time in proportion to their length.
+    Equally good paths under one label have one weight, so ties change nothing.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammar_ = shared.value
         for batch in batches:
-            yield pd.Series([grammar_.score(t) for t in batch.tolist()], dtype="float64")
+            yield pa.array([grammar_.score(t) for _, _, texts in slices(batch) for t in texts], pa.float64())
 
     return docs.withColumn(column, scored(F.col("text").cast("string")))
