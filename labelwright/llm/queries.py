@@ -49,7 +49,8 @@ def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.chats(quotes.thread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    threaded = quotes.thread(quotes.quoting(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return threaded.select("conv_id", "position", "turn", "role", "text", "n_quotes", "n_linked", "reply_to", quotes.chat_line(F.col("role"), F.col("text")).alias("line"))
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE, "op4_repeats": substring.ORACLE, "op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE, "op4_repeats": substring.ORACLE, "op8_quotes": quotes.ORACLE, "op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE}

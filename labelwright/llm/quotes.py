@@ -16,8 +16,6 @@ from labelwright.llm.common import cut
 _MARKS = r"^(?:[ \t]*>)+"
 #: A line that announces a quote; it goes with the quote below it.
 _ANNOUNCED = r"(?i)(?:wrote|writes|said|schrieb|écrit|escribió) ?:[ \t]*$"
-#: Messages of one chat text; longer conversations come in several.
-SEGMENT = 64
 
 
 def normalised(text: Column) -> Column:
@@ -168,13 +166,73 @@ def thread(messages: DataFrame) -> DataFrame:
     return single.unionByName(repeated).unionByName(alone)
 
 
-def chats(threaded: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, turns, n_linked, chat: messages with text or quotes in reply order, ``segment`` of them at most in one chat text.
+def chat_line(role: Column, text: Column) -> Column:
+    """One message as chat text; null for a message without text of its own."""
+    return F.when(text != "", F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), text, F.lit("\n<|end|>")))
+
+
+def chats(threaded: DataFrame, segment: int | None = None) -> DataFrame:
+    """conv_id, segment, turns, n_linked, chat: messages with text or quotes in reply order, one row a conversation.
 
     A message that only quotes has its turn and links here and no line in the chat. Messages without conversation are a row each.
+    A row holds its whole conversation; where some are too long for that, ask for pieces of ``segment`` messages, or keep to the
+    rows of ``thread`` with ``chat_line``, which have no such bound.
     """
     threaded = threaded.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
-    part = F.floor(F.col("position") / segment).alias("segment")
-    line = F.struct("position", F.when(F.col("text") != "", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "text", F.lit("\n<|end|>"))).alias("line"), F.col("turn").alias("turn"))
+    part = (F.floor(F.col("position") / segment) if segment else F.lit(0).cast("long")).alias("segment")
+    line = F.struct("position", chat_line(F.col("role"), F.col("text")).alias("line"), F.col("turn").alias("turn"))
     grouped = threaded.filter("text <> '' OR n_quotes > 0").groupBy("conv_id", "alone", part).agg(F.sort_array(F.collect_list(line)).alias("all"), F.sum("n_linked").alias("n_linked"))
     return grouped.select("conv_id", "segment", F.transform("all", lambda x: x["turn"]).alias("turns"), "n_linked", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("chat"))
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The messages as replies that quote: by turn % 4 nothing, the message before, that one announced, or the two before on two levels.
+
+    For tables whose messages carry no quotes; every message keeps its own text below them.
+    """
+    rows = messages.select("conv_id", "turn", "role", "text")
+    for n in (1, 2):
+        past = messages.groupBy("conv_id", (F.col("turn") + n).alias("turn")).agg(F.regexp_replace(F.coalesce(F.min("text"), F.lit("")), "\n", "\n" + ">" * n + " ").alias(f"past{n}"))
+        rows = rows.join(past, ["conv_id", "turn"], "left")
+    one, two = F.concat(F.lit("> "), "past1", F.lit("\n")), F.concat(F.lit(">> "), "past2", F.lit("\n"))
+    kind = F.col("turn") % 4
+    head = F.when(kind == 1, one).when(kind == 2, F.concat(F.lit("Someone wrote:\n"), one)).when(kind == 3, F.concat(two, one))
+    return rows.select("conv_id", "turn", "role", F.concat(F.coalesce(head, F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+#: The same rows from lines, units and a recursion over replies, where no message repeats a turn or lacks a conversation.
+ORACLE = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), m AS (
+  SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 4 WHEN 1 THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10)
+    WHEN 2 THEN 'Someone wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10)
+    WHEN 3 THEN '>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) END, '') || c.text AS text
+  FROM c LEFT JOIN c a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+), s AS (SELECT conv_id, turn, regexp_split_to_array(text, '\r?\n') AS ls FROM m), l AS (
+  SELECT conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM s
+), k AS (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marks, regexp_replace(line, '^(?:[ \t]*>)+ ?', '') AS body FROM l), v AS (
+  SELECT conv_id, turn, i, body, len(marks) - len(replace(marks, '>', '')) AS level FROM k
+), g AS (
+  SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS island, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS next FROM v
+), own AS (
+  SELECT conv_id, turn, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY i), '\n(?:[ \t]*\n)+', chr(10), 'g'), '\A[\s\x0B]+|[\s\x0B]+\z', '', 'g') AS text
+  FROM g WHERE level = 0 AND NOT (coalesce(next, 0) > 0 AND regexp_matches(body, '(?i)(?:wrote|writes|said|schrieb|écrit|escribió) ?:[ \t]*$')) GROUP BY conv_id, turn
+), said AS (SELECT m.conv_id, m.turn, m.role, coalesce(own.text, '') AS text FROM m LEFT JOIN own USING (conv_id, turn)), q AS (
+  SELECT conv_id, turn, level, min(i) AS passage, list(body ORDER BY i) AS ls FROM g WHERE level > 0 GROUP BY conv_id, turn, level, island
+), qu AS (SELECT conv_id, turn, level, passage, unnest(list_append(ls, array_to_string(ls, chr(10)))) AS x FROM q), su AS (
+  SELECT conv_id, turn, unnest(list_append(string_split(text, chr(10)), text)) AS x FROM said WHERE text <> ''
+), qn AS (SELECT DISTINCT conv_id, turn, level, passage, trim(regexp_replace(lower(x), '[\s\x0B\x{A0}]+', ' ', 'g')) AS unit FROM qu), sn AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(x), '[\s\x0B\x{A0}]+', ' ', 'g')) AS unit FROM su
+), f AS (
+  SELECT qn.conv_id, qn.turn, level, passage, qn.unit, max(sn.turn) AS original FROM qn LEFT JOIN sn ON sn.conv_id = qn.conv_id AND sn.unit = qn.unit AND sn.turn < qn.turn WHERE qn.unit <> '' GROUP BY ALL
+), votes AS (SELECT conv_id, turn, level, passage, original, count(*) AS n FROM f GROUP BY ALL), best AS (
+  SELECT * FROM votes WHERE original IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn, passage ORDER BY n DESC, original DESC) = 1
+), reply AS (
+  SELECT conv_id, turn, original AS reply_to FROM best QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, original DESC) = 1
+), counted AS (SELECT conv_id, turn, count(*) AS n_linked FROM best GROUP BY ALL), nq AS (SELECT conv_id, turn, count(*) AS n_quotes FROM q GROUP BY ALL), tree AS (
+  SELECT said.conv_id, said.turn, [said.turn] AS path FROM said LEFT JOIN reply USING (conv_id, turn) WHERE reply_to IS NULL
+  UNION ALL SELECT r.conv_id, r.turn, list_append(tree.path, r.turn) FROM reply r JOIN tree ON tree.conv_id = r.conv_id AND tree.turn = r.reply_to
+)
+SELECT said.conv_id, row_number() OVER (PARTITION BY said.conv_id ORDER BY path) - 1 AS position, said.turn, role, text, CAST(coalesce(n_quotes, 0) AS INTEGER) AS n_quotes,
+  coalesce(n_linked, 0) AS n_linked, reply_to, CASE WHEN text <> '' THEN '<|' || coalesce(role, '') || '|>' || chr(10) || text || chr(10) || '<|end|>' END AS line
+FROM said JOIN tree USING (conv_id, turn) LEFT JOIN reply USING (conv_id, turn) LEFT JOIN counted USING (conv_id, turn) LEFT JOIN nq USING (conv_id, turn)
+"""
