@@ -29,15 +29,17 @@ def quality_weight(text: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * (size - clean) / F.greatest(size, F.lit(1)))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of a hash of the id: the same in every run."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str = "mix") -> Column:
+    """-ln(u) / weight with u in (0, 1) from 52 bits of a hash of the id and the text: the same in every run, for rows that share an id
+    or have none too."""
+    named = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    bits = F.conv(F.substring(F.md5(named), 1, 13), 16, 10)
     return -F.ln((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
 def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Adds ``_size`` (words), ``_key`` and ``_bin``; every document of one bin has a smaller key than any of the next."""
-    docs = docs.withColumns({"_size": word_count(F.col("text")), "_key": sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)})
+    docs = docs.withColumns({"_size": word_count(F.col("text")), "_key": sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed)})
     return docs.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("_key"))))).cast("int"))
 
 
@@ -62,10 +64,11 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: int =
 
 
 def thresholds(slim: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row a source: source_size, target, epochs and ``last``, the (key, size, doc_id) of the last document of the fraction.
+    """One row a source: source_size, target, epochs, ``last``, the (key, size, doc_id) of the last document of the fraction, and how
+    many rows (``few`` of ``alike``) like that one are in it.
 
     A document is in the fraction if the middle of its words lies before the budget's end, so a source misses its
-    target by at most half a document. Rows alike in key, size and id are taken together.
+    target by at most half a document. Rows alike are counted before anything is sorted, so copies make no large sort.
     """
     per_bin = slim.groupBy("source", "_bin").agg(F.sum("_size").alias("words"))
     targets = source_targets(per_bin.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs)
@@ -76,11 +79,15 @@ def thresholds(slim: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     t = targets.withColumnRenamed("source", "of")
     ends = bins.join(t, F.col("source").eqNullSafe(F.col("of"))).filter("through > budget").groupBy("source").agg(F.min_by(F.struct("_bin", "before", "budget"), "_bin").alias("end"))
     ends = ends.select(F.col("source").alias("of"), F.col("end._bin").alias("end_bin"), F.col("end.before").alias("before"), F.col("end.budget").alias("budget"))
-    edge = slim.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("_bin") == F.col("end_bin")))
-    rank = F.struct("_key", "_size", "doc_id")
-    in_bin = Window.partitionBy("source").orderBy("_key", "_size", "doc_id")
-    edge = edge.withColumn("middle", F.col("before") + F.sum("_size").over(in_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size") / 2)
-    last = edge.groupBy("source").agg(F.max("end_bin").alias("end_bin"), F.max(F.when(F.col("middle") < F.col("budget"), rank)).alias("last"))
+    edge = slim.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("_bin") == F.col("end_bin")))
+    edge = edge.groupBy("source", "_key", "_size", "doc_id", "end_bin", "before", "budget").agg(F.count("*").alias("alike"))
+    in_bin = Window.partitionBy("source").orderBy("_key", "_size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("_size") * F.col("alike")).over(in_bin), F.lit(0))
+    # The j-th of rows alike is in if start + (j - 1/2) * size < budget; rows without words cost nothing.
+    few = F.when(F.col("_size") > 0, F.ceil((F.col("budget") - F.col("start")) / F.col("_size") - F.lit(0.5))).when(F.col("start") < F.col("budget"), F.col("alike")).otherwise(0)
+    edge = edge.withColumn("start", start).withColumn("few", F.least("alike", few))
+    last = edge.groupBy("source").agg(F.max("end_bin").alias("end_bin"), F.max(F.when(F.col("few") > 0, F.struct(F.struct("_key", "_size", "doc_id").alias("last"), "few", "alike"))).alias("l"))
+    last = last.select("source", "end_bin", "l.*")
     return targets.join(last.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "budget")
 
 
@@ -90,16 +97,32 @@ def decide(rows: DataFrame, limits: DataFrame) -> DataFrame:
     few = limits.count() <= BROADCAST_SOURCES
     limits = limits.withColumnRenamed("source", "_of")
     joined = rows.join(F.broadcast(limits) if few else limits, F.col("source").eqNullSafe(F.col("_of")))
-    within = (F.col("_bin") < F.col("end_bin")) | ((F.col("_bin") == F.col("end_bin")) & (F.struct("_key", "_size", "doc_id") <= F.col("last")))
-    joined = joined.withColumn("copies", F.col("epochs") + F.coalesce(within, F.lit(False)).cast("long"))
-    return joined.withColumn("taken", F.col("copies") * F.col("_size")).drop("_of", "end_bin", "last", "epochs", "weight")
+    rank, on_edge = F.struct("_key", "_size", "doc_id"), F.col("_bin") == F.col("end_bin")
+    joined = joined.withColumn("_tied", F.coalesce(on_edge & rank.eqNullSafe(F.col("last")) & (F.col("few") < F.col("alike")), F.lit(False)))
+    within = (F.col("_bin") < F.col("end_bin")) | (on_edge & (rank <= F.col("last")))
+    decided = joined.withColumn("_in", F.coalesce(within, F.lit(False)))
+    if not limits.filter("few < alike").isEmpty():
+        decided = decided.filter("NOT _tied").unionByName(_numbered(joined.filter("_tied")).withColumn("_in", F.col("_nth") <= F.col("few")).drop("_nth"))
+    decided = decided.withColumn("copies", F.col("epochs") + F.col("_in").cast("long"))
+    return decided.withColumn("taken", F.col("copies") * F.col("_size")).drop("_of", "end_bin", "last", "epochs", "weight", "few", "alike", "_tied", "_in")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_nth``, from 1, of rows alike of a source: counted in each part, and over the parts before; no part gathers a source."""
+    rows = cut(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "tied")
+    counts = rows.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("source").alias("_source"), F.col("_part").alias("_at"), (F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_part").orderBy("_row")))
+    joined = own.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn("_nth", F.col("_nth") + F.col("_before")).drop("_source", "_at", "_before", "_part", "_row")
 
 
 def mixing_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken.
 
     A null text has no words; it is taken 0 words whatever its copies. A null source is a source of its own, last in order.
-    An empty table gives no rows. Rows that repeat a doc_id draw the same number but stay rows of their own.
+    An empty table gives no rows. Rows that repeat a doc_id, or have none, draw by their texts; of rows alike in both as many are
+    taken as the budget holds. Texts of any length are one word count; other columns are left out.
     """
     slim = cut(keyed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")), seed).drop("text"), "mix-keys")
     return decide(slim, thresholds(slim)).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies", "taken")
@@ -126,7 +149,7 @@ WITH d AS (
   FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-         -ln((CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || t), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
          / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (length(t) - length(translate(t, '0123456789|{}[]<>=_/@#$%&*~+', ''))) / greatest(length(t), 1))) AS key
   FROM d
 ), s AS (
