@@ -13,22 +13,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def sample(rows: DataFrame, label: str, per_label: int) -> list[tuple]:
-    """About ``per_label`` (doc_id, label) of each label, by a hash of doc_id, so the same rows every time.
+#: Bounds of a sample besides its rows: labels learnt at most, the commonest ones, as a column of free text may hold any number of
+#: them; and characters of its longest text.
+MOST_LABELS, LONGEST = 512, 200_000
 
-    ``rows`` has doc_id and ``label``, without null. What reaches the driver is bounded by labels * per_label, twice that at most.
+
+def sample(rows: DataFrame, label: str, per_label: int, most_labels: int = MOST_LABELS) -> list[tuple]:
+    """About ``per_label`` (doc_id, label) of each of the ``most_labels`` commonest labels, by a hash of doc_id, so the same rows every time.
+
+    ``rows`` has doc_id and ``label``, without null. What reaches the driver is bounded by most_labels * per_label, twice that at most.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(most_labels).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_label / n))])
+    shares = rows.sparkSession.createDataFrame([(r[0], min(1.0, per_label / r[1])) for r in counts], f"{label} {dict(rows.dtypes)[label]}, _share double")
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return [tuple(r) for r in rows.filter(draw < share[F.col(label)]).select("doc_id", label).limit(2 * per_label * len(counts)).collect()]
+    chosen = rows.join(F.broadcast(shares), label).filter(draw < F.col("_share"))
+    return [tuple(r) for r in chosen.select("doc_id", label).limit(2 * per_label * len(counts)).collect()]
 
 
-def texts_of(docs: DataFrame, chosen: list[tuple], label: str, kind: str) -> list[tuple[str, object]]:
-    """(text, label) of the chosen rows, in id order; the chosen ids are broadcast, as few as ``sample`` takes."""
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, f"doc_id long, {label} {kind}")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "text", label).collect()
+def texts_of(docs: DataFrame, chosen: list[tuple], label: str, kind: str, longest: int = LONGEST) -> list[tuple[str, object]]:
+    """(text, label) of the chosen rows, in id order, one a doc_id; the chosen ids are broadcast, as few as ``sample`` takes.
+
+    Texts above ``longest`` characters aren't learnt from, and of rows that share an id one text is, so what is collected is bounded.
+    """
+    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id long, {label} {kind}").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= longest)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
