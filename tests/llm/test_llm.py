@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,8 +15,9 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from labelwright.llm import components, langid, media, minhash, mixing, packing, quotes, substring, tokencodes, tokenize, topk, toxicity
+from labelwright.llm import components, fitting, langid, media, minhash, mixing, packing, quotes, substring, tokencodes, tokenize, topk, toxicity
 from labelwright.llm.common import cut
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -75,7 +77,7 @@ def test_near_duplicates(spark, percent):
 
 
 def test_near_duplicates_in_tiles(spark, monkeypatch):
-    """A large group of near copies of which most aren't alike: hubs, tiles, and buckets instead of large groups."""
+    """A large group of near copies of which most aren't alike, in one tile and in many."""
     rng = random.Random(1)
     start = [f"w{i}" for i in range(100)]
     texts = []
@@ -86,12 +88,23 @@ def test_near_duplicates_in_tiles(spark, monkeypatch):
         texts.append(" ".join(own))
     want = sorted(groups_by_hand(range(90), texts, 85), key=repr)
     assert 1 < len({c for _, _, c, _ in want}) < 80
-    for tile, group in ((7, 20_000), (1024, 10)):
-        monkeypatch.setattr(minhash, "TILE", tile)
-        monkeypatch.setattr(minhash, "GROUP", group)
+    for tile in (50, 1000, 1 << 18):
+        monkeypatch.setattr(minhash, "TILE_LEAST", min(tile, 8192))
+        monkeypatch.setattr(minhash, "TILE_MOST", tile)
         assert rows(minhash.near_duplicates(docs_of(spark, texts), 85)) == want
 
 
+@pytest.mark.parametrize(("counted", "at_once"), [(1 << 15, 256), (7, 3), (40, 1)])
+def test_common_shingles(monkeypatch, counted, at_once):
+    """Counts of common elements don't depend on how much is counted at once."""
+    monkeypatch.setattr(minhash, "COUNTED", counted)
+    monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    groups = [[np.sort(rng.choice(60, rng.integers(1, 25), replace=False)) for _ in range(n)] for n in (17, 11)]
+    got = minhash._common(*((np.array([len(x) for x in g]), np.concatenate(g).astype(np.int64)) for g in groups))
+    assert got.tolist() == [[len(set(a) & set(b)) for b in groups[1]] for a in groups[0]]
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(docs_of(spark, []), 85).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, None), (None, None)], "doc_id long, text string")
@@ -140,6 +153,39 @@ def test_forward_backward_by_hand():
     assert counts.sum() == pytest.approx(4 + 1 + 4)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 40])
+def test_long_sequences_are_whole(block):
+    """Blocks of any size give the probabilities of one pass over whole sequences, sharp moves and scores included."""
+    rng = np.random.default_rng(block)
+    sizes = np.array([37, 1, 0, 5, 80, 3, 14])
+    for sharp in (1, 30):
+        scores, moves = (sharp * rng.normal(size=(sizes.sum(), 3))).astype(np.float32), sharp * rng.normal(size=(3, 3))
+        want, _ = langid.forward_backward(scores, sizes, moves, block=10_000)
+        got, _ = langid.forward_backward(scores, sizes, moves, block=block)
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_features_in_chunks(monkeypatch):
+    """Words featured a few at a time, and a cache that overflows, change no score."""
+    rng = random.Random(9)
+    model = langid.fit([(speech(rng, t, 40), t) for t in TONGUES for _ in range(20)])
+    assert model.lexicon and set(model.lexicon.values()) <= set(range(1, 8))
+    texts = [speech(rng, t, 50) for t in TONGUES for _ in range(8)] + ["z" * 3000 + " ka"]
+    want = model.label(texts)
+    monkeypatch.setattr(langid, "AT_ONCE", 3)
+    for cache in (1, 40, 1000):
+        monkeypatch.setattr(langid, "CACHE", cache)
+        for at in range(0, len(texts), 5):
+            names, scores = model.label(texts[at : at + 5])
+            assert names == want[0][at : at + 5] and np.allclose(scores, want[1][at : at + 5], atol=1e-5)
+
+
+def test_commonest_labels_are_sampled(spark):
+    rows_ = spark.createDataFrame([(i, f"l{i % 5 if i < 500 else i}") for i in range(520)], "doc_id long, lang string")
+    got = fitting.sample(rows_, "lang", 10, 4)
+    assert len({y for _, y in got}) == 4 and len(got) <= 80 and sorted(got) == sorted(fitting.sample(rows_.repartition(3), "lang", 10, 4))
+
+
 def test_identify(spark):
     rng = random.Random(4)
     texts = [(i, speech(rng, t, 30), t if i % 7 else None) for i, t in enumerate(list(TONGUES) * 40)] + [(900, None, "xx"), (901, "", None), (None, speech(rng, "yy", 9), "xx")]
@@ -169,15 +215,74 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in data) and got[1000] == got[1001] < 0.5 <= got[None]
 
 
-def test_grammar_states():
+def kinds(g, text):
+    return [g._kind(w) for w in toxicity._WORD.findall(text)]
+
+
+def test_grammar_labels():
     g = toxicity.Grammar({"dolt$": 5.0, "grub": 4.0}, np.zeros(7))
     p, t, d, s, m = range(5)
-    for text, at, weight in (("a dolt", p, 5), ("you are a dolt", t, 5), ("he is not a dolt", d, 5), ("she said he was a dolt", s, 5), ('a "dolt" again', s, 5), ("i will kill you", m, 1), ("grublike thing", p, 4)):
-        out = g.clause(text)
-        assert out[at] == weight and sum(out) == weight, text
-    assert g.clause("dolts kill time") == [0.0] * 5
-    assert g.matches("A dolt. You dolt! nothing, kill me not") == [5.0, 5.0, 0.0, 0.0, 0.0]
-    assert g.matches("undolt doltish") == [0.0] * 5
+    more, less, aim = toxicity.TARGET_WEIGHT, toxicity.LESS, toxicity.THREAT_WEIGHT
+    for text, at, weight in (
+        ("a dolt", p, 5), ("you are a dolt", t, 5 + more), ("a dolt are you", t, 5 + more), ("he is not a dolt", d, 5 + more + less), ("she said he was a dolt", s, 5 + more + less),
+        ('a "dolt" again', s, 5 + less), ("i will kill you", m, aim), ("you i will not kill", d, aim + less), ("grublike thing", p, 4), ("a dolt and grublike", p, 5), ("no no no no no one calls a dolt", s, 5 + 2 * less),
+    ):
+        out = g.clause(kinds(g, text))
+        assert out[at] == pytest.approx(weight), text
+    assert g.clause(kinds(g, "a dolt not far from you"))[p] == 0.0  # a target in the clause, so it isn't plain
+    assert g.clause(kinds(g, "dolts kill time")) == [0.0] * 5
+    assert g.matches("A dolt. You dolt! nothing, kill me not") == [5.0, 5.0 + more, 0.0, 0.0, 0.0]
+    assert g.matches("undolt doltish") == g.matches(None) == [0.0] * 5
+    assert g.matches("she said, clearly: a dolt. a dolt") == [5.0, 0.0, 0.0, 5.0 + less, 0.0]
+
+
+def rewritten(machine, start, symbols):
+    """Every path of one machine over weighted symbols: (what it writes, weight)."""
+    paths = [(start, (), 0.0)]
+    for x, own in symbols:
+        paths = [(arc.to, (*wrote, (arc.out, 0.0 if arc.takes else own)), w + arc.weight + (own if arc.takes else 0.0)) for q, wrote, w in paths for arc in machine.arcs.get((q, x), ())]
+    return [(wrote, w) for q, wrote, w in paths if q in machine.finals]
+
+
+def test_grammar_against_all_paths():
+    """The composed machine's best paths against all paths of the five machines, one behind the other."""
+    rng = random.Random(12)
+    g = toxicity.Grammar({}, np.zeros(7))
+    for _ in range(300):
+        start = rng.randrange(4)
+        words = [(rng.choice(range(7)), rng.choice([1.0, 2.5, 4.0])) for _ in range(rng.randrange(1, 7))]
+        words = [(k, w if k == toxicity.INSULT else 0.0) for k, w in words]
+        ways = [(tuple(words), 0.0)]
+        for machine, at in ((toxicity.insult(), 0), (toxicity.threat(), 0), (toxicity.target(), 0), (toxicity.negation(), 0), (toxicity.report(), start)):
+            ways = [(wrote, w + more) for symbols, w in ways for wrote, more in rewritten(machine, at, symbols)]
+        want = [0.0] * 5
+        for wrote, w in ways:
+            for x, _ in wrote:
+                if x in toxicity.LABELS:
+                    want[x - toxicity.PLAIN] = max(want[x - toxicity.PLAIN], w)
+        assert g.clause(words, start) == pytest.approx(want), words
+
+
+def test_long_texts_take_linear_time():
+    g = toxicity.Grammar({"dolt$": 5.0}, np.zeros(7))
+    spent = []
+    for n in (20_000, 160_000):
+        text = "you are a dolt, they say; " * n
+        began = time.process_time()
+        g.matches(text)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 24 * max(spent[0], 0.05)
+    assert g.matches("dolt " * 1000)[0] == 5.0
+
+
+def test_toxicity_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(empty, labels)
+    assert toxicity.score(empty, model).count() == 0
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "doc_id long, text string").withColumn("toxicity", F.lit("clash")).withColumn("stems", F.lit(1))
+    got = toxicity.score(df, model)
+    assert got.columns == df.columns and {r.toxicity for r in got.collect()} == {0.5}
 
 
 # --- 4 -----------------------------------------------------------------------------------------------------------------------
@@ -194,8 +299,11 @@ def kept_by_hand(texts, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "m", "hot"), [(35, 6, 5000), (5, 2, 5000), (5, 2, 1), (4, 4, 3)])
-def test_repeats(spark, window, m, hot):
+@pytest.mark.parametrize(("window", "m", "hot", "broadcast"), [(35, 4, 5000, 500_000), (5, 2, 5000, 500_000), (5, 2, 1, 500_000), (4, 4, 3, 500_000), (5, 2, 1, 0)])
+def test_repeats(spark, monkeypatch, window, m, hot, broadcast):
+    """No hot minimiser, most of them hot, and hot ones too many to broadcast: the same result."""
+    monkeypatch.setattr(substring, "BROADCAST", broadcast)
+    monkeypatch.setattr(substring, "SALTS", 3)
     texts = corpus()
     df = docs_of(spark, texts).withColumns({"k1": F.lit("x"), "row": F.lit(2)})
     got = sorted(map(tuple, substring.digest(substring.remove_repeats(df, window, m, hot)).collect()))
@@ -218,21 +326,19 @@ def test_repeats_edges(spark):
 
 
 def test_places_of_a_hot_window_stay(spark, monkeypatch):
-    """The windows of a passage that all texts have reach no counting group, and the result is the same."""
+    """The windows of a passage that all texts have reach no bucket and no shuffle of places, and the result is the same."""
     passage = "a b c d e f g h"
     texts = [f"{i} {passage} {i * 7 + 1000}" for i in range(40)] + ["q r s t u v", "q r s t u w", "x y z"]
-    packed = []
-    pack = substring._pack
-    monkeypatch.setattr(substring, "_pack", lambda held: packed.append(held) or pack(held))
     df = docs_of(spark, texts).select(F.lit(1).cast("long").alias("k1"), F.monotonically_increasing_id().alias("k2"), "text").coalesce(1)
-    many = substring._hot(df, 5, 2, 10)
-    heavy = substring._heavy(df, 5, 2, many, 10)
-    assert len(heavy) == 4
+    found, strings = substring._hot(df, 5, 2, 10)
+    assert strings > 40 and found.count() >= 1
+    routes = substring._Routes(spark.sparkContext.broadcast(np.array([r[0] for r in found.collect()], np.int64)))
     batch = pa.RecordBatch.from_pylist([r.asDict() for r in df.collect()])
-    list(substring._travel(5, 2, 8, many, heavy)(iter([batch])))
-    assert max(len(places) for held in packed for places in held.values()) == 1
-    spans = pa.Table.from_batches(substring._marked(5, 2, many, heavy)(iter([batch])))
-    assert sorted(zip(spans["begin"].to_pylist(), spans["end"].to_pylist(), strict=True)) == [(1, 9)] * 40
+    packed = pa.Table.from_batches(substring._travel(5, 2, 8, routes)(iter([batch])))
+    assert max(int(n) for x in packed["packed"].to_pylist() for n in substring._unpack(x)[1]) == 1
+    singles = spark.createDataFrame(pa.Table.from_batches(substring._singles(5, 2, routes)(iter([batch]))).to_pandas())
+    marked = substring._marked(singles, 5, 10)
+    assert {(r.begin, r.end) for r in marked.collect()} == {(i, i + 5) for i in range(1, 5)} and marked.count() == 160
     got = sorted(map(tuple, substring.digest(substring.remove_repeats(docs_of(spark, texts), 5, 2, 10)).collect()))
     assert [g[1:] for g in got] == kept_by_hand(texts, 5)
 
@@ -240,33 +346,50 @@ def test_places_of_a_hot_window_stay(spark, monkeypatch):
 # --- 5, 7 --------------------------------------------------------------------------------------------------------------------
 
 
+PLAIN = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
+def ids_by_library(path, text):
+    """What the untouched file gives for a whole text."""
+    return PLAIN[path].encode(text or "", add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=60), min_size=1, max_size=6))
+@given(st.lists(st.text(max_size=60) | st.text("ab É.,;!\n\t <|>'1", max_size=60), min_size=1, max_size=6))
 def test_cached_encoding_is_exact(texts):
     for path in (BYTE, WORD):
-        coder = tokenize.encoder(path)
-        for text, ids in zip(texts, coder.encode(texts), strict=True):
-            assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert [ids.tolist() for ids in tokenize.encoder(path).encode(texts)] == [ids_by_library(path, t) for t in texts]
 
 
-def test_cached_encoding_of_odd_spaces(monkeypatch):
-    monkeypatch.setattr(tokenize, "CACHE", 5)
+@pytest.mark.parametrize("cache", [5, 400_000])
+def test_cached_encoding_of_odd_spaces(monkeypatch, cache):
+    monkeypatch.setattr(tokenize, "CACHE", cache)
     texts = [f"a{x} b{x}{y}c  d{y}{x}" for x in "\x1c\x85\xa0 \n\t\r .,'" for y in "\x1f　 \n!s"] + [t for t in EDGE if t]
+    texts += [f"word{m} É{m}{n}x Été{n}\nWord{m}\n\nword\t{m}" for m in ".,;:!?|" for n in ".|-)é1"] + ["y" * 5000 + ", " + "y" * 5000]
     for path in (BYTE, WORD):
         coder = tokenize.PieceEncoder(path)
-        assert [i.tolist() for i in coder.encode(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for own in (texts, texts[::-1], texts[::3]):
+            assert [i.tolist() for i in coder.encode(own)] == [ids_by_library(path, t) for t in own]
+
+
+def test_added_tokens_keep_their_ids():
+    """A file's added tokens count wherever they stand, as in the library; parts of them do not."""
+    for path in (BYTE, WORD):
+        names = [t.content for t in PLAIN[path].get_added_tokens_decoder().values()]
+        texts = [x for n in names for x in (n, f"hello {n} world", f"{n}start", f"end{n}", f"glued{n}letters", f" {n} {n}{n}\n{n}.", f"É{n}é", f"{n[:-1]} {n[1:]}", n.upper(), f"a {n[:-2]}\n{n[-2:]}")]
+        assert [i.tolist() for i in tokenize.PieceEncoder(path).encode(texts)] == [ids_by_library(path, t) for t in texts]
+        assert all(PLAIN[path].token_to_id(n) in ids_by_library(path, f"a{n}b") for n in names)
 
 
 def test_packing(spark):
-    texts = corpus(20)
-    coder = tokenize.PieceEncoder(BYTE).tokenizer
+    texts = corpus(20) + ["one <|endoftext|> two<|endoftext|>"]
     got = packing.pack(docs_of(spark, texts).withColumn("bucket", F.lit(1)), BYTE, longest=64).collect()
     per = defaultdict(list)
     for r in got:
         per[r.doc_id].append(r)
         assert r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 and r.bucket == r.length == len(r.ids) // 4 and zlib.crc32(r.ids) == r.ids_crc32
     for i, t in enumerate(texts):
-        ids = (coder.encode(t, add_special_tokens=False).ids if t else []) + [0]
+        ids = ids_by_library(BYTE, t) + [0]
         own = sorted(per[i], key=lambda r: r.start)
         assert b"".join(r.ids for r in own) == struct.pack(f"<{len(ids)}I", *ids) and {r.doc_tokens for r in own} == {len(ids)}
         assert [r.start for r in own] == list(itertools.accumulate((r.length for r in own), initial=0))[:-1]
@@ -293,20 +416,30 @@ def test_codes(values):
 
 
 def test_token_files(spark):
-    texts = corpus(30)
-    coder = tokenize.PieceEncoder(WORD).tokenizer
+    texts = corpus(30) + ["one <|endoftext|> two<|startoftext|>"]
     shards = tokencodes.write_shards(docs_of(spark, texts).repartition(5), WORD, 2, shard_ids=300)
     got = rows(tokencodes.read_documents(shards))
     start = 0
-    for (doc_id, at, n, crc), (i, t) in zip(sorted(got), enumerate(texts), strict=True):
-        ids = (coder.encode(t, add_special_tokens=False).ids if t else []) + [2]
-        assert (doc_id, at, n, crc) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+    for (doc_id, at, n, crc, middle), (i, t) in zip(sorted(got), enumerate(texts), strict=True):
+        ids = ids_by_library(WORD, t) + [2]
+        assert (doc_id, at, n, crc, middle) == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), ids[len(ids) // 2])
         start += n
     odd = spark.createDataFrame([(5, "b"), (None, "a"), (5, "b"), (-1, None)], "doc_id long, text string")
     assert [r[:3] for r in sorted(rows(tokencodes.read_documents(tokencodes.write_shards(odd, WORD, 2))), key=lambda r: r[1])] == [(None, 0, 2), (-1, 2, 1), (5, 3, 2), (5, 5, 2)]
     assert tokencodes.read_documents(tokencodes.write_shards(docs_of(spark, []), WORD, 2)).count() == 0
 
 
+def test_single_tokens(spark):
+    """Any token by (document, position), from the stored shards."""
+    texts = corpus(20)
+    shards = tokencodes.write_shards(docs_of(spark, texts).repartition(3), WORD, 2, shard_ids=200)
+    want = {(i, at): x for i, t in enumerate(texts) for at, x in enumerate([*ids_by_library(WORD, t), 2])}
+    asked = [*list(want)[::3], (0, -1), (0, 100_000), (9999, 0), (None, 0)]
+    got = tokencodes.lookup(shards, spark.createDataFrame(asked, "doc_id long, position long"), pieces=3).collect()
+    assert sorted(got, key=repr) == sorted([(i, at, want.get((i, at))) for i, at in asked], key=repr)
+    assert tokencodes.lookup(shards, spark.createDataFrame([], "doc_id long, position long")).count() == 0
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -383,6 +516,58 @@ def test_quotes(spark):
     assert quotes.chats(quotes.thread(df.limit(0))).count() == 0
 
 
+def test_random_quote_trees(spark):
+    """Random replies that quote any earlier messages, whole or a line of them, on any level: links, replies and texts by hand."""
+    rng = random.Random(21)
+    norm = lambda x: " ".join(x.lower().split())
+    messages, own, passages = [], {}, {}
+    for conv in range(12):
+        for t in range(9):
+            own[conv, t] = "\n".join(rng.choice(["Yes", "no  way", "See you", "perhaps", f"line {rng.randrange(4)}"]) for _ in range(rng.randrange(0, 4)))
+            quotes_, lines = [], []
+            last = 0
+            for _ in range(rng.randrange(0, 3) if t else 0):
+                level = rng.choice([x for x in (1, 2, 3) if x != last])
+                last = level
+                body = own[conv, rng.randrange(t)].split("\n") if rng.random() < 0.8 else ["nobody said this"]
+                body = body if rng.random() < 0.6 else [rng.choice(body)]
+                body = [x.upper() if rng.random() < 0.3 else x for x in body]
+                quotes_.append((level, body))
+                lines += [">" * level + " " + x for x in body]
+            passages[conv, t] = quotes_
+            messages.append((conv, t, "user", "\n".join([*lines, own[conv, t]])))
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.thread(df).collect()}
+    chat = {r.conv_id: r for r in quotes.chats(quotes.thread(df)).collect()}
+    parent = {}
+    for (conv, t), found in passages.items():
+        linked = []
+        for level, body in found:
+            units = {norm(x) for x in [*body, "\n".join(body)]} - {""}
+            votes = Counter()
+            for u in units:
+                who = [s for s in range(t) if u in {norm(x) for x in [*own[conv, s].split("\n"), own[conv, s]]}]
+                if who:
+                    votes[max(who)] += 1
+            if votes:
+                linked.append((level, max(votes, key=lambda s: (votes[s], s))))
+        r = got[conv, t]
+        assert r.n_linked == len(linked) and r.n_quotes == len(found) and r.text == own[conv, t].strip("\n"), (conv, t)
+        parent[conv, t] = max((s for lv, s in linked if lv == min(x for x, _ in linked)), default=None)
+        assert r.reply_to == parent[conv, t]
+    path = lambda c, t: (*(path(c, parent[c, t]) if parent[c, t] is not None else ()), t)
+    for conv in range(12):
+        order = sorted(range(9), key=lambda t: path(conv, t))
+        assert [t for t in sorted(range(9), key=lambda t: got[conv, t].position)] == order
+        assert chat[conv].turns == [t for t in order if got[conv, t].text or passages[conv, t]]
+
+
+def test_long_conversations_are_whole(spark):
+    df = spark.createDataFrame([(1, t, "user", f"say {t}") for t in range(150)], "conv_id long, turn long, role string, text string")
+    assert [r.turns for r in quotes.chats(quotes.thread(df)).collect()] == [list(range(150))]
+    assert sorted(len(r.turns) for r in quotes.chats(quotes.thread(df), 64).collect()) == [22, 64, 64]
+
+
 def test_quote_of_repeated_words_links_latest(spark):
     n = 60
     messages = [(1, t, "user", "ok") for t in range(n)] + [(1, n, "user", "> ok\nsee"), (1, n + 1, "user", "> see\nthen")]
@@ -463,6 +648,19 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mixing_plan(df.filter("doc_id >= 700 AND doc_id < 702")).collect()] == [0, 0]
 
 
+def test_rows_without_or_with_one_id_are_mixed_one_by_one(spark):
+    """Null and repeated ids, and rows alike in everything: each source is still within half a document of its target."""
+    data = [(None, f"{i} " + "w " * 9, "a") for i in range(90)] + [(5, f"{i} " + "w " * 9, "b") for i in range(150)] + [(None, "same " * 10, "c")] * 200 + [(7, "same " * 10, "d")] * 70
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.mixing_plan(df).collect()
+    want, taken = targets_by_hand({"a": 900, "b": 1500, "c": 2000, "d": 700}), Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+    assert len(plan) == len(data) and all(abs(taken[s] - want[s]) <= 5.5 for s in want)
+    assert rows(mixing.mixing_plan(df)) == sorted(map(tuple, plan), key=repr)
+    assert mixing.mix(df).count() == sum(r.copies for r in plan)
+
+
 def test_heavier_documents_win(spark):
     data = [(i, ("1 " if i % 2 else "w ") * 10, "s" if i < 2000 else "t") for i in range(4000)]
     plan = mixing.mixing_plan(spark.createDataFrame(data, "doc_id long, text string, source string")).filter("source = 's' AND copies > 0").collect()

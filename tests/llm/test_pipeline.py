@@ -5,10 +5,14 @@ import struct
 import public_tokenizers
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_llm import SCHEMA, TONGUES, groups_by_hand, speech
 
 import corpus_pipeline as P
 from labelwright.llm import mixing, tokenize
+from labelwright.llm.common import cut
+
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +54,9 @@ def test_one_row_of_each_group(spark):
     long, unnamed, unique, short = (speech(rng, "xx", n) for n in (60, 50, 45, 12))
     data = [(4, long), (4, long), (None, long), (None, unnamed), (None, unnamed), (2, short), (7, short), (7, unique), (5, None), (None, ""), (None, "")]
     df = spark.createDataFrame([(a, b, "xx", "s", len(b or "")) for a, b in data], SCHEMA)
+    for own in (df, cut(df.repartition(3), "documents")):
+        assert rows(P.near_duplicates(spark, own, "").select("doc_id", "text")) == sorted([(4, long), (None, unnamed), (2, short), (7, unique), (5, None), (None, ""), (None, "")], key=repr)
+    assert P._named(cut(df.repartition(3))).select("_row").distinct().count() == len(data)
     single = P.near_duplicates(spark, df, "")
     assert single.columns == df.columns
     want = [(4, long), (None, unnamed), (2, short), (7, unique), (5, None), (None, ""), (None, "")]
@@ -57,6 +64,20 @@ def test_one_row_of_each_group(spark):
     assert rows(P.repeated_passages(spark, single, "").select("doc_id", "text")) == sorted(want, key=repr)
 
 
+def test_columns_of_any_names(spark):
+    """A document's own columns that are named as the stages' own, or with a dot, come through every stage as they were."""
+    rng = random.Random(10)
+    extra = {"_language": "clash", "_row": "r", "_doc": "d", "row": "w", "kept": "k", "component_id": "c", "a.b": "dot", "_size": "s", "n_removed": "n"}
+    data = [(i, speech(rng, t, 40), t, "s", 0) for i, t in enumerate(list(TONGUES) * 30)] + [(None, speech(rng, "xx", 40), "xx", "s", 0), (3, speech(rng, "yy", 40), None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA).withColumns({k: F.lit(v) for k, v in extra.items() if "." not in k}).withColumn("a.b", F.lit("dot"))
+    for name, stage in P.STAGES[:-1]:
+        df = cut(stage(spark, df, ""), name)
+        assert df.columns == [*SCHEMA_NAMES, *extra][: len(df.columns)] or set(df.columns) == {*SCHEMA_NAMES, *extra}, name
+        assert all(tuple(r[k] for k in extra) == tuple(extra.values()) for r in df.collect()), name
+        assert df.count() >= 90, name
+    assert P.packed(spark, df, "").count() > 90
+
+
 def test_run_and_empty(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 0
