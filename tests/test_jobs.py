@@ -48,6 +48,11 @@ def test_entry_without_the_training_data_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": ""})
 
 
+def test_entry_without_tokenizer_files():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'evaluate_bayes' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_registry():
     import __spark_entry__ as entry
 
