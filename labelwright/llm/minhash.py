@@ -28,7 +28,7 @@ SHINGLE, BUNDLES, ROWS = 5, 12, 3
 HASHES = 2 * BUNDLES * ROWS
 #: Hub pairs agree in at least this many of the 72 minhashes; a pair of similarity 0.8 has fewer with probability 1e-6.
 AGREE = 40
-#: Shingles of one side of a tile: an eighth of the set's, between these bounds. A member's set is never cut.
+#: Shingles of one side of a tile: a sixteenth of the set's, between these bounds. A member's set is never cut.
 TILE_LEAST, TILE_MOST = 1 << 13, 1 << 18
 #: Shingles and members of one side that a tile counts at once.
 COUNTED, AT_ONCE = 1 << 15, 256
@@ -199,7 +199,7 @@ def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     counts = members.groupBy("set", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     of_set = counts.groupBy("set").agg(F.sum("n").alias("members"), F.sum("w").alias("all_w"), F.max(F.struct("n", "root", "w")).alias("main")).filter(F.col("members") > F.col("main.n"))
-    tile = F.least(F.lit(float(TILE_MOST)), F.greatest(F.lit(float(TILE_LEAST)), F.col("all_w") / 8))
+    tile = F.least(F.lit(float(TILE_MOST)), F.greatest(F.lit(float(TILE_LEAST)), F.col("all_w") / 16))
     of_set = cut(of_set.select("set", F.col("main.root").alias("main"), F.ceil((F.col("all_w") - F.col("main.w")) / tile).alias("outs"), F.ceil(F.col("main.w") / tile).alias("ins")), "open")
     inside = members.join(of_set, "set").withColumn("inner", F.col("root") == F.col("main"))
     own = F.when(F.col("inner"), F.col("outs") + F.pmod(F.xxhash64("id"), F.col("ins"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outs")))

@@ -33,7 +33,7 @@ BUCKET_STRINGS = 40_000
 HOT = 5_000
 #: Hot minimisers and frequent digests up to which they are broadcast (8 and 16 bytes each); beyond it they are joined, in so many parts.
 BROADCAST, SALTS = 500_000, 64
-BYTES = 1 << 21
+BYTES = 1 << 20
 KEYED = "k1 long, k2 long, text string"
 SPANS = "k1 long, k2 long, begin long, end long"
 SINGLES = "d1 long, d2 long, k1 long, k2 long, start long"
