@@ -186,13 +186,13 @@ def chats(threaded: DataFrame, segment: int | None = None) -> DataFrame:
 
 
 def quoting(messages: DataFrame) -> DataFrame:
-    """The messages as replies that quote: by turn % 4 nothing, the message before, that one announced, or the two before on two levels.
+    """The messages as replies that quote first lines: by turn % 4 none, the message before's, that one announced, or the two before's on two levels.
 
     For tables whose messages carry no quotes; every message keeps its own text below them.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
     for n in (1, 2):
-        past = messages.groupBy("conv_id", (F.col("turn") + n).alias("turn")).agg(F.regexp_replace(F.coalesce(F.min("text"), F.lit("")), "\n", "\n" + ">" * n + " ").alias(f"past{n}"))
+        past = messages.groupBy("conv_id", (F.col("turn") + n).alias("turn")).agg(F.coalesce(F.min(F.substring_index("text", "\n", 1)), F.lit("")).alias(f"past{n}"))
         rows = rows.join(past, ["conv_id", "turn"], "left")
     one, two = F.concat(F.lit("> "), "past1", F.lit("\n")), F.concat(F.lit(">> "), "past2", F.lit("\n"))
     kind = F.col("turn") % 4
@@ -203,9 +203,9 @@ def quoting(messages: DataFrame) -> DataFrame:
 #: The same rows from lines, units and a recursion over replies, where no message repeats a turn or lacks a conversation.
 ORACLE = r"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), m AS (
-  SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 4 WHEN 1 THEN '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10)
-    WHEN 2 THEN 'Someone wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10)
-    WHEN 3 THEN '>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) END, '') || c.text AS text
+  SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 4 WHEN 1 THEN '> ' || split_part(a.text, chr(10), 1) || chr(10)
+    WHEN 2 THEN 'Someone wrote:' || chr(10) || '> ' || split_part(a.text, chr(10), 1) || chr(10)
+    WHEN 3 THEN '>> ' || split_part(b.text, chr(10), 1) || chr(10) || '> ' || split_part(a.text, chr(10), 1) || chr(10) END, '') || c.text AS text
   FROM c LEFT JOIN c a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
 ), s AS (SELECT conv_id, turn, regexp_split_to_array(text, '\r?\n') AS ls FROM m), l AS (
   SELECT conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM s
