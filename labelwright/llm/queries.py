@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import langid, media, minhash, mixing, packing, quotes, substring, tokencodes, topk, toxicity
+from labelwright.llm import alignment, genetic, langid, media, minhash, mixing, packing, quotes, runs, substring, tokencodes, topk, toxicity
 from labelwright.llm.common import cut, documents
 from labelwright.llm.fitting import held_out
 
@@ -61,6 +61,19 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_period(documents(spark, sf_dir).select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_language": op2_language,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotes": op8_quotes,
     "op9_mix": op9_mix,
     "op10_top_k": op10_top_k,
+    "op11_alignment": op11_alignment,
+    "op12_best_fit": op12_best_fit,
+    "op13_runs": op13_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE, "op4_repeats": substring.ORACLE, "op8_quotes": quotes.ORACLE, "op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": minhash.ORACLE, "op4_repeats": substring.ORACLE, "op8_quotes": quotes.ORACLE, "op9_mix": mixing.ORACLE, "op10_top_k": topk.ORACLE, "op13_runs": runs.ORACLE}
