@@ -41,12 +41,9 @@ def test_crossover_injects_whole_bins():
 
 def test_evolution_finds_what_best_fit_misses():
     rng = np.random.default_rng(7)
-    lengths = []
-    for _ in range(40):  # bins of three that are full
-        a, b = sorted(rng.integers(250, 500, 2).tolist())
-        lengths += [a, b, 1000 - a - b] if 1000 - a - b > 0 else [500, 250, 250]
-    first = genetic.founders(lengths, 1000, 0, 6, rng)
-    assert len(genetic.evolve(first, lengths, 1000, 200, rng)[0]) < min(map(len, first)) or min(map(len, first)) == 40
+    lengths = rng.integers(900, 2200, 600).tolist()
+    first = genetic.founders(lengths, 4096, 0, 4, rng)
+    assert len(genetic.evolve(first, lengths, 4096, 60, rng)[0]) < min(map(len, first))
 
 
 def test_levels_fill_what_groups_leave(spark):
