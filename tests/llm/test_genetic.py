@@ -41,9 +41,9 @@ def test_crossover_injects_whole_bins():
 
 def test_evolution_finds_what_best_fit_misses():
     rng = np.random.default_rng(7)
-    lengths = rng.integers(900, 2200, 600).tolist()
+    lengths = rng.integers(1000, 2000, 300).tolist()
     first = genetic.founders(lengths, 4096, 0, 4, rng)
-    assert len(genetic.evolve(first, lengths, 4096, 60, rng)[0]) < min(map(len, first))
+    assert len(genetic.evolve(first, lengths, 4096, 100, rng)[0]) < min(map(len, first))
 
 
 def test_levels_fill_what_groups_leave(spark):
