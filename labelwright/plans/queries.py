@@ -144,13 +144,17 @@ _LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
 def _written(spark, rows):
     path = new_path(spark, "labelled")
     write_labelled(rows.select("rating", F.regexp_replace("text", r"[\r\n]+", " ").alias("message")), path)
-    return read_labelled(spark, path).select("label", "text")
+    return read_labelled(spark, path, escaped=True).select("label", "text")
 
 
-@query("read_labelled", f"WITH {LABELLED} SELECT label, {_LINE} AS text FROM labelled")
+@query("read_labelled", f"""WITH {LABELLED} SELECT label, regexp_replace({_LINE}, '^"+|"+$', '', 'g') AS text FROM labelled""")
 def labelled_files(spark, sf_dir):
-    """write_labelled and read_labelled: every labelled document as a line of a file."""
-    return _written(spark, labelled(spark, sf_dir).withColumnRenamed("label", "rating"))
+    """Every labelled document as a plain line ``label,text`` of files, every third line with a carriage return at its end."""
+    path = new_path(spark, "lines")
+    end = F.when(F.col("row_id") % 3 == 0, "\r").otherwise("")
+    line = F.concat(F.col("label").cast("string"), F.lit(","), F.regexp_replace("text", r"[\r\n]+", " "), end).alias("label,text")
+    labelled(spark, sf_dir).select(line).write.option("header", True).option("quote", "").option("sep", "\u0001").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_labelled(spark, path).select("label", "text")
 
 
 @query("write_cleaned", f"WITH {RULED} SELECT 2 AS label, {_LINE} AS text FROM (SELECT text FROM cleaned GROUP BY text)")

@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelwright.sources.ranges import numbered, ranged
+from labelwright.sources.records import WIDE, read_records
+
 
 def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
     """One column ``line``; splittable, and the first line of each file is left out if ``header``."""
     return spark.read.schema("line string").option("header", header).option("sep", "\u0001").option("quote", "").option("lineSep", "\n").option("enforceSchema", True).csv(path)
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, label, text from lines ``label,text``, without the first line.
+def read_labelled(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
+    """row_id, label, text from lines ``label,text``, without the first line of each file.
 
-    Lines whose first field isn't a plain integer, or that have no comma, are dropped. The rest of the line is the text, without
-    the quotes at its ends. ``row_id`` grows in file order but has gaps.
+    Lines whose first field isn't a plain integer, or that have no comma, are dropped. The rest of the line, without a carriage return at its
+    end, is the text, without the quotes at its ends; quotes inside stay as they are, doubled or not. With ``escaped`` the lines are those
+    of ``write_labelled``: a text in quotes loses one at each end and doubled ones inside become single. ``row_id`` counts the rows from 0 in
+    file order, without gaps, however files are split.
     """
-    rows = _lines(spark, path, True).withColumn("row_id", F.monotonically_increasing_id()).filter(F.col("line").contains(","))
+    rows = ranged(_lines(spark, path, True)).filter(F.col("line").contains(","))
     first = F.substring_index("line", ",", 1)
-    rest = F.substring(F.col("line"), F.length(first) + 2, F.length("line"))
-    rows = rows.withColumns({"label": F.when(first.rlike(r"^[+-]?[0-9]+\z"), first.try_cast("int")), "text": F.regexp_replace(rest, r'^"+|"+\z', "")})
-    return rows.filter("label IS NOT NULL").select("row_id", "label", "text")
+    rest = F.regexp_replace(F.substring(F.col("line"), F.length(first) + 2, F.length("line")), r"\r\z", "")
+    text = F.regexp_replace(rest, r'^"+|"+\z', "")
+    if escaped:
+        text = F.when(rest.rlike(r'^".*"\z'), F.replace(F.substring(rest, F.lit(2), F.length(rest) - 2), F.lit('""'), F.lit('"'))).otherwise(rest)
+    rows = rows.select(F.when(first.rlike(r"^[+-]?[0-9]+\z"), first.try_cast("int")).alias("label"), text.alias("text"), "_file", "_start", "_place")
+    return numbered(rows.filter("label IS NOT NULL"))
 
 
 def read_raw_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text with ``row_id``; records may span lines; a record of another length fails the job. Empty cells are ''.
+    """All columns as text with ``row_id`` (from 0 in file order, without gaps); a record of another length fails the job. Empty cells are ''.
 
-    Records over several lines make a file unsplittable: give many files, or convert them once.
+    Records may span lines and yet a file is read by many tasks. In encodings whose quotes and line feeds can't be told by byte a
+    file is one task's, and row_id has gaps.
     """
+    names = _whole_csv(spark, path, header, sep, encoding).columns
+    if not WIDE.search(encoding):
+        return read_records(spark, path, names, header, sep, encoding)
+    rows = _whole_csv(spark, path, header, sep, encoding)
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names])
+
+
+def _whole_csv(spark: SparkSession, path: str, header: bool, sep: str, encoding: str) -> DataFrame:
+    """Each file by one task."""
     reader = spark.read.option("header", header).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").option("encoding", encoding).option("inferSchema", False)
-    rows = reader.csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("row_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns])
+    return reader.csv(path)
 
 
 def _windows() -> tuple[str, str]:

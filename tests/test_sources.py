@@ -31,10 +31,16 @@ def test_words(spark, tmp_path):
 
 
 def test_written_rows_come_back(spark, tmp_path):
-    df = spark.createDataFrame([(4, "a, b"), (0, "plain")], "rating int, message string")
-    files.write_labelled(df, str(tmp_path / "out"))
-    back = files.read_labelled(spark, str(tmp_path / "out"))
-    assert sorted((r.label, r.text) for r in back.collect()) == [(0, "plain"), (4, "a, b")]
+    given = [(4, "a, b"), (0, "plain"), (2, 'say "hi", "you"'), (2, '"quoted"'), (0, '"'), (0, "")]
+    files.write_labelled(spark.createDataFrame(given, "rating int, message string"), str(tmp_path / "out"))
+    back = files.read_labelled(spark, str(tmp_path / "out"), escaped=True)
+    assert sorted((r.label, r.text) for r in back.collect()) == sorted(given)
+
+
+def test_line_ends_of_both_kinds(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b'rating,message\r\n4,"bonjour"\r\n0,tant pis\n2,a\rb\r\n')
+    got = [(r.row_id, r.label, r.text) for r in files.read_labelled(spark, str(tmp_path / "x.csv")).orderBy("row_id").collect()]
+    assert got == [(0, 4, "bonjour"), (1, 0, "tant pis"), (2, 2, "a\rb")]
 
 
 def test_edits(spark):
