@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,11 +67,11 @@ def rules_clean(spark, sf_dir):
     return clean.apply_rules(raw_messages(spark, sf_dir), clean.default_rules())
 
 
-@query("rules_replace", rf"""WITH {RAW} SELECT row_id, regexp_replace(replace(text, ':)', '<happy $1 \>'), '( |^)@[^ ]*( |\z)', '', 'g') AS text FROM raw
+@query("rules_replace", rf"""WITH {RAW} SELECT row_id, regexp_replace(regexp_replace(replace(text, ':)', '<happy $1 \>'), '(\w+) is not (:D)', '\2 \1 $', 'g'), '( |^)@[^ ]*( |\z)', '', 'g') AS text FROM raw
  WHERE text IS NOT NULL AND NOT regexp_matches(text, '( |^)RT( |\z)')""")
 def rules_replace(spark, sf_dir):
-    """Rules given in any order are put in order: deletions, replacements (of plain text), trims."""
-    given = [clean.trim("user", r"( |^)@[^ ]*( |\z)"), clean.replace("smile", r":\)", "<happy $1 \\>"), clean.delete("retweet", r"( |^)RT( |\z)")]
+    """Rules given in any order are put in order: deletions, replacements (of plain text, and by groups), trims."""
+    given = [clean.trim("user", r"( |^)@[^ ]*( |\z)"), clean.replace("smile", r":\)", "<happy $1 \\>", plain=True), clean.replace("laugh", r"(\w+) is not (?<face>:D)", "${face} $1 $$"), clean.delete("retweet", r"( |^)RT( |\z)")]
     return clean.apply_rules(raw_messages(spark, sf_dir), clean.order_rules(given))
 
 
@@ -96,6 +97,22 @@ def clean_messages(spark, sf_dir):
     return clean.clean(raw_messages(spark, sf_dir))
 
 
+@query("clean_pass", f"""WITH {RULED}, k AS (SELECT min(row_id) AS row_id, text FROM cleaned GROUP BY text) SELECT 'row' AS kind, row_id AS a, CAST(2 AS BIGINT) AS b, text AS c FROM k
+ UNION ALL SELECT 'duplicates', count(*) - (SELECT count(*) FROM k), NULL, NULL FROM cleaned UNION ALL SELECT 'count', n, NULL, rule FROM ({ORACLE_SQL['rule_counts'].replace(f'WITH {RULED} ', '')})
+ UNION ALL SELECT 'audit', row_id, rule_no, rule || ' ' || before || ' > ' || coalesce(after, '') FROM ({ORACLE_SQL['rule_audit'].replace(f'WITH {RULED} ', '')})""")
+def clean_with_report(spark, sf_dir):
+    """Rows, rule counts, audit and duplicates of one pass."""
+    done = clean.clean_pass(raw_messages(spark, sf_dir))
+    none = F.lit(None).cast("long")
+    parts = [
+        done.rows.select(F.lit("row").alias("kind"), F.col("row_id").alias("a"), F.col("rating").cast("long").alias("b"), F.col("text").alias("c")),
+        done.duplicates.select(F.lit("duplicates").alias("kind"), F.col("n").alias("a"), none.alias("b"), F.lit(None).cast("string").alias("c")),
+        done.counts.select(F.lit("count").alias("kind"), F.col("n").alias("a"), none.alias("b"), F.col("rule").alias("c")),
+        done.audit.select(F.lit("audit").alias("kind"), F.col("row_id").alias("a"), F.col("rule_no").cast("long").alias("b"), F.concat("rule", F.lit(" "), "before", F.lit(" > "), F.coalesce("after", F.lit(""))).alias("c")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("dedup_keep_first", "SELECT min(doc_id) AS row_id, text FROM documents GROUP BY text")
 def dedup_keep_first(spark, sf_dir):
     return clean.dedup_keep_first(messages(spark, sf_dir))

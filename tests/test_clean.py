@@ -43,8 +43,52 @@ def test_chain_audit_counts(spark):
     assert (0, 0, "delete", None) in audit and (2, 4, "trim", "b") in audit and len(audit) == 7
 
 
+@pytest.mark.parametrize(
+    ("pattern", "to", "text", "out"),
+    [
+        (r"(\w+) (\w+)", "$2 $1", "one two", "two one"),
+        (r"(?<y>\d+)-(?<m>\d+)", "${m}/$y", "2024-05", "05/2024"),
+        (r"(\d)", "${1}0", "a1", "a10"),
+        (r"(\d)", "$1a", "a1", "a"),
+        (r"(\d)", "$$1 $ \\", "a1", "a$1 $ \\"),
+        (r"(\d)", "$2$x", "a1b", "ab"),
+        (r"[(]\((?:x)(y)\Q(\E", "<$1>", "((xy(", "<y>"),
+        ("(a)(b)(c)(d)(e)(f)(g)(h)(i)(j)", "${1}0$10", "abcdefghij", "a0j"),
+    ],
+)
+def test_groups_in_replacements(spark, pattern, to, text, out):
+    assert clean.apply_rules(frame(spark, [text]), [clean.replace("r", pattern, to)]).first().text == out
+
+
 def test_replace_takes_plain_text(spark):
-    assert clean.apply_rules(frame(spark, ["a1b"]), [clean.replace("digit", "[0-9]", r"$\1")]).first().text == r"a$\1b"
+    assert clean.apply_rules(frame(spark, ["a1b"]), [clean.replace("digit", "[0-9]", r"$\1", plain=True)]).first().text == r"a$\1b"
+
+
+def test_a_replacement_by_itself_is_counted(spark):
+    df = frame(spark, ["a1", "b"])
+    assert rows(clean.rule_counts(df, [clean.replace("same", "[0-9]", "$0")])) == [("same replacement", 1)]
+    assert clean.rule_counts(df, []).count() == 0
+
+
+def test_one_pass_gives_all(spark, tmp_path):
+    texts = ["RT :) :(", "RT @a b!", "@a b!", "fine", None, "x http://y @z !", "fine!", "fine"]
+    frame(spark, texts).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    rules = clean.default_rules()
+    done = clean.clean_pass(df, rules)
+    assert rows(done.rows) == rows(clean.clean(df, rules))
+    assert rows(done.audit) == rows(clean.rule_audit(df, rules)) and rows(done.counts) == rows(clean.rule_counts(df, rules))
+    assert done.duplicates.first().n == clean.dup_count(clean.apply_rules(df, rules)).first().n == 2
+    for one in (done.rows, done.audit, done.counts, done.duplicates):  # none of them reads the source again
+        assert str(tmp_path / "in") not in one._jdf.queryExecution().toString()
+    assert clean.clean_pass(df, rules, audit=False).audit is None
+    assert rows(clean.clean_pass(df.limit(0), rules).counts) == sorted((n, 0) for n, _ in rows(done.counts))
+
+
+def test_first_rows_are_found_by_hashing(spark):
+    df = frame(spark, ["a", "b", "a"]).repartition(3)
+    plan = clean.dedup_keep_first(df)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 def test_order_is_stable():
