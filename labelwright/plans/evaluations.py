@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from labelwright.operators.bayes import SMOOTHING, classify_bayes, train_bayes
+from labelwright.operators.bayes import SMOOTHING, bayes_model, classify_bayes, count_bayes, train_bayes
 from labelwright.operators.cluster import FIT_ROWS, METHODS, classify_by_tree, classify_cluster, fit_tree
 from labelwright.operators.evaluate import RATIO, stratified_split
 from labelwright.operators.knn import classify_knn, knn_neighbours, vote
@@ -54,8 +54,9 @@ def grid(df: DataFrame, words: DataFrame, ks: tuple[int, ...] = (3, 5, 10), seed
             found = vote(near.filter(near.rank <= k), kind).withColumnRenamed("query_id", "row_id")
             made[f"knn {k} {kind}"] = _pairs(test.join(found, "row_id"))
     for repr in ("frequency", "presence"):
+        counts = count_bayes(train, repr)  # both smoothings are made of them
         for smoothing in SMOOTHING:
-            made[f"bayes {repr} {smoothing}"] = _pairs(classify_bayes(test, train_bayes(train, smoothing, repr)))
+            made[f"bayes {repr} {smoothing}"] = _pairs(classify_bayes(test, bayes_model(counts, smoothing)))
     return made
 
 

@@ -344,6 +344,16 @@ def likelihoods(spark, sf_dir):
     return bayes.train_bayes(labelled(spark, sf_dir)).likelihood.withColumn("log_prob", F.round("log_prob", 6))
 
 
+@query("likelihoods_in_batches", ORACLE_SQL["likelihoods"])
+def likelihoods_in_batches(spark, sf_dir):
+    """Counts of three batches, each kept by itself, make the model of all messages."""
+    path, rows = new_path(spark, "bayes-counts"), labelled(spark, sf_dir)
+    for k in range(3):
+        bayes.count_bayes(rows.filter(F.col("row_id") % 3 == k)).append(path, str(k))
+    model = bayes.bayes_model(bayes.BayesCounts.load(spark, path))
+    return model.likelihood.withColumn("log_prob", F.round("log_prob", 6))
+
+
 _TRAIN = f"{SPLIT_SQL}, train AS (SELECT * FROM split WHERE is_train), test AS (SELECT * FROM split WHERE NOT is_train)"
 
 

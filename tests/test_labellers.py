@@ -90,6 +90,27 @@ def test_bayes(spark, base, alpha, repr_):
     assert all(best[i] == max(w, key=lambda y: (round(w[y], 9), -y)) for i, w in enumerate(want))
 
 
+def test_bayes_takes_any_labels(spark):
+    df = spark.createDataFrame([(1, "good things", 1), (2, "awful things", 3), (3, "nothing", 3), (4, "lost", None)], "row_id long, text string, label int")
+    model = bayes.train_bayes(df)
+    assert {r.label for r in bayes.bayes_scores(df, model).collect()} == {1, 3}
+    assert dict(rows(bayes.classify_bayes(df, model).select("row_id", "estimated"))) == {1: 1, 2: 3, 3: 3, 4: 3}
+    assert bayes.bayes_scores(df, bayes.train_bayes(df.limit(0))).count() == 0
+
+
+def test_bayes_counts_add_up(spark, base, tmp_path):
+    halves = [base.filter(f"row_id % 2 = {k}") for k in (0, 1)]
+    whole = bayes.bayes_scores(base, bayes.train_bayes(base, "lidstone"))
+    one, two = map(bayes.count_bayes, halves)
+    same = lambda df: [(i, k, round(x, 9)) for i, k, x in rows(df)]
+    assert same(bayes.bayes_scores(base, bayes.bayes_model(one + two, "lidstone"))) == same(whole)
+    for k, counts in enumerate((one, two, one)):  # the first batch comes twice and counts once
+        counts.append(str(tmp_path / "kept"), str(k % 2))
+    assert same(bayes.bayes_scores(base, bayes.bayes_model(bayes.BayesCounts.load(spark, str(tmp_path / "kept")), "lidstone"))) == same(whole)
+    with pytest.raises(ValueError, match="add up"):
+        one + bayes.count_bayes(base, "presence")
+
+
 def test_bayes_saved(spark, base, tmp_path):
     model = bayes.train_bayes(base)
     model.save(str(tmp_path / "m"))
