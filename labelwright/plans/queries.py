@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelwright.functions import text as T
 from labelwright.operators import bayes, clean, cluster, distance, evaluate, knn, profile, wordlist
-from labelwright.operators.edits import apply_label_edits
+from labelwright.operators.edits import apply_label_edits, edit_stored, read_editable, write_editable
 from labelwright.plans import evaluations
 from labelwright.plans.views import labelled, messages, passages, raw_messages, table, words
 from labelwright.sources.files import decode_text, read_labelled, read_raw_csv, read_words, read_words_csv, write_labelled
@@ -136,6 +136,17 @@ def edits(spark, sf_dir):
     return apply_label_edits(labelled(spark, sf_dir), e)
 
 
+@query("edit_stored", ORACLE_SQL["apply_label_edits"])
+def edits_stored(spark, sf_dir):
+    """The same edits into a stored table, in two goes, the second with all edits again."""
+    path = new_path(spark, "editable")
+    write_editable(labelled(spark, sf_dir), path, part_rows=500)
+    e = table(spark, sf_dir, "conversations").select(F.col("turn").alias("edit_seq"), F.col("conv_id").alias("row_id"), F.lit("label").alias("column"), (F.col("turn") % 3 * 2).cast("string").alias("value"))
+    edit_stored(spark, path, e.filter("edit_seq < 3"))
+    edit_stored(spark, path, e)
+    return read_editable(spark, path).select("row_id", "text", "label")
+
+
 @query("decode_text", r"""SELECT doc_id AS row_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '€ 5 “café” ' || t ELSE 'café ' || t END AS text,
  CASE doc_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'windows-1252' ELSE 'ISO-8859-1' END AS encoding FROM (SELECT *, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM documents)""")
 def decoded(spark, sf_dir):
