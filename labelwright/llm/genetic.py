@@ -27,31 +27,35 @@ from labelwright.llm.tokenize import encoder
 GROUP, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4_000, 2, 4, 2, 6
 #: The share of a group's bins, the slackest ones, that is packed again on the next level.
 AGAIN = 8
+BYTES = 1 << 21
 PIECES = "row long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
-PACKINGS = "group long, island int, bins long, fitness double, rows binary, lengths binary, assigned binary"
+PACKINGS = "group long, island int, least long, bins long, fitness double, rows binary, lengths binary, assigned binary"
 PLACES = "row long, sequence_id long, offset long, length long, again boolean"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 4096) -> DataFrame:
-    """The ids of whole texts, cut after every ``longest`` ids, as a stored table with a number ``row`` for each piece."""
+    """The ids of whole texts, cut after every ``longest`` ids, as a stored table with a number ``row`` for each piece.
+
+    ``ids`` are little-endian unsigned 16-bit numbers (vocabularies are below 65,536 ids), ids_crc32 is of the same as 32-bit numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(tokenizer), TaskContext.get().partitionId() << 33
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in slices(batch.column(1)):
+            for a, b, texts in slices(batch.column(1), BYTES):
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts), strict=True):
-                    data = memoryview(np.append(ids, np.uint16(end_id)).astype("<u4").tobytes())
-                    for k, at in enumerate(range(0, ids.size + 1, longest)):
-                        own = data[4 * at : 4 * (at + longest)]
-                        for column, value in zip(out, (row, doc_id, k, at, len(own) // 4, own, zlib.crc32(own)), strict=True):
+                    ids = np.append(ids, np.uint16(end_id))
+                    for k, at in enumerate(range(0, ids.size, longest)):
+                        own = ids[at : at + longest]
+                        for column, value in zip(out, (row, doc_id, k, at, own.size, own.astype("<u2").tobytes(), zlib.crc32(own.astype("<u4"))), strict=True):
                             column.append(value)
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES), "pieces", compression="zstd")
+    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES), "pieces", compression="zstd", **{"parquet.block.size": str(16 << 20)})
 
 
 class _Rooms:
@@ -140,10 +144,14 @@ def evolve(population: list[list[list[int]]], lengths: list[int], capacity: int,
 
 
 def founders(lengths: list[int], capacity: int, island: int, n: int, rng: np.random.Generator) -> list[list[list[int]]]:
-    """First packings: best fit, longest first on the first island, and by lengths blurred more and more."""
-    size = np.array(lengths)
-    blurs = [0.1 * (k + island) for k in range(n)]
-    return [best_fit(np.argsort(-size * (1 + b * rng.standard_normal(size.size)), kind="stable").tolist(), lengths, capacity) for b in blurs]
+    """First packings: best fit, longest first on the first island, and by lengths blurred more and more. One that can't have fewer bins is the last."""
+    size, made = np.array(lengths), []
+    for k in range(n):
+        order = np.argsort(-size * (1 + 0.1 * (k + island) * rng.standard_normal(size.size)), kind="stable")
+        made.append(best_fit(order.tolist(), lengths, capacity))
+        if len(made[-1]) <= -(-sum(lengths) // capacity):
+            break
+    return made
 
 
 def _assigned(bins: list[list[int]], n: int) -> bytes:
@@ -162,8 +170,8 @@ def _bins(assigned: bytes) -> list[list[int]]:
 
 def _packings(group: int, island: int, rows: bytes, lengths: np.ndarray, population: list[list[list[int]]], capacity: int) -> pa.Table:
     n, own = len(population), lengths.tolist()
-    columns = [[group] * n, [island] * n, [len(x) for x in population], [fitness(x, own, capacity) for x in population], [rows] * n, [lengths.astype("<u4").tobytes()] * n, [_assigned(x, lengths.size) for x in population]]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = [[group] * n, [island] * n, [-(-sum(own) // capacity)] * n, [len(x) for x in population], [fitness(x, own, capacity) for x in population], [rows] * n, [lengths.astype("<u4").tobytes()] * n, [_assigned(x, lengths.size) for x in population]]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PACKINGS.split(", ")])
 
 
@@ -220,9 +228,13 @@ def _level(items: DataFrame, level: int, groups: int, capacity: int, islands: in
     dealt = items.select(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "row", "length")
     packings = cut(dealt.groupBy("group", "island").applyInArrow(_founded(capacity, population, generations), PACKINGS), "packings")
     for epoch in range(1, epochs):
-        elite = packings.groupBy("group", "island").agg(F.max_by(F.struct(*packings.columns), F.struct(-F.col("bins"), "fitness")).alias("e")).select("e.*")
+        # Groups with a packing that can't have fewer bins are done; the others' best migrate.
+        goes_on = packings.groupBy("group").agg(F.min("bins").alias("b"), F.max("least").alias("l")).filter("b > l").select("group")
+        still, done = (packings.join(goes_on, "group", how) for how in ("left_semi", "left_anti"))
+        elite = still.groupBy("group", "island").agg(F.max_by(F.struct(*packings.columns), F.struct(-F.col("bins"), "fitness")).alias("e")).select("e.*")
         guests = elite.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
-        packings = cut(packings.unionByName(guests).groupBy("group", "island").applyInArrow(_migrated(capacity, population, generations, epoch), PACKINGS), "packings")
+        moved = still.unionByName(guests).groupBy("group", "island").applyInArrow(_migrated(capacity, population, generations, epoch), PACKINGS)
+        packings = cut(done.unionByName(moved), "packings")
     best = packings.groupBy("group").agg(F.max_by(F.struct("rows", "lengths", "assigned"), F.struct(-F.col("bins"), "fitness", -F.col("island"))).alias("e")).select("group", "e.*")
     return cut(best.mapInArrow(_placed(level, capacity, groups == 1), PLACES), "places")
 
@@ -247,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 4096,
 
     A null or empty text is the end id alone. A document of more than ``longest`` ids is cut after every ``longest``; others stay whole. Rows
     that share an id or have none are documents of their own. Other columns are left out, whatever their names; an empty table gives no
-    piece. ``ids`` (little-endian unsigned 32-bit) come from the table that the texts were encoded into, once.
+    piece. ``ids`` (little-endian unsigned 16-bit) come from the table that the texts were encoded into, once.
     """
     made = pieces(docs, tokenizer, end_id, longest)
     return made.join(place(made.select("row", "length"), longest, **options), "row").drop("row")
