@@ -19,29 +19,34 @@ from labelwright.functions.text import tokens_ascii, tokens_ws
 QUERY_BLOCK, BASE_BLOCK = 256, 2048
 #: Tokens of a block, give or take a row: long texts make blocks of few rows, so a tile's tables stay small.
 BLOCK_TOKENS = 1 << 16
-BLOCK = "ids binary, sizes binary, hashes binary"
+BLOCK = "ids binary, sizes binary, hashes binary, low long, high long"
 TOKENS = {"ws": tokens_ws, "ascii": tokens_ascii}
 #: The distance of two rows without tokens, by kind of token.
 BOTH_EMPTY = {"ws": 0.0, "ascii": 1.0}
 
 
-def _sets(df: DataFrame, tokens: str, text_col: str, id_col: str) -> DataFrame:
+def token_sets(df: DataFrame, tokens: str = "ws", text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    """id, n (how many different tokens), hashes (of them, ascending)."""
     made: Column = TOKENS[tokens](F.col(text_col))
-    return df.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.transform(made, lambda x: F.xxhash64(x))).alias("hashes"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.transform(made, lambda x: F.xxhash64(x))).alias("hashes"))
+    return rows.select("id", F.size("hashes").cast("long").alias("n"), "hashes")
 
 
-def blocks(df: DataFrame, size: int, tokens: str = "ws", text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+def blocks(sets: DataFrame, size: int) -> DataFrame:
+    """Rows (id, hashes, low, high) in blocks of at most ``size``; a block's low and high are its rows' least and greatest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[int]]] = []
+        held: list[tuple[int, list[int], int, int]] = []
         tokens_held = 0
 
         def block() -> pa.RecordBatch:
-            ids, sets = np.array([i for i, _ in held], np.int64), [np.array(s, np.int64) for _, s in held]
+            ids, sets = np.array([h[0] for h in held], np.int64), [np.array(h[1], np.int64) for h in held]
             row = ids.tobytes(), np.array([s.size for s in sets], np.int64).tobytes(), np.concatenate(sets).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "sizes", "hashes"])
+            ends = min(h[2] for h in held), max(h[3] for h in held)
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in row], *[pa.array([x], pa.int64()) for x in ends]], names=["ids", "sizes", "hashes", "low", "high"])
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
                 tokens_held += len(row[1])
                 if len(held) == size or tokens_held >= BLOCK_TOKENS:
@@ -50,13 +55,14 @@ def blocks(df: DataFrame, size: int, tokens: str = "ws", text_col: str = "text",
         if held:
             yield block()
 
-    return _sets(df, tokens, text_col, id_col).mapInArrow(run, BLOCK)
+    return sets.select("id", "hashes", "low", "high").mapInArrow(run, BLOCK)
 
 
 def tiles(queries: DataFrame, base: DataFrame, groups: int) -> DataFrame:
-    """Every block of queries beside every block of the base: query blocks visit each of ``groups`` groups of base blocks."""
+    """Every block of queries beside each block of the base that overlaps its bounds: query blocks visit each of ``groups`` groups of base blocks."""
     left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    return left.join(base.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "group")
+    joined = left.join(base.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "group")
+    return joined.filter((F.col("high") >= F.col("q_low")) & (F.col("low") <= F.col("q_high"))).drop("low", "high", "q_low", "q_high")
 
 
 def jaccard_tile(q: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], both_empty: float) -> np.ndarray:
@@ -102,6 +108,7 @@ def over_tiles(joined: DataFrame, keep, both_empty: float, schema: str) -> DataF
 def pairwise_distances(df: DataFrame, tokens: str = "ws", dense: bool = False, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
     """i, j, distance of all i < j; without ``dense`` only pairs below 1 (every other distance is 1)."""
     groups = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = tiles(blocks(df, QUERY_BLOCK, tokens, text_col, id_col), blocks(df, BASE_BLOCK, tokens, text_col, id_col), groups)
+    every = token_sets(df, tokens, text_col, id_col).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
+    joined = tiles(blocks(every, QUERY_BLOCK), blocks(every, BASE_BLOCK), groups)
     keep = lambda qi, bi, d: np.nonzero((qi[:, None] < bi[None, :]) & (dense | (d < 1)))
     return over_tiles(joined, keep, BOTH_EMPTY[tokens], "i long, j long, distance double")

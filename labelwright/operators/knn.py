@@ -1,12 +1,26 @@
-"""k-nearest-neighbour labels on Jaccard distance."""
+"""k-nearest-neighbour labels on Jaccard distance.
+
+Exact, by an inverted index where that pays. Tokens are ordered by how many base rows have them, rarest first. Base rows that share a query's rarest
+tokens give a first k-th distance, and with it bounds: a row at that distance or nearer has one of the query's first tokens (all but
+as many as it would need to share) and a size in a range. If the lists of those tokens are short beside the base, only their rows
+are compared. Other queries meet the base in tiles, of which only those whose sizes are in range are computed.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.operators.distance import BASE_BLOCK, BOTH_EMPTY, QUERY_BLOCK, blocks, over_tiles, tiles
+from labelwright.operators.distance import BASE_BLOCK, BOTH_EMPTY, QUERY_BLOCK, blocks, over_tiles, tiles, token_sets
+from labelwright.tables import stored
+
+#: Rows that a query's rarest tokens may list for its first k-th distance, as a multiple of k; the share of the base that its first
+#: tokens may list for the index to be used: comparing a row from a list costs about as much as this many in a tile.
+PROBE, LISTED = 16, 64
+#: Room for the rounding of bounds, on the side of comparing more.
+SLACK = 1e-9
+TOP = 1 << 62
 
 
 def _nearest(k: int):
@@ -17,21 +31,83 @@ def _nearest(k: int):
     return keep
 
 
+def _compared(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
+    """query_id, base_id, distance of pairs that share a token, each once, by their whole sets."""
+    some = pairs.select("query_id", "base_id").distinct()
+    joined = some.join(queries.select(F.col("id").alias("query_id"), F.col("n").alias("a"), F.col("hashes").alias("x")), "query_id").join(base.select(F.col("id").alias("base_id"), F.col("n").alias("b"), F.col("hashes").alias("y")), "base_id")
+    common = F.size(F.array_intersect("x", "y"))
+    return joined.withColumn("common", common).select("query_id", "base_id", ((F.col("a") + F.col("b") - 2 * F.col("common")) / (F.col("a") + F.col("b") - F.col("common"))).alias("distance"))
+
+
+class _Search:
+    """The tables of one search: sets of both sides, lists, query tokens by rarity, thresholds and ways."""
+
+    def __init__(self, df: DataFrame, base: DataFrame, k: int, tokens: str, text_col: str, id_col: str):
+        self.k, self.tokens = k, tokens
+        self.base = stored(token_sets(base, tokens, text_col, id_col), "base-sets")
+        self.queries = stored(token_sets(df, tokens, text_col, id_col), "query-sets")
+        self.n_base = self.base.count()
+        self.lists = self.base.select(F.explode("hashes").alias("hash"), F.col("id").alias("base_id"), F.col("n").alias("n_base"))
+        rows_of = self.lists.groupBy("hash").agg(F.count("*").alias("rows"))
+        asked = self.queries.select(F.col("id").alias("query_id"), "n", F.explode("hashes").alias("hash")).join(rows_of, "hash", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+        rarest = Window.partitionBy("query_id").orderBy("rows", "hash")
+        asked = asked.withColumns({"place": F.row_number().over(rarest), "through": F.sum("rows").over(rarest)})
+        self.asked = stored(asked.select("query_id", "n", "hash", "rows", "place", "through"), "query-tokens")
+        first = self.asked.filter((F.col("rows") > 0) & (F.col("through") <= PROBE * k))
+        near = _compared(first.join(self.lists, "hash"), self.queries, self.base)
+        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "base_id"))).filter(F.col("r") == k)
+        bound = self.queries.select(F.col("id").alias("query_id"), "n").join(ranked.select("query_id", F.col("distance").alias("within")), "query_id", "left").withColumn("within", F.coalesce("within", F.lit(1.0)))
+        share = 1 - F.col("within")
+        bound = bound.withColumns({"first": F.col("n") - F.ceil(share * F.col("n") - SLACK) + 1, "low": F.ceil(share * F.col("n") - SLACK).cast("long"), "high": F.when(share > SLACK, F.floor(F.col("n") / share + SLACK).cast("long")).otherwise(TOP)})
+        # Of an end's many tokens the sum of rows is the running sum at the last of them.
+        listed = self.asked.select("query_id", "place", "through").join(bound.select("query_id", "first"), "query_id").filter(F.col("place") <= F.col("first")).groupBy("query_id").agg(F.max("through").alias("listed"))
+        ways = bound.join(listed, "query_id", "left").withColumn("listed", F.coalesce("listed", F.lit(0).cast("long")))
+        self.ways = stored(ways.withColumn("indexed", F.col("listed") * LISTED <= self.n_base), "query-ways")
+
+    def by_index(self) -> DataFrame:
+        some = self.ways.filter("indexed")
+        tokens = self.asked.filter("rows > 0").join(some.select("query_id", "first", "low", "high"), "query_id").filter(F.col("place") <= F.col("first"))
+        found = tokens.join(self.lists, "hash").filter((F.col("n_base") >= F.col("low")) & (F.col("n_base") <= F.col("high")))
+        near = _compared(found, self.queries, self.base)
+        # Rows at distance 1 come by their ids: of the first k at most as many are nearer as were found. Rows without tokens are alike, or are not.
+        ids = lambda rows: [r[0] for r in rows.select("id").orderBy("id").limit(self.k).collect()]
+        first, empty = ids(self.base), ids(self.base.filter("n = 0"))
+        same: Column = F.when((F.col("n") == 0) & F.col("base_id").isin(empty), F.lit(BOTH_EMPTY[self.tokens])).otherwise(1.0)
+        # Only queries of no known k-th distance below 1 can need them.
+        fill = some.filter("within >= 1").select("query_id", "n", F.explode(F.array(*[F.lit(x).cast("long") for x in sorted({*first, *empty})])).alias("base_id")).select("query_id", "base_id", same.alias("distance"))
+        return near.unionByName(fill).groupBy("query_id", "base_id").agg(F.min("distance").alias("distance"))
+
+    def by_tiles(self) -> DataFrame:
+        left = self.queries.join(self.ways.filter("NOT indexed").select(F.col("query_id").alias("id"), "low", "high"), "id")
+        right = self.base.withColumns({"low": F.col("n"), "high": F.col("n")})
+        by_size = lambda rows: rows.repartitionByRange("n", "id").sortWithinPartitions("n", "id")
+        groups = max(1, int(self.base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        joined = tiles(blocks(by_size(left), QUERY_BLOCK), blocks(by_size(right), BASE_BLOCK), groups)
+        return over_tiles(joined, _nearest(self.k), BOTH_EMPTY[self.tokens], "query_id long, base_id long, distance double")
+
+
 def knn_neighbours(df: DataFrame, base: DataFrame, k: int = 5, tokens: str = "ws", text_col: str = "text", id_col: str = "row_id", label_col: str = "label") -> DataFrame:
     """query_id, rank, distance, base_id, label of each row's k nearest base rows, ties to the smaller base id.
 
-    No row gets an answer if k is 0 or above the base's size. Each tile keeps k rows a query, and a query's tiles meet in one ranking.
+    No row gets an answer if k is 0 or above the base's size.
     """
-    groups = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    joined = tiles(blocks(df, QUERY_BLOCK, tokens, text_col, id_col), blocks(base, BASE_BLOCK, tokens, text_col, id_col), groups)
-    near = over_tiles(joined, _nearest(max(k, 1)), BOTH_EMPTY[tokens], "query_id long, base_id long, distance double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "base_id"))).filter(F.col("rank") <= k)
-    whole = Window.partitionBy("query_id")
-    ranked = ranked.withColumn("_n", F.count("*").over(whole)).filter((F.col("_n") == k) & F.lit(k > 0))
     labels = base.select(F.col(id_col).cast("long").alias("base_id"), F.col(label_col).alias("label"))
+    search = _Search(df, base, k, tokens, text_col, id_col) if k > 0 else None
+    if search is None or search.n_base < k:
+        return df.select(F.col(id_col).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0).join(labels.limit(0))
+    n_tiles = search.ways.filter("NOT indexed").limit(1).count()
+    n_index = search.ways.filter("indexed").limit(1).count()
+    near = search.by_tiles() if not n_index else search.by_index() if not n_tiles else search.by_index().unionByName(search.by_tiles())
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "base_id"))).filter(F.col("rank") <= k)
     return ranked.join(labels, "base_id").select("query_id", "rank", "distance", "base_id", "label")
 
 
+def knn_ways(df: DataFrame, base: DataFrame, k: int = 5, tokens: str = "ws", text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    """query_id, n (tokens), within (a bound of the k-th distance), first (tokens that a nearer row has one of), listed (base rows on their
+    lists, repeats counted: the candidates), low and high (sizes of nearer rows), indexed (or else in tiles): what ``knn_neighbours`` does for each query."""
+    return _Search(df, base, k, tokens, text_col, id_col).ways
+
+
 def vote(neighbours: DataFrame, kind: str = "majority") -> DataFrame:
     """query_id, estimated. ``majority``: the commonest label; ``weighted``: the largest sum of 1 / (distance + 1e-5). Ties to the
     label of the nearest, then to the smaller label."""

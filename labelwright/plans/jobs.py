@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from labelwright.operators import bayes, clean, profile, wordlist
 from labelwright.operators.cluster import classify_cluster
 from labelwright.operators.knn import classify_knn
-from labelwright.sources.files import decode_text, read_labelled, read_raw_csv, read_words, write_labelled
+from labelwright.sources.charset import detect_text
+from labelwright.sources.files import read_labelled, read_raw_csv, read_words, write_labelled
 
 
 def run_clean(spark: SparkSession, source: str, target: str, header: bool = True) -> None:
     """Find the columns of a raw CSV, decode every cell, clean the messages, drop repeats, write ``rating,message``."""
     raw = read_raw_csv(spark, source, header, encoding="ISO-8859-1")
     names = [c for c in raw.columns if c != "row_id"]
-    raw = raw.select("row_id", *[decode_text(F.col(f"`{c}`"))["text"].alias(c) for c in names])
+    raw = raw.select("row_id", *[detect_text(F.col(f"`{c}`"))["text"].alias(c) for c in names])
     text, rating = profile.sniff_columns(raw.select(*names)).first()
     rows = raw.select("row_id", F.col(f"`{names[text]}`").alias("text"), *([F.regexp_replace(f"`{names[rating]}`", '"', "").alias("given")] if rating is not None else []))
     done = clean.clean(rows, rating_col="given" if rating is not None else None)

@@ -13,6 +13,7 @@ from labelwright.operators import bayes, clean, cluster, distance, evaluate, knn
 from labelwright.operators.edits import apply_label_edits, edit_stored, read_editable, write_editable
 from labelwright.plans import evaluations
 from labelwright.plans.views import labelled, messages, passages, raw_messages, table, words
+from labelwright.sources.charset import detect_text
 from labelwright.sources.files import decode_text, read_labelled, read_raw_csv, read_words, read_words_csv, write_labelled
 from labelwright.tables import new_path, stored
 
@@ -156,6 +157,21 @@ def decoded(spark, sf_dir):
     return messages(spark, sf_dir).withColumn("d", decode_text(misread)).select("row_id", "d.text", "d.encoding")
 
 
+_SAID = {"windows-1250": "Příliš žluťoučký kůň", "windows-1251": "Съешь ещё этих мягких булок", "windows-1253": "Ξεσκεπάζω την βδελυγμία", "shift_jis": "今日はいい天気ですね", "gb18030": "今天天气很好", "ISO-8859-1": "où est la forêt"}
+
+
+@query("detect_text", "WITH d AS (SELECT *, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents) SELECT doc_id AS row_id, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{x} ' || t" for i, x in enumerate(_SAID.values()))
+       + " ELSE text END AS text, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SAID)) + " ELSE 'UTF-8' END AS encoding FROM d WHERE text IS NOT NULL")
+def detected(spark, sf_dir):
+    """Every document's bytes in turn in one of seven encodings, with a few words that only this encoding makes sense of, as a reader of ISO-8859-1 sees them."""
+    kind, ascii_only = F.col("row_id") % 7, F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    misread = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    for i, (name, said) in enumerate(_SAID.items()):
+        misread = F.when(kind == i, F.concat(F.lit(f"{said} ".encode(name).decode("latin-1")), ascii_only)).otherwise(misread)
+    rows = messages(spark, sf_dir).filter("text IS NOT NULL")
+    return rows.withColumn("d", detect_text(misread)).select("row_id", "d.text", "d.encoding")
+
+
 # --- files: each query writes a given table into the shared folder and reads it back ------------------------------------------
 
 
@@ -406,6 +422,16 @@ def knn_neighbours(spark, sf_dir):
     return knn.knn_neighbours(passages(spark, sf_dir), labelled(spark, sf_dir), 5).withColumn("distance", F.round("distance", 9))
 
 
+_MESSAGES = "messages AS (SELECT conv_id * 1000 + turn AS row_id, text, CAST(turn % 3 * 2 AS INTEGER) AS label FROM conversations), asked AS (SELECT * FROM messages WHERE row_id % 5 = 0)"
+
+
+@query("knn_messages", f"WITH {_MESSAGES}, {_near_sql('asked', 'messages', WS_SET, 0.0)} SELECT query_id, rank, round(distance, 9) AS distance, base_id, label FROM near WHERE rank <= 3")
+def knn_messages(spark, sf_dir):
+    """Short texts: neighbours of each fifth chat message among all."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", (F.col("turn") % 3 * 2).cast("int").alias("label"))
+    return knn.knn_neighbours(rows.filter("row_id % 5 = 0"), rows, 3).withColumn("distance", F.round("distance", 9))
+
+
 @query("nearest_neighbour", f"WITH {LABELLED}, {_PASSAGES}, {_near_sql('passages', 'labelled', ASCII_SET, 1.0)} SELECT query_id, base_id, round(distance, 9) AS distance FROM near WHERE rank <= 1")
 def nearest_neighbour(spark, sf_dir):
     return cluster.nearest_neighbour(passages(spark, sf_dir), labelled(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
