@@ -1,24 +1,34 @@
 """Hierarchical clustering as a labeller.
 
-The linkages built here are reducible, so all pairs of clusters that are each other's nearest may merge in one round and the
-tree is the same. A round is a few joins on a table of cluster pairs with additive sums, written once; ties are broken by a hash of the
-pair, so a field of equal distances merges many pairs a round. A cluster is named by its smallest member.
+The linkages built here are reducible, so all pairs of clusters that are each other's nearest may merge in one round and the tree is the same; ties
+are broken by a hash of the pair, so a field of equal distances merges many pairs a round. A cluster is named by its smallest member.
+
+Average and complete linkage keep only pairs that share a token: rows of different components of that graph stay at distance 1 and merge
+last. Components are units of their own: those of up to ``UNIT_PAIRS`` pairs are merged to the end in one task, several at a time; larger ones
+take rounds of joins, each written once, until few enough pairs are left of them. So there is no most rows. Ward's linkage needs all pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from labelwright.operators.distance import pairwise_distances
 from labelwright.operators.knn import knn_neighbours
-from labelwright.tables import new_path, stored
+from labelwright.tables import in_order, stored
 
 METHODS = ("average", "complete", "ward")
-#: Rows a tree is fitted on at most; more rows are labelled by their nearest fitted one.
+#: Rows a labeller's tree is fitted on, and rows that Ward's linkage, which keeps all pairs, takes at most.
 FIT_ROWS = 2_000
+#: Pairs of a component that one task merges to the end, some 300 bytes each.
+UNIT_PAIRS = 1_000_000
 NEUTRAL = 2
+STATE = "a long, b long, n long, similar double, squares double, far double, size_a long, size_b long, within_a double, within_b double"
+MERGES = "turn int, keep1 long, keep2 long, dissimilarity double, size long"
 
 
 def _dissimilarity(method: str) -> Column:
@@ -33,69 +43,180 @@ def _dissimilarity(method: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 * size / (F.col("size_a") + F.col("size_b")) * (between - within / 2)))
 
 
-def linkage(df: DataFrame, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS) -> DataFrame:
+def _dissimilar(s: dict[str, np.ndarray], method: str) -> np.ndarray:
+    """The same of a task's arrays."""
+    size = s["size_a"] * s["size_b"]
+    if method == "average":
+        return 1 - s["similar"] / size
+    if method == "complete":
+        return np.where(s["n"] == size, s["far"], 1.0)
+    between = (s["squares"] + (size - s["n"])) / size
+    within = s["within_a"] / (s["size_a"] * s["size_a"]) + s["within_b"] / (s["size_b"] * s["size_b"])
+    return np.sqrt(np.maximum(0.0, 2 * size / (s["size_a"] + s["size_b"]) * (between - within / 2)))
+
+
+def _mutual(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of pairs that are the first of both their ends: by distance, then a hash of the pair."""
+    order = np.round(d, 12)
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: a.size], at[a.size :]
+    least = np.full(ids.size, np.inf)
+    np.minimum.at(least, x, order)
+    np.minimum.at(least, y, order)
+    near = np.flatnonzero((order == least[x]) & (order == least[y]))  # both ends have nothing nearer
+    ties_x, ties_y = (np.bincount(e[order == least[e]], minlength=ids.size) for e in (x, y))
+    alone = (ties_x + ties_y)[x[near]] + (ties_x + ties_y)[y[near]] == 2
+    sure, rest = near[alone], near[~alone]
+    if rest.size:
+        # Where distances tie, a pair is first if its hash is the least among those as near, of either end.
+        asked = np.zeros(ids.size, bool)
+        asked[x[rest]] = asked[y[rest]] = True
+        tied = np.flatnonzero((order == least[x]) & asked[x] | (order == least[y]) & asked[y])
+        digests = np.frombuffer(b"".join([md5(b"%d|%d" % p).digest() for p in zip(a[tied].tolist(), b[tied].tolist(), strict=True)]), ">u8").reshape(-1, 2)
+        own = [(order[tied] == least[e[tied]]) & asked[e[tied]] for e in (x, y)]
+        node, row = np.concatenate([x[tied][own[0]], y[tied][own[1]]]), np.concatenate([np.flatnonzero(o) for o in own])
+        by = np.lexsort((digests[row, 1], digests[row, 0], node))
+        first = np.full(ids.size, -1)
+        first[node[by][::-1]] = tied[row[by][::-1]]  # the last one written is the least
+        rest = rest[(first[x[rest]] == rest) & (first[y[rest]] == rest)]
+    return np.concatenate([sure, rest]).astype(np.int64)
+
+
+def merge_all(s: dict[str, np.ndarray], method: str, turn: int = 0) -> list[tuple[int, int, int, float, int]]:
+    """Rows of ``MERGES`` of some components' pairs, merged round by round until no pair is left."""
+    out = []
+    while s["a"].size:
+        d = _dissimilar(s, method)
+        k = _mutual(s["a"], s["b"], d)
+        size = s["size_a"][k] + s["size_b"][k]
+        within = s["within_a"][k] + s["within_b"][k] + 2 * (s["squares"][k] + s["size_a"][k] * s["size_b"][k] - s["n"][k])
+        keep, gone = s["a"][k], s["b"][k]
+        out += zip([turn] * k.size, keep.tolist(), gone.tolist(), d[k].tolist(), size.tolist(), strict=True)
+        ends = np.concatenate([keep, gone])
+        order = np.argsort(ends)
+        ends, to, grown, spread = ends[order], np.tile(keep, 2)[order], np.tile(size, 2)[order], np.tile(within, 2)[order]
+        for e in "ab":
+            at = np.minimum(np.searchsorted(ends, s[e]), ends.size - 1)
+            hit = ends[at] == s[e]
+            s |= {e: np.where(hit, to[at], s[e]), f"size_{e}": np.where(hit, grown[at], s[f"size_{e}"]), f"within_{e}": np.where(hit, spread[at], s[f"within_{e}"])}
+        left = s["a"] != s["b"]
+        turned = s["a"] > s["b"]
+        s |= {f"{c}{x}": np.where(turned, s[f"{c}{y}"], s[f"{c}{x}"]) for c in ("", "size_", "within_") for x, y in ("ab", "ba")}
+        order = np.lexsort((s["b"][left], s["a"][left]))
+        s = {c: v[left][order] for c, v in s.items()}
+        if s["a"].size:
+            head = np.flatnonzero(np.append(True, (np.diff(s["a"]) != 0) | (np.diff(s["b"]) != 0)))
+            s = {c: np.add.reduceat(v, head) if c in ("n", "similar", "squares") else np.maximum.reduceat(v, head) if c == "far" else v[head] for c, v in s.items()}
+        turn += 1
+    return out
+
+
+def _units(method: str, turn: int):
+    columns = [c.split()[0] for c in STATE.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        made = merge_all({c: table.column(c).to_numpy() for c in columns}, method, turn)
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        values = list(zip(*made, strict=True)) or [[]] * 5
+        return pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in MERGES.split(", ")])
+
+    return run
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of every id of (a, b): least labels of neighbours, then of labels, until nothing changes."""
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = stored(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "components")
+    while True:
+        near = ends.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        moved = labels.join(near, "id").join(jump, "component", "left")
+        labels = stored(moved.select("id", F.col("component").alias("was"), F.least("near", "component", "further").alias("component")), "components")
+        if labels.filter("was <> component").isEmpty():
+            return labels.select("id", "component")
+
+
+def _round(state: DataFrame, method: str) -> DataFrame:
+    """One round of joins: the pairs that are left, and those that merged (``merged``, with d and size)."""
+    full = state.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.md5(F.concat_ws("|", "a", "b")), "a", "b"))
+    ends = full.select("order", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("order").alias("best"))
+    mutual = ends.groupBy("best").agg(F.count("*").alias("both")).filter("both = 2").select(F.col("best.a").alias("a"), F.col("best.b").alias("b"))
+    within = F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))
+    merged = stored(full.join(mutual, ["a", "b"]).withColumns({"size": F.col("size_a") + F.col("size_b"), "within": within}).drop("order"), "merged")
+    moved = state
+    for s in "ab":
+        new = merged.select(F.explode(F.array("a", "b")).alias(f"of_{s}"), F.col("a").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
+        moved = moved.join(new, F.col(s) == F.col(f"of_{s}"), "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
+    turned = F.col("to_a") > F.col("to_b")
+    sides = {f"{c}_{s}": F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("to", "size", "within") for s, o in ("ab", "ba")}
+    moved = moved.filter("to_a <> to_b").withColumns(sides)
+    sums = [F.sum(c).alias(c) for c in ("n", "similar", "squares")] + [F.max(c).alias(c) for c in ("far", "size_a", "size_b", "within_a", "within_b", "component")]
+    left = moved.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(*sums)
+    none = F.lit(None)
+    return left.select(*state.columns, F.lit(False).alias("merged"), none.cast("double").alias("d"), none.cast("long").alias("size")).unionByName(merged.select(*state.columns, F.lit(True).alias("merged"), "d", "size"))
+
+
+def linkage(df: DataFrame, method: str = "average", text_col: str = "text", id_col: str = "row_id", fit_rows: int = FIT_ROWS, unit_pairs: int = UNIT_PAIRS) -> DataFrame:
     """step, cluster1, cluster2, new_cluster, dissimilarity, size, and keep1, keep2 (smallest members), in ascending dissimilarity.
 
-    Rows are 0..n-1 in id order, step i makes cluster n+i. Above ``fit_rows`` rows this is an error: take a sample first.
+    Rows are 0..n-1 in id order, step i makes cluster n+i. Ward's linkage of more than ``fit_rows`` rows is an error: take a sample first.
     """
     if method not in METHODS:
         method = "average"
     rows = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "leaves")
     n = rows.count()
-    if n > fit_rows:
-        raise ValueError(f"{n} rows: fit a tree on {fit_rows} at most and label the rest by their nearest")
+    if method == "ward" and n > fit_rows:
+        raise ValueError(f"{n} rows: fit Ward's tree on {fit_rows} at most and label the rest by their nearest")
     one, none = F.lit(1).cast("long"), F.lit(0.0)
     state = pairwise_distances(rows, "ascii", dense=method == "ward", id_col="id").select(
         F.col("i").alias("a"), F.col("j").alias("b"), one.alias("n"), (1 - F.col("distance")).alias("similar"), (F.col("distance") * F.col("distance")).alias("squares"), F.col("distance").alias("far"),
         one.alias("size_a"), one.alias("size_b"), none.alias("within_a"), none.alias("within_b"))
-    columns = state.columns
-    path = new_path(df.sparkSession, "tree")
-    # A round writes one table: the pairs that are left, with each side's size, and the merges it made.
-    state.select("*", F.lit(False).alias("merged"), none.alias("d")).write.parquet(f"{path}/turn=0")
-    schema = df.sparkSession.read.parquet(f"{path}/turn=0").schema
-    turn = 0
+    state = stored(state, "pairs")
+    if method == "ward" or state.count() <= unit_pairs:
+        state = state.withColumn("component", F.lit(0).cast("long"))  # few pairs: one unit
+    else:
+        state = stored(state.join(_components(state).withColumnRenamed("id", "a"), "a").select(*state.columns, "component"), "pairs")
+    tree, turn = None, 0
     while True:
-        pairs = df.sparkSession.read.schema(schema).parquet(f"{path}/turn={turn}").filter("NOT merged").drop("merged", "d")
-        full = pairs.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.md5(F.concat_ws("|", "a", "b")), "a", "b"))
-        ends = full.select("order", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("order").alias("best"))
-        mutual = ends.groupBy("best").agg(F.count("*").alias("both")).filter("both = 2").select(F.col("best").alias("order"))
-        within = F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))
-        merged = full.join(F.broadcast(mutual), "order").withColumns({"size": F.col("size_a") + F.col("size_b"), "within": within})  # at most a pair for two rows
-        moved = pairs
-        for s in "ab":
-            new = merged.select(F.explode(F.array("a", "b")).alias(f"of_{s}"), F.col("a").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
-            moved = moved.join(F.broadcast(new), F.col(s) == F.col(f"of_{s}"), "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
-        turned = F.col("to_a") > F.col("to_b")
-        sides = {f"{c}_{s}": F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("to", "size", "within") for s, o in ("ab", "ba")}
-        moved = moved.filter("to_a <> to_b").withColumns(sides)
-        sums = [F.sum(c).alias(c) for c in ("n", "similar", "squares")] + [F.max(c).alias(c) for c in ("far", "size_a", "size_b", "within_a", "within_b")]
-        left = moved.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(*sums).select(*columns, F.lit(False).alias("merged"), none.alias("d"))
-        seen = Observation()
-        turn += 1
-        left.unionByName(merged.select(*columns, F.lit(True).alias("merged"), "d")).observe(seen, F.count("*").alias("rows")).write.parquet(f"{path}/turn={turn}")
-        if not seen.get["rows"]:
+        sizes = stored(state.groupBy("component").agg(F.count("*").alias("pairs")), "component-sizes")
+        large = sizes.filter(F.col("pairs") > unit_pairs).select("component")
+        small = sizes.filter(F.col("pairs") <= unit_pairs).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] if method != "ward" else state.count()
+        if small:
+            whole = state if method == "ward" else state.join(large, "component", "left_anti")
+            unit = F.pmod(F.xxhash64("component"), F.lit(max(1, 2 * small // unit_pairs)))
+            made = stored(whole.withColumn("unit", unit).groupBy("unit").applyInArrow(_units(method, turn), MERGES), "merges")
+            tree = made if tree is None else tree.unionByName(made)
+        if method == "ward" or large.isEmpty():
             break
-    made = df.sparkSession.read.schema(StructType([*schema, StructField("turn", IntegerType())])).parquet(path).filter("merged")
-    tree = stored(made.select("turn", F.col("a").alias("keep1"), F.col("b").alias("keep2"), F.col("d").alias("dissimilarity"), (F.col("size_a") + F.col("size_b")).alias("size")), "merges")
-    # What is left shares no token: all of it merges at 1, one after another, into the smallest.
-    grown = tree.groupBy(F.col("keep1").alias("id")).agg(F.max("size").alias("grown"))
-    left = rows.select("id").withColumn("size", one).join(tree.select(F.col("keep2").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("grown", "size").alias("size"))
-    order = Window.orderBy("id")
-    rest = left.select(F.lit(turn).alias("turn"), F.min("id").over(Window.partitionBy()).alias("keep1"), F.col("id").alias("keep2"), F.lit(1.0).alias("dissimilarity"), F.sum("size").over(order).alias("size"), F.row_number().over(order).alias("r")).filter("r > 1").drop("r")
-    return dendrogram(tree.unionByName(rest), rows, n)
+        done = stored(_round(state.join(large, "component", "left_semi").select(*state.columns), method), "turn")
+        made = done.filter("merged").select(F.lit(turn).alias("turn"), F.col("a").alias("keep1"), F.col("b").alias("keep2"), F.col("d").alias("dissimilarity"), "size")
+        tree = made if tree is None else tree.unionByName(made)
+        state, turn = done.filter("NOT merged").drop("merged", "d", "size"), turn + 1
+    empty = df.sparkSession.createDataFrame([], MERGES)
+    return dendrogram(stored(tree if tree is not None else empty, "merges"), rows, n)
 
 
 def dendrogram(merges: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """Merges in order with the names of inner clusters. The table has n - 1 rows, n bounded by the fit, so its windows are small."""
-    order = Window.orderBy(F.round("dissimilarity", 9), "turn", "keep1", "size", "keep2")
-    steps = stored(merges.withColumn("step", F.row_number().over(order).cast("long") - 1), "steps")
-    leaf = rows.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("leaf"))
+    """Merges of pairs below 1 in order, then all that is left, which merges at 1, one cluster after another into the smallest; with the names of
+    inner clusters. Numbers and sums in order are taken over ranges, so no task holds the tree."""
+    steps = stored(in_order(merges, F.round("dissimilarity", 9), "turn", "keep1", "size", "keep2", rank="step"), "steps")
+    made = steps.count()
+    leaf = stored(in_order(rows.select("id"), "id", rank="leaf"), "leaf-names")
+    grown = steps.groupBy(F.col("keep1").alias("id")).agg(F.max("size").alias("size"), F.max("step").alias("last"))
+    tops = leaf.join(steps.select(F.col("keep2").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("size", F.lit(1).cast("long")).alias("size"), F.coalesce(F.lit(n) + F.col("last"), F.col("leaf")).alias("name"))
+    left = stored(in_order(tops, "id", rank="place", total=("size", "through")), "tops")
+    head = left.filter("place = 0").select(F.col("id").alias("keep1"), F.col("name").alias("first")).first()
     # A cluster's name is the last earlier step that it came out of, else its leaf.
     events = steps.select(F.col("keep1").alias("id"), "step", F.lit(1).alias("side"), F.col("step").alias("made")).unionByName(steps.select(F.col("keep2").alias("id"), "step", F.lit(2).alias("side"), F.lit(None).cast("long").alias("made")))
     earlier = Window.partitionBy("id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     named = events.withColumn("last", F.max("made").over(earlier)).join(leaf, "id").withColumn("name", F.coalesce(F.lit(n) + F.col("last"), F.col("leaf")))
     sides = [named.filter(F.col("side") == s).select("step", F.col("name").alias(f"name{s}")) for s in (1, 2)]
-    whole = steps.join(sides[0], "step").join(sides[1], "step")
+    whole = steps.join(sides[0], "step").join(sides[1], "step").select("step", "name1", "name2", "dissimilarity", "size", "keep1", "keep2")
+    if head is not None:
+        step = F.lit(made) + F.col("place") - 1
+        before = F.when(F.col("place") == 1, F.lit(head["first"])).otherwise(F.lit(n) + step - 1)
+        last = left.filter("place > 0").select(step.alias("step"), before.alias("name1"), F.col("name").alias("name2"), F.lit(1.0).alias("dissimilarity"), F.col("through").alias("size"), F.lit(head["keep1"]).cast("long").alias("keep1"), F.col("id").alias("keep2"))
+        whole = whole.unionByName(last)
     return whole.select(F.col("step").cast("int").alias("step"), F.least("name1", "name2").alias("cluster1"), F.greatest("name1", "name2").alias("cluster2"), (F.lit(n) + F.col("step")).alias("new_cluster"), "dissimilarity", "size", "keep1", "keep2")
 
 

@@ -526,6 +526,11 @@ for _method in cluster.METHODS:
         lambda spark, sf_dir, m=_method: cluster.linkage(passages(spark, sf_dir), m).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9).alias("dissimilarity"), "size"))
 
 
+for _method in ("average", "complete"):
+    query(f"linkage_labelled_{_method}", f"WITH RECURSIVE {LABELLED}, {_tree_sql('labelled', _method)} SELECT step, cluster1, cluster2, new_cluster, round(dissimilarity, 9) AS dissimilarity, size FROM tree")(
+        lambda spark, sf_dir, m=_method: cluster.linkage(labelled(spark, sf_dir), m).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9).alias("dissimilarity"), "size"))
+
+
 @query("cut", f"WITH RECURSIVE {_PASSAGES}, {_tree_sql('passages')}, {_cut_sql('passages', 3)} SELECT row_id, cluster FROM membership")
 def cut(spark, sf_dir):
     rows = passages(spark, sf_dir)

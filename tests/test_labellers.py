@@ -174,6 +174,37 @@ def test_linkage(spark, method):
         cluster.cut(merges, df, 13)
 
 
+@pytest.mark.parametrize("method", ["average", "complete"])
+def test_trees_are_the_same_in_rounds_and_units(spark, method):
+    """Components apart, ties everywhere, rows without tokens: merged in one task, or by rounds of joins until components are small."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'xyz'[i % 3]}{x}" for x in rng.choice(6, 3, replace=False)) for i in range(36)] + ["", "alone", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    want = rows(cluster.linkage(df, method).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9), "size"))
+    for pairs in (20, 60):
+        assert rows(cluster.linkage(df, method, unit_pairs=pairs).select("step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9), "size")) == want
+    d = np.array([[jaccard(a or "", b or "", 1.0) for b in texts] for a in texts])
+    np.fill_diagonal(d, 0)
+    members = {i: [i] for i in range(len(texts))}
+    for _, x, y, new, h, size in sorted(want):
+        own = d[np.ix_(members[x], members[y])]
+        assert abs((own.mean() if method == "average" else own.max()) - h) < 1e-8
+        members[new] = members.pop(x) + members.pop(y)
+        assert len(members[new]) == size
+    assert len(members) == 1 and [r[4] for r in sorted(want)] == sorted(r[4] for r in want)
+
+
+def test_no_most_rows(spark):
+    n = 2_600
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("g"), (F.col("id") % 900).cast("string")).alias("text"))
+    merges = cluster.linkage(df)
+    assert merges.count() == n - 1 and merges.filter("dissimilarity = 0").count() == n - 900 and merges.filter("dissimilarity = 1").count() == 899
+    assert merges.agg(F.max("size")).first()[0] == n and cluster.cut(merges, df, 900).select("cluster").distinct().count() == 900
+    with pytest.raises(ValueError, match="Ward"):
+        cluster.linkage(df, "ward")
+    assert cluster.linkage(df.limit(1)).count() == cluster.linkage(df.limit(0)).count() == 0
+
+
 def test_cluster_labels(spark):
     df = spark.createDataFrame([(1, 4), (2, 4), (3, 0), (4, 0), (5, 2)], "row_id long, label int")
     member = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 9)], "row_id long, cluster long")
