@@ -193,11 +193,12 @@ def _written(spark, rows):
 
 @query("read_labelled", f"""WITH {LABELLED} SELECT label, regexp_replace({_LINE}, '^"+|"+$', '', 'g') AS text FROM labelled""")
 def labelled_files(spark, sf_dir):
-    """Every labelled document as a plain line ``label,text`` of files, every third line with a carriage return at its end."""
-    path = new_path(spark, "lines")
-    end = F.when(F.col("row_id") % 3 == 0, "\r").otherwise("")
-    line = F.concat(F.col("label").cast("string"), F.lit(","), F.regexp_replace("text", r"[\r\n]+", " "), end).alias("label,text")
-    labelled(spark, sf_dir).select(line).write.option("header", True).option("quote", "").option("sep", "\u0001").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """Every labelled document as a plain line ``label,text`` of eight files with a header each, every third line with a carriage return at its end."""
+    path, end = new_path(spark, "lines"), F.when(F.col("row_id") % 3 == 0, "\r").otherwise("")
+    line = F.concat(F.col("label").cast("string"), F.lit(","), F.regexp_replace("text", r"[\r\n]+", " "), end)
+    lines = labelled(spark, sf_dir).select(F.pmod("row_id", F.lit(8)).alias("part"), F.lit(1).alias("after"), line.alias("value"))
+    heads = spark.range(8).select(F.col("id").alias("part"), F.lit(0).alias("after"), F.lit("label,text").alias("value"))
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "after").select("part", "value").write.partitionBy("part").text(path)
     return read_labelled(spark, path).select("label", "text")
 
 
