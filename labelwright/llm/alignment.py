@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import cut, hold, slices
-from labelwright.llm.tokenize import CACHE, PieceEncoder
+from labelwright.llm.tokenize import PieceEncoder
 
 #: Driving ends of which one is found from the text's begin; the others start where that one was found.
 STRIDE = 32
 BYTES = 1 << 21
+#: Stretches that a worker keeps of either tokenizer.
+KEPT = 500_000
 #: A link is one number: A id, then B id in so many bits.
 B_BITS = 16
 BLOCKS = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups array<string>, links array<long>, times array<long>, held array<long>, own binary, own_times binary"
@@ -36,7 +38,9 @@ ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best lon
 
 
 class PlainEncoder(PieceEncoder):
-    """Ids of whole texts in which the names of special tokens are plain text; ``sizes`` has each id's bytes."""
+    """Ids of whole texts in which the names of special tokens are plain text; ``data`` has each id's bytes."""
+
+    kept = KEPT
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -97,7 +101,7 @@ class SpaceEncoder:
         for i, got in zip(loose, self.model.encode([texts[i] for i in loose], num_threads=1) if loose else (), strict=True):
             out[i] = np.array(got, np.uint16)
         del begins
-        if len(self.begins) > CACHE or len(self.pool) > 8 * CACHE:
+        if len(self.begins) > KEPT or len(self.pool) > 8 * KEPT:
             self.clear()
         return out
 

@@ -14,8 +14,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 #: Bounds of a sample besides its rows: labels learnt at most, the commonest ones, as a column of free text may hold any number of
-#: them; and characters of its longest text.
-MOST_LABELS, LONGEST = 512, 200_000
+#: them; characters of a text; and of all texts together, which the driver holds.
+MOST_LABELS, LONGEST, WHOLE = 512, 200_000, 150_000_000
 
 
 def sample(rows: DataFrame, label: str, per_label: int, most_labels: int = MOST_LABELS) -> list[tuple]:
@@ -35,9 +35,13 @@ def sample(rows: DataFrame, label: str, per_label: int, most_labels: int = MOST_
 def texts_of(docs: DataFrame, chosen: list[tuple], label: str, kind: str, longest: int = LONGEST) -> list[tuple[str, object]]:
     """(text, label) of the chosen rows, in id order, one a doc_id; the chosen ids are broadcast, as few as ``sample`` takes.
 
-    Texts above ``longest`` characters aren't learnt from, and of rows that share an id one text is, so what is collected is bounded.
+    A text above ``longest`` characters, or above an equal share of ``WHOLE``, gives a stretch of so many, from a place that its id says; of rows
+    that share an id one text is taken. So what is collected is bounded.
     """
+    longest = max(1, min(longest, WHOLE // max(1, len(chosen))))
     ids = docs.sparkSession.createDataFrame(chosen, f"doc_id long, {label} {kind}").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= longest)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length("text") - longest, F.lit(0)) + 1) + 1
+    texts = texts.withColumn("text", F.when(F.char_length("text") > longest, F.substring(F.col("text"), start.cast("int"), F.lit(longest))).otherwise(F.col("text")))
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]

@@ -27,7 +27,7 @@ from labelwright.llm.tokenize import encoder
 GROUP, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4_000, 2, 4, 2, 6
 #: The share of a group's bins, the slackest ones, that is packed again on the next level.
 AGAIN = 8
-BYTES = 1 << 21
+BYTES = 1 << 22
 PIECES = "row long, doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 PACKINGS = "group long, island int, least long, bins long, fitness double, rows binary, lengths binary, assigned binary"
 PLACES = "row long, sequence_id long, offset long, length long, again boolean"

@@ -9,6 +9,7 @@ probabilities, and a text's language is the one with the largest mean over its w
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +47,7 @@ def bare(word: str) -> str:
 def features(words: list[str], lexicon: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words, joined, and where each word's begin, with the end. A word without letters has none.
 
-    ``lexicon``: the languages that list a word, as bits.
+    ``lexicon``: a number for the languages that list a word.
     """
     letters = [bare(w) for w in words]
     shown = [f"<{w}>" for w in letters]
@@ -257,14 +258,14 @@ class Field:
 
 
 def listed(words: list[str], index: np.ndarray, text: np.ndarray, truth: np.ndarray, k: int) -> dict[str, int]:
-    """The lexicon: for each word that ``LISTED`` texts of a language have, the languages of which that holds, as bits (62 at most)."""
+    """The lexicon: for each word that ``LISTED`` texts of a language have, a hash of all languages of which that holds."""
     once = np.unique((text * np.int64(len(words)) + index) * np.int64(k) + truth)
     pair, n = np.unique(once % (len(words) * np.int64(k)), return_counts=True)
-    out: dict[str, int] = {}
+    lists: dict[str, set[int]] = {}
     for word, language in zip((pair[n >= LISTED] // k).tolist(), (pair[n >= LISTED] % k).tolist(), strict=True):
-        if (name := bare(words[word])) and language < 62:
-            out[name] = out.get(name, 0) | 1 << language
-    return out
+        if name := bare(words[word]):
+            lists.setdefault(name, set()).add(language)
+    return {name: zlib.crc32(",".join(map(str, sorted(own))).encode()) + 1 for name, own in lists.items()}
 
 
 def fit(labelled: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Field:
@@ -326,7 +327,7 @@ def identify(docs: DataFrame, model: Field, column: str = "language") -> DataFra
 
     Only the text is looked at. Repeated rows and null ids stay, and so do other columns whatever their names, but one named
     ``column`` is replaced; with nothing to learn from, all is ``und``; an empty table stays empty. Very long texts are one sequence
-    each, in memory linear in their words. Of languages with equal means the first by name is taken.
+    each, in memory linear in their words times the languages learnt; other texts come in slices that shrink with the languages. Of languages with equal means the first by name is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -335,7 +336,7 @@ def identify(docs: DataFrame, model: Field, column: str = "language") -> DataFra
         field_ = shared.value
         for batch in batches:
             names, scores = [], []
-            for _, _, texts in slices(batch, BYTES):
+            for _, _, texts in slices(batch, max(1 << 14, BYTES * 16 // max(16, len(field_.languages)))):
                 got = field_.label(texts)
                 names += got[0]
                 scores += got[1]

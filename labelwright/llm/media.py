@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,11 +119,18 @@ def cosine_hash(pixels: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
+#: Bytes of texts or media that are worked on at a time.
+BYTES = 1 << 21
+
+
 def _mapped(rows, batches: Iterator[pa.RecordBatch], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """``rows`` over small runs of each batch, so only a few media are in memory twice."""
+    """``rows`` over runs of about ``BYTES`` of each batch's last column, so only a few media are in memory twice; a larger one is a run of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right")))
+            part, at = batch.slice(at, stop - at), stop
             got = [rows(*x) for x in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
             columns = list(zip(*got, strict=True)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)

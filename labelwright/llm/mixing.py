@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document draws an exponential key divided by its quality weight; small keys win. A source's target is met by whole
-epochs first and then by the documents of smallest key, up to the budget. Prefix sums run in two levels: the keys' range is
-cut into bins that are summed per source, so only the one bin in which a source's budget ends is sorted. No task holds a
-source, however large.
+epochs first and then by the documents of smallest key, up to the budget. Prefix sums run in two levels: keys are cut into bins of
+equal ratio, that are summed per source, so only the one bin in which a source's budget ends is sorted. Whatever a source's weights are,
+they scale its keys, which only moves them along such bins: no bin has much more than a thousandth of a large source.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from labelwright.llm.common import cut, word_count
 
-BINS = 4096
+#: Bins of keys from one to its double.
+BINS = 1024
 #: Sources up to which the table of thresholds (one row a source) is broadcast; beyond it, it is joined.
 BROADCAST_SOURCES = 100_000
 MAX_EPOCHS = 3
@@ -40,7 +41,7 @@ def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str = "mix"
 def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Adds ``_size`` (words), ``_key`` and ``_bin``; every document of one bin has a smaller key than any of the next."""
     docs = docs.withColumns({"_size": word_count(F.col("text")), "_key": sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed)})
-    return docs.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("_key"))))).cast("int"))
+    return docs.withColumn("_bin", F.floor(F.lit(BINS) * F.log2("_key")).cast("int"))
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: int = CYCLE) -> DataFrame:

@@ -32,7 +32,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
     """One row for each piece of each document, with its bucket (its length) and its own ``sequence_id``.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id, or have none, are packed as documents of
-    their own. Other columns are left out, whatever their names. ``longest`` must be a power of two.
+    their own. Other columns are left out, whatever their names. ``longest`` must be a power of two. An empty table gives no piece; a very
+    long text is encoded and cut whole, in a few times its size.
     A sequence id is the task's number and a count in it: gap-free numbers would need a sort that nothing uses.
     """
     if longest & (longest - 1) or longest < 1:

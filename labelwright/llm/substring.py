@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ HOT = 5_000
 #: Hot minimisers and frequent digests up to which they are broadcast (8 and 16 bytes each); beyond it they are joined, in so many parts.
 BROADCAST, SALTS = 500_000, 64
 BYTES = 1 << 20
+#: Windows of one string at most: a longer stretch of one minimiser goes as several strings, which overlap by a window's words but one.
+STRETCH = 512
 KEYED = "k1 long, k2 long, text string"
 SPANS = "k1 long, k2 long, begin long, end long"
 SINGLES = "d1 long, d2 long, k1 long, k2 long, start long"
@@ -60,6 +63,8 @@ class _Windows:
         least = least_of(runs_of(w.hashes, m), window - m + 1)[self.at]
         new = np.ones(self.n, bool)
         new[1:] = (np.diff(self.at) != 1) | (least[1:] != least[:-1])
+        place = np.arange(self.n)
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % STRETCH == 0
         self.begin = np.flatnonzero(new)
         self.end = np.append(self.begin[1:], self.n)
         self.least = least[self.begin]
@@ -296,15 +301,17 @@ def _kept(spacing: bool):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out: tuple[list, ...] = ([], [], [])
-                for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    begin, end = (part.column(c)[i] if part.column(c)[i].is_valid else None for c in (2, 3))
                     words = text.encode().split() if text else []
                     n = len(words)
-                    if spans:
-                        keep = bytearray(b"\1") * n
-                        for s in spans:
-                            keep[s["begin"] : s["end"]] = bytes(s["end"] - s["begin"])
-                        words = [w for w, k in zip(words, keep, strict=True) if k]
-                    kept = text if spacing and not spans else b" ".join(words).decode()
+                    hit = begin is not None
+                    if hit:
+                        edges = np.zeros(n + 1, np.int64)
+                        np.add.at(edges, begin.values.to_numpy(), 1)
+                        np.add.at(edges, end.values.to_numpy(), -1)
+                        words = list(compress(words, (np.cumsum(edges[:-1]) == 0).tolist()))
+                    kept = text if spacing and not hit else b" ".join(words).decode()
                     for column, value in zip(out, (n, n - len(words), kept), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["row", "n_words", "n_removed", "kept"])
@@ -317,12 +324,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
 
     ``kept`` is the words outside repeated windows, joined by one space; with ``spacing`` a text that loses nothing stays
     as it was. Null and empty texts have no words; texts shorter than a window keep all; rows alike repeat each other
-    and lose every window.
+    and lose every window. A very long text is worked on whole, in two numbers a repeated window and some 100 bytes a word.
     """
-    spans = repeated_spans(docs, window, minimiser, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(docs, window, minimiser, hot).groupBy("k1", "k2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("row")
     named = _keyed(docs.select(others, "doc_id", "text"), "row")
-    joined = named.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
+    joined = named.join(spans, ["k1", "k2"], "left").select("row", "text", "begins", "ends")
     kind = StructType([joined.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("kept", StringType())])
     return joined.mapInArrow(_kept(spacing), kind)
 

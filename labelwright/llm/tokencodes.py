@@ -28,6 +28,8 @@ MAGIC, BLOCK = b"DAC1", 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Ids of one shard, give or take a document (documents are whole in a shard).
 SHARD_IDS = 1 << 18
+#: Parts (files) that a lookup's scan lists at most.
+LISTED = 1_000
 SHARDS = "part int, seq int, start_in_part long, n_docs int, n_ids long, payload binary"
 
 
@@ -162,12 +164,8 @@ def with_starts(shards: DataFrame) -> DataFrame:
     return shards.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("start_in_part"))
 
 
-def lookup(shards: DataFrame, wanted: DataFrame, pieces: int = 64) -> DataFrame:
-    """doc_id, position, token_id for each asked (doc_id, position): one id by the rank directories, whatever the shard's size.
-
-    A position outside its document, and a document that no shard has, get a null. A doc_id that several documents share answers
-    for each. A shard's index says where its documents lie; what is asked of one shard goes to it in ``pieces``.
-    """
+def index_of(shards: DataFrame) -> DataFrame:
+    """of (doc_id), part, seq, first, n of every document: where it lies, as a stored table of a few numbers a document."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +174,17 @@ def lookup(shards: DataFrame, wanted: DataFrame, pieces: int = 64) -> DataFrame:
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(at[:-1]), pa.array(np.diff(at))], names=["of", "part", "seq", "first", "n"])
 
+    return cut(shards.select("part", "seq", "payload").mapInArrow(index, "of long, part int, seq int, first long, n long"), "token-index")
+
+
+def lookup(shards: DataFrame, wanted: DataFrame, pieces: int = 64, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, position, token_id for each asked (doc_id, position): one id by the rank directories, whatever the shard's size.
+
+    A position outside its document, and a document that no shard has, get a null. A doc_id that several documents share answers
+    for each, and a question asked again is answered again. ``index`` is what ``index_of`` made of the shards, once for many lookups; what is
+    asked of one shard goes to it in ``pieces``. Of up to ``LISTED`` asked parts only those are read: their numbers are a filter of the scan.
+    """
+
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -183,12 +192,16 @@ def lookup(shards: DataFrame, wanted: DataFrame, pieces: int = 64) -> DataFrame:
                 ids = read_shard(batch.column(1)[i].as_py())[2].get(at.to_numpy())
                 yield pa.RecordBatch.from_arrays([doc_ids, positions, pa.array(ids.astype(np.int64))], names=["doc_id", "position", "token_id"])
 
-    places = shards.select("part", "seq", "payload").mapInArrow(index, "of long, part int, seq int, first long, n long")
+    places = index_of(shards) if index is None else index
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
     found = asked.join(places, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     inside = F.coalesce((F.col("position") >= 0) & (F.col("position") < F.col("n")), F.lit(False))
+    found = cut(found.withColumns({"_inside": inside, "_row": F.monotonically_increasing_id()}), "asked-tokens")
+    inside = F.col("_inside")
     ask = F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("place"))
-    lists = found.filter(inside).groupBy("part", "seq", F.pmod(F.xxhash64("doc_id", "position"), F.lit(pieces))).agg(F.collect_list(ask).alias("asks"))
+    lists = found.filter(inside).groupBy("part", "seq", F.pmod("_row", F.lit(pieces))).agg(F.collect_list(ask).alias("asks"))
+    few = [r[0] for r in found.filter(inside).select("part").distinct().limit(LISTED + 1).collect()]
+    shards = shards.filter(F.col("part").isin(few)) if len(few) <= LISTED else shards
     read = lists.join(shards.select("part", "seq", "payload"), ["part", "seq"]).select("asks", "payload").mapInArrow(get, "doc_id long, position long, token_id long")
     return read.unionByName(found.filter(~inside).select("doc_id", "position", F.lit(None).cast("long").alias("token_id")))
 

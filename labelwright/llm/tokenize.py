@@ -33,8 +33,8 @@ _WORD = re.compile(rf"[{_SPACE}]?[{_LETTER}]+")
 _LETTERS = re.compile(f"[{_LETTER}]+")
 #: White space before a space: such a text is not cut at its spaces first.
 _LOOSE = re.compile(rf"[{_SPACE}] ")
-#: Stretches and pieces that one Python worker keeps, and characters of a text up to which it keeps them (memory stays bounded).
-CACHE, LONGEST_KEPT = 400_000, 64
+#: Stretches and pieces that one Python worker keeps (about 120 bytes each), and characters of a text up to which it keeps them (memory stays bounded).
+CACHE, LONGEST_KEPT = 1_000_000, 64
 
 
 def _byte_alphabet() -> list[str]:
@@ -56,6 +56,9 @@ class PieceEncoder:
     of all other pieces and stretches.
     """
 
+    #: Stretches and pieces kept at most.
+    kept = CACHE
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -138,8 +141,8 @@ class PieceEncoder:
         for kept, key in self.passing:
             kept.pop(key, None)
         self.passing = []
-        if len(self.begins) > CACHE or len(self.pool) > 8 * CACHE:
-            recent = list({x for x in recent[: CACHE // 2] if x in self.words})
+        if len(self.begins) > self.kept or len(self.pool) > 8 * self.kept:
+            recent = list({x for x in recent[: self.kept // 2] if x in self.words})
             ids, own = self._gather(np.fromiter(map(self.words.__getitem__, recent), np.int64, len(recent)))
             self.clear()
             self.pool.frombytes(ids.tobytes())

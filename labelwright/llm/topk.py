@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from labelwright.llm.common import cut
 
 QUERY_BLOCK, SHARD, FAN = 512, 4096, 8
+#: Rows of lists that one merging call holds, about; query blocks whose lists a tile task keeps to merge them itself.
+MERGED_ROWS, KEPT = 500_000, 32
 _LONG = (1 << 63) - 1
 BLOCKS = "block long, dim int, ids binary, rows binary, vectors binary"
 LISTS = "node long, query_row long, query_id long, row long, vec_id long, score long"
@@ -82,12 +84,28 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _merged_lists(a: list[np.ndarray], b: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best of each query of two sets of list columns (node, query_row, query_id, row, vec_id, score)."""
+    columns = [np.concatenate(x) for x in zip(a, b, strict=True)]
+    _, query, _, row, vec, score = columns
+    # Scores go down; the complement of a long never overflows.
+    order = np.lexsort((row, vec, ~score, query))
+    head = np.append(True, np.diff(query[order]) != 0)
+    at = np.arange(order.size)
+    keep = order[at - np.maximum.accumulate(np.where(head, at, 0)) < k]
+    return [c[keep] for c in columns]
+
+
 def _tile(k: int):
     def arrays(ids: bytes, rows: bytes, vectors: bytes, dim: int, wide: int) -> tuple[np.ndarray, ...]:
         v = np.frombuffer(vectors, np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64)
         return np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.pad(v, ((0, 0), (0, wide - dim)))
 
+    def told(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "query_row", "query_id", "row", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 x = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
@@ -101,7 +119,14 @@ def _tile(k: int):
                 keep = crow[col] != qrow[who]
                 who, col = who[keep], col[keep]
                 columns = [np.full(who.size, x["node"]), qrow[who], qid[who], crow[col], cid[col], scores[who, col]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "query_row", "query_id", "row", "vec_id", "score"])
+                # Tiles of one block of queries that this task has are merged here; the block met longest ago leaves.
+                name = x["node"], int(qrow.min(initial=_LONG)), x["q_dim"]
+                before = held.pop(name, None)
+                held[name] = columns if before is None else _merged_lists(before, columns, k)
+                if len(held) > KEPT:
+                    yield told(held.pop(next(iter(held))))
+        for columns in held.values():
+            yield told(columns)
 
     return run
 
@@ -125,7 +150,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_
     spark = vectors.sparkSession
     rows = cut(quantized(vectors, scale), "vectors")
     shards = cut(rows.mapInArrow(_blocks(shard), BLOCKS), "shards")
-    queries = rows.filter(is_query).coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_blocks(query_block), BLOCKS)
+    asked = rows.filter(is_query)
+    n_queries = asked.count()
+    queries = asked.repartition(max(1, -(-n_queries // (8 * query_block)))).mapInArrow(_blocks(query_block), BLOCKS)
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Candidates' blocks lie in groups; every block of queries visits every group once. That is the search itself,
     # tile by tile: what travels is blocks, and what a tile leaves is k rows a query.
@@ -134,10 +161,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, query_
     tiles = left.join(right, "group").withColumn("node", F.col("group").cast("long"))
     tiles = tiles.select("node", "q_dim", "q_ids", "q_rows", "q_vectors", "dim", "ids", "rows", "vectors")
     lists = tiles.mapInArrow(_tile(k), LISTS)
-    # A node's queries are dealt over tasks by query, so merging a node is many small groups.
+    # A node's queries are dealt over so many parts that one merging call holds a bounded number of rows, however many queries there are.
     nodes = groups
     while True:
-        spread = lists.withColumn("_part", F.pmod(F.xxhash64("query_row"), F.lit(4 * groups)).cast("int"))
+        parts = max(groups, -(-n_queries * k * min(fan, nodes) * 2 // MERGED_ROWS))
+        spread = lists.withColumn("_part", F.pmod(F.xxhash64("query_row"), F.lit(parts)).cast("int"))
         lists = spread.groupBy("node", "_part").applyInPandas(lambda pdf: _merged(k)(pdf.drop(columns="_part")), LISTS)
         if nodes <= 1:
             break

@@ -169,7 +169,7 @@ def test_features_in_chunks(monkeypatch):
     """Words featured a few at a time, and a cache that overflows, change no score."""
     rng = random.Random(9)
     model = langid.fit([(speech(rng, t, 40), t) for t in TONGUES for _ in range(20)])
-    assert model.lexicon and set(model.lexicon.values()) <= set(range(1, 8))
+    assert model.lexicon and 1 < len(set(model.lexicon.values())) <= 7
     texts = [speech(rng, t, 50) for t in TONGUES for _ in range(8)] + ["z" * 3000 + " ka"]
     want = model.label(texts)
     monkeypatch.setattr(langid, "AT_ONCE", 3)
@@ -180,6 +180,21 @@ def test_features_in_chunks(monkeypatch):
             assert names == want[0][at : at + 5] and np.allclose(scores, want[1][at : at + 5], atol=1e-5)
 
 
+def test_every_language_has_a_lexicon():
+    rng = random.Random(11)
+    own = {f"l{i:02}": [f"{''.join(rng.choice('abcdefghij') for _ in range(5))}" for _ in range(12)] for i in range(70)}
+    model = langid.fit([(" ".join(rng.choices(words, k=30)), name) for name, words in own.items() for _ in range(8)], epochs=2)
+    assert all(any(w in model.lexicon for w in words) for words in own.values()) and len(set(model.lexicon.values())) >= 70
+
+
+def test_long_texts_give_a_stretch(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a" * 50), (2, "bc" * 500), (2, None)], "doc_id long, text string")
+    got = dict((y, t) for t, y in fitting.texts_of(df, [(1, "x"), (2, "y")], "lang", "string", longest=100))
+    assert got["x"] == "a" * 50 and len(got["y"]) == 100 and got["y"] in "bc" * 500
+    monkeypatch.setattr(fitting, "WHOLE", 60)
+    assert all(len(t) <= 30 for t, _ in fitting.texts_of(df, [(1, "x"), (2, "y")], "lang", "string"))
+
+
 def test_commonest_labels_are_sampled(spark):
     rows_ = spark.createDataFrame([(i, f"l{i % 5 if i < 500 else i}") for i in range(520)], "doc_id long, lang string")
     got = fitting.sample(rows_, "lang", 10, 4)
@@ -363,7 +378,7 @@ def test_cached_encoding_is_exact(texts):
 
 @pytest.mark.parametrize("cache", [5, 400_000])
 def test_cached_encoding_of_odd_spaces(monkeypatch, cache):
-    monkeypatch.setattr(tokenize, "CACHE", cache)
+    monkeypatch.setattr(tokenize.PieceEncoder, "kept", cache)
     texts = [f"a{x} b{x}{y}c  d{y}{x}" for x in "\x1c\x85\xa0 \n\t\r .,'" for y in "\x1f　 \n!s"] + [t for t in EDGE if t]
     texts += [f"word{m} É{m}{n}x Été{n}\nWord{m}\n\nword\t{m}" for m in ".,;:!?|" for n in ".|-)é1"] + ["y" * 5000 + ", " + "y" * 5000]
     for path in (BYTE, WORD):
@@ -429,7 +444,7 @@ def test_token_files(spark):
     assert tokencodes.read_documents(tokencodes.write_shards(docs_of(spark, []), WORD, 2)).count() == 0
 
 
-def test_single_tokens(spark):
+def test_single_tokens(spark, monkeypatch):
     """Any token by (document, position), from the stored shards."""
     texts = corpus(20)
     shards = tokencodes.write_shards(docs_of(spark, texts).repartition(3), WORD, 2, shard_ids=200)
@@ -438,6 +453,11 @@ def test_single_tokens(spark):
     got = tokencodes.lookup(shards, spark.createDataFrame(asked, "doc_id long, position long"), pieces=3).collect()
     assert sorted(got, key=repr) == sorted([(i, at, want.get((i, at))) for i, at in asked], key=repr)
     assert tokencodes.lookup(shards, spark.createDataFrame([], "doc_id long, position long")).count() == 0
+    index = tokencodes.index_of(shards)
+    for listed in (tokencodes.LISTED, 0):
+        monkeypatch.setattr(tokencodes, "LISTED", listed)
+        again = tokencodes.lookup(shards, spark.createDataFrame(asked + asked, "doc_id long, position long"), index=index).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, got + got))
 
 
 # --- 6 -----------------------------------------------------------------------------------------------------------------------
@@ -624,6 +644,17 @@ def targets_by_hand(sizes):
         full |= over
 
 
+def test_no_bin_of_keys_is_large(spark):
+    """Sources of prose, of code and of nothing but digits: whatever their weights, keys spread over bins."""
+    texts = ["plain words only", "x = {1: 2}; y[3] |= 4", "1234567890"]
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 3 + 1).cast("int")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    bins = mixing.keyed(df).groupBy("source", "_bin").agg(F.count("*").alias("n"))
+    most = {r.source: (r.most, r.mean) for r in bins.groupBy("source").agg(F.max("n").alias("most"), F.avg("n").alias("mean")).collect()}
+    assert all(a <= 60 and a < 8 * b for a, b in most.values())
+    order = mixing.keyed(df).select("_key", "_bin").orderBy("_key").collect()
+    assert all(x._bin <= y._bin for x, y in zip(order, order[1:], strict=False))
+
+
 def test_mixing(spark):
     rng = random.Random(8)
     data = [(i, "w " * rng.choice([1, 5, 20, 80]), rng.choice(["a", "b", "é", "z", None, "tiny", "big", "big", "big"])) for i in range(600)] + [(700, None, "a"), (701, "", "void"), (702, "x", "tiny")]
