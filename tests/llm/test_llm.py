@@ -376,7 +376,7 @@ def test_cached_encoding_is_exact(texts):
         assert [ids.tolist() for ids in tokenize.encoder(path).encode(texts)] == [ids_by_library(path, t) for t in texts]
 
 
-@pytest.mark.parametrize("cache", [5, 400_000])
+@pytest.mark.parametrize("cache", [5, 1_000_000])
 def test_cached_encoding_of_odd_spaces(monkeypatch, cache):
     monkeypatch.setattr(tokenize.PieceEncoder, "kept", cache)
     texts = [f"a{x} b{x}{y}c  d{y}{x}" for x in "\x1c\x85\xa0 \n\t\r .,'" for y in "\x1f　 \n!s"] + [t for t in EDGE if t]
