@@ -26,6 +26,8 @@ METHODS = ("average", "complete", "ward")
 FIT_ROWS = 2_000
 #: Pairs of a component that one task merges to the end, some 300 bytes each.
 UNIT_PAIRS = 1_000_000
+#: Clusters up to which a round broadcasts what it knows of each (a few numbers).
+BROADCAST_ROWS = 500_000
 NEUTRAL = 2
 STATE = "a long, b long, n long, similar double, squares double, far double, size_a long, size_b long, within_a double, within_b double"
 MERGES = "turn int, keep1 long, keep2 long, dissimilarity double, size long"
@@ -136,17 +138,31 @@ def _components(pairs: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has up to ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _round(state: DataFrame, method: str) -> DataFrame:
-    """One round of joins: the pairs that are left, and those that merged (``merged``, with d and size)."""
-    full = state.withColumn("d", _dissimilarity(method)).withColumn("order", F.struct(F.round("d", 12), F.md5(F.concat_ws("|", "a", "b")), "a", "b"))
-    ends = full.select("order", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("order").alias("best"))
-    mutual = ends.groupBy("best").agg(F.count("*").alias("both")).filter("both = 2").select(F.col("best.a").alias("a"), F.col("best.b").alias("b"))
+    """One round of joins: the pairs that are left, and those that merged (``merged``, with d and size).
+
+    Least distances by cluster first; only pairs that have one are hashed, to break ties.
+    """
+    full = state.withColumn("d", _dissimilarity(method)).withColumn("r", F.round("d", 12))
+    least = _small(stored(full.select("r", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.min("r").alias("least")), "least"))
+    for s in "ab":
+        full = full.join(least.select(F.col("id").alias(s), (F.col("least")).alias(f"least_{s}")), s)
+    tied = full.filter("r = least_a OR r = least_b")
+    ends = tied.select(F.struct(F.md5(F.concat_ws("|", "a", "b")).alias("h"), "a", "b").alias("order"), F.explode(F.array(F.when(F.col("r") == F.col("least_a"), F.col("a")), F.when(F.col("r") == F.col("least_b"), F.col("b")))).alias("id"))
+    best = ends.filter("id IS NOT NULL").groupBy("id").agg(F.min("order").alias("best"))
+    mutual = best.groupBy("best").agg(F.count("*").alias("both")).filter("both = 2").select(F.col("best.a").alias("a"), F.col("best.b").alias("b"))
     within = F.col("within_a") + F.col("within_b") + 2 * (F.col("squares") + F.col("size_a") * F.col("size_b") - F.col("n"))
-    merged = stored(full.join(mutual, ["a", "b"]).withColumns({"size": F.col("size_a") + F.col("size_b"), "within": within}).drop("order"), "merged")
+    merged = stored(tied.join(_small(stored(mutual, "mutual")), ["a", "b"]).withColumns({"size": F.col("size_a") + F.col("size_b"), "within": within}).drop("r", "least_a", "least_b"), "merged")
+    few = merged.count() <= BROADCAST_ROWS
     moved = state
     for s in "ab":
         new = merged.select(F.explode(F.array("a", "b")).alias(f"of_{s}"), F.col("a").alias(f"to_{s}"), F.col("size").alias(f"grown_{s}"), F.col("within").alias(f"spread_{s}"))
-        moved = moved.join(new, F.col(s) == F.col(f"of_{s}"), "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
+        moved = moved.join(F.broadcast(new) if few else new, F.col(s) == F.col(f"of_{s}"), "left").withColumns({f"to_{s}": F.coalesce(f"to_{s}", s), f"size_{s}": F.coalesce(f"grown_{s}", f"size_{s}"), f"within_{s}": F.coalesce(f"spread_{s}", f"within_{s}")})
     turned = F.col("to_a") > F.col("to_b")
     sides = {f"{c}_{s}": F.when(turned, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")) for c in ("to", "size", "within") for s, o in ("ab", "ba")}
     moved = moved.filter("to_a <> to_b").withColumns(sides)

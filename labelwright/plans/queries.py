@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelwright.functions import text as T
 from labelwright.operators import bayes, clean, cluster, distance, evaluate, knn, profile, wordlist
 from labelwright.operators.edits import apply_label_edits, edit_stored, read_editable, write_editable
-from labelwright.plans import evaluations
+from labelwright.plans import chains, evaluations
 from labelwright.plans.views import labelled, messages, passages, raw_messages, table, words
 from labelwright.sources.charset import detect_text
 from labelwright.sources.files import decode_text, read_labelled, read_raw_csv, read_words, read_words_csv, write_labelled
@@ -433,6 +433,17 @@ def knn_messages(spark, sf_dir):
     return knn.knn_neighbours(rows.filter("row_id % 5 = 0"), rows, 3).withColumn("distance", F.round("distance", 9))
 
 
+@query("label_by_seed", "WITH " + _COUNTS.format(ALNUM, "msg").replace("tok AS", "msg AS (SELECT conv_id * 1000 + turn AS row_id, text FROM conversations), tok AS") + f""", seeded AS (
+ SELECT msg.row_id, text, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM msg LEFT JOIN c USING (row_id)), known AS (SELECT row_id, text, {_LABEL.format(0.5)} AS label FROM seeded WHERE pos + neg >= 3),
+ asked AS (SELECT row_id, text FROM seeded WHERE pos + neg < 3), {_near_sql('asked', 'known', WS_SET, 0.0)}, nn AS (SELECT * FROM near WHERE rank <= 5), v AS (SELECT query_id, label, count(*)::DOUBLE AS w, min(rank) AS r FROM nn GROUP BY ALL),
+ best AS (SELECT query_id AS row_id, arg_max(label, struct_pack(a := w, b := -r, c := -label)) AS estimated FROM v GROUP BY query_id)
+ SELECT row_id, label AS estimated, 'words' AS by FROM known UNION ALL SELECT row_id, estimated, 'knn' FROM asked LEFT JOIN best USING (row_id)""")
+def seeded(spark, sf_dir):
+    """Chat messages with three words of the lists are the base by which the others are labelled."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    return chains.label_by_seed(rows, words(spark), "knn", least=3).select("row_id", "estimated", "by")
+
+
 @query("nearest_neighbour", f"WITH {LABELLED}, {_PASSAGES}, {_near_sql('passages', 'labelled', ASCII_SET, 1.0)} SELECT query_id, base_id, round(distance, 9) AS distance FROM near WHERE rank <= 1")
 def nearest_neighbour(spark, sf_dir):
     return cluster.nearest_neighbour(passages(spark, sf_dir), labelled(spark, sf_dir)).withColumn("distance", F.round("distance", 9))

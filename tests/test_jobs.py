@@ -6,8 +6,10 @@ from pathlib import Path
 from conftest import rows
 
 from labelwright.plans import jobs
+from labelwright.plans.chains import label_by_seed
 from labelwright.sources.files import read_labelled
 from labelwright.streaming.messages import clean_stream, label_stream
+from labelwright.tables import shared_dir
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -24,6 +26,26 @@ def test_clean_then_label(spark, tmp_path):
         assert labels.count() == 12 and all((r.label, n) in ((0, "awful"), (2, "plain"), (4, "lovely")) for r in labels.collect() for n in r.text.split() if n in ("awful", "plain", "lovely"))
 
 
+def test_chain_and_report(spark, tmp_path):
+    """Messages with listed words label those without; a cleaning job tells what it did, and leaves no tables behind."""
+    lines = ["rating,message"] + [f'2,"{"lovely" if i % 2 else "awful"} {"sun" if i % 2 else "rain"} {"today " + str(i) if i < 8 else ""}!"' for i in range(10)] + ['2,"sun later"', '2,"rain later"', '2,"RT gone"']
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "pos").write_text("lovely\n")
+    (tmp_path / "neg").write_text("awful\n")
+    shared = Path(shared_dir(spark))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    jobs.main(["clean", str(tmp_path / "raw.csv"), str(tmp_path / "clean"), "--report", str(tmp_path / "report")])
+    assert dict(rows(spark.read.parquet(str(tmp_path / "report" / "counts"))))["retweet deletion"] == 1
+    assert spark.read.parquet(str(tmp_path / "report" / "audit")).filter("action = 'delete'").count() == 1
+    for method in ("knn", "bayes", "cluster"):
+        jobs.main(["chain", method, str(tmp_path / "clean"), str(tmp_path / method), "--words", str(tmp_path / "pos"), str(tmp_path / "neg")])
+        got = {r.text.strip(): r.label for r in read_labelled(spark, str(tmp_path / method), escaped=True).collect()}
+        assert len(got) == 12 and (method == "cluster" or got["sun later"] == 4 and got["rain later"] == 0)
+    assert set(shared.iterdir()) == before
+    none = spark.createDataFrame([("nothing", "pos")], "word string, polarity string")
+    assert label_by_seed(spark.createDataFrame([(1, "a")], "row_id long, text string"), none).first().estimated is None
+
+
 def test_cells_are_decoded(spark, tmp_path):
     """Each cell by itself: UTF-8, windows-1252 and ISO-8859-1 in one file."""
     cells = ["été".encode(), "“été” €".encode("cp1252"), "été fini".encode("latin-1")]
