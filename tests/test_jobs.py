@@ -28,7 +28,7 @@ def test_clean_then_label(spark, tmp_path):
 
 def test_chain_and_report(spark, tmp_path):
     """Messages with listed words label those without; a cleaning job tells what it did, and leaves no tables behind."""
-    lines = ["rating,message"] + [f'2,"{"lovely" if i % 2 else "awful"} {"sun" if i % 2 else "rain"} {"today " + str(i) if i < 8 else ""}!"' for i in range(10)] + ['2,"sun later"', '2,"rain later"', '2,"RT gone"']
+    lines = ["rating,message"] + [f'2,"{"lovely" if i % 2 else "awful"} {"sunny" if i % 2 else "rainy"} {"today " + str(i) if i < 8 else ""}!"' for i in range(10)] + ['2,"sunny later"', '2,"rainy later"', '2,"RT gone"']
     (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "pos").write_text("lovely\n")
     (tmp_path / "neg").write_text("awful\n")
@@ -40,7 +40,7 @@ def test_chain_and_report(spark, tmp_path):
     for method in ("knn", "bayes", "cluster"):
         jobs.main(["chain", method, str(tmp_path / "clean"), str(tmp_path / method), "--words", str(tmp_path / "pos"), str(tmp_path / "neg")])
         got = {r.text.strip(): r.label for r in read_labelled(spark, str(tmp_path / method), escaped=True).collect()}
-        assert len(got) == 12 and (method == "cluster" or got["sun later"] == 4 and got["rain later"] == 0)
+        assert len(got) == 12 and (method == "cluster" or got["sunny later"] == 4 and got["rainy later"] == 0)
     assert set(shared.iterdir()) == before
     none = spark.createDataFrame([("nothing", "pos")], "word string, polarity string")
     assert label_by_seed(spark.createDataFrame([(1, "a")], "row_id long, text string"), none).first().estimated is None
