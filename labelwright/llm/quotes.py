@@ -64,37 +64,40 @@ def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, passage, level, linked_turn, matched: each quoted passage's original, null if none.
 
     The original is the earlier message with most of the passage's units, the later one on ties. For each unit only its latest
-    earlier speaker counts, found by one running window over (conversation, unit): no pairs are made. Only quoted units travel.
+    earlier speaker counts, found by a running maximum over (conversation, unit): no pairs are made, and a line that a conversation repeats
+    without end is many tasks'. Only quoted units travel.
     """
     quoted = parsed.select("conv_id", "turn", F.posexplode("quotes").alias("passage", "q")).select("conv_id", "turn", "passage", F.col("q.level").alias("level"), F.explode(_units(F.col("q.lines"))).alias("unit"))
     quoted = quoted.withColumn("hash", F.xxhash64("unit"))
     said = parsed.filter("text <> ''").select("conv_id", "turn", F.explode(_units(F.split("text", "\n"))).alias("unit")).withColumn("hash", F.xxhash64("unit"))
     wanted = quoted.select("conv_id", "hash").distinct()
     said = said.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-    both = quoted.select("*", F.lit(None).cast("long").alias("spoken")).unionByName(said.select("conv_id", "turn", F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("level"), "unit", "hash", F.col("turn").alias("spoken")))
-    earlier = Window.partitionBy("conv_id", "hash", "unit").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("original", F.max("spoken").over(earlier)).filter("passage IS NOT NULL")
+    key = ["conv_id", "hash", "unit", "turn"]
+    both = quoted.select(*key, F.lit(None).cast("long").alias("spoken")).unionByName(said.select(*key, F.col("turn").alias("spoken"))).groupBy(*key).agg(F.max("spoken").alias("spoken"))
+    latest = running(both, key[:3], key[3:], "spoken", highest=True).select(*key, F.col("before").alias("original"))
+    found = quoted.join(latest, key, "left")
     votes = found.groupBy("conv_id", "turn", "passage", "level", "original").agg(F.count("*").alias("n"))
     best = F.max_by(F.struct("original", "n"), F.struct(F.col("original").isNotNull(), "n", "original"))
     return votes.groupBy("conv_id", "turn", "passage", "level").agg(best.alias("best")).select("conv_id", "turn", "passage", "level", F.col("best.original").alias("linked_turn"), F.when(F.col("best.original").isNotNull(), F.col("best.n")).otherwise(0).alias("matched"))
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``value`` over the earlier rows of equal keys, in ``order``.
+def running(rows: DataFrame, keys: list[str], order: list[str], value: str, highest: bool = False) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over the earlier rows of equal keys, in ``order``, or its maximum, null without any (``highest``).
 
     Rows are dealt by ranges of keys and order, so equal keys may lie in many parts: a sum inside the part and one over the
     parts before. Only keys that go on from one part to the next have the latter, at most one a part.
     """
     dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()), "dealt")
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*keys, "part").agg(F.sum(value).alias("whole")).withColumn("offset", F.sum("whole").over(earlier)).filter("offset IS NOT NULL")
+    fold = F.max if highest else F.sum
+    offsets = dealt.groupBy(*keys, "part").agg(fold(value).alias("whole")).withColumn("offset", fold("whole").over(earlier)).filter("offset IS NOT NULL")
     offsets = offsets.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("part").alias("of_part"), "offset")
     own = Window.partitionBy(*keys, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.withColumn("inside", F.sum(value).over(own))
+    inside = dealt.withColumn("inside", fold(value).over(own))
     same = F.col("part") == F.col("of_part")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    before = F.coalesce("inside", F.lit(0)) + F.coalesce("offset", F.lit(0))
+    before = F.greatest("inside", "offset") if highest else F.coalesce("inside", F.lit(0)) + F.coalesce("offset", F.lit(0))
     return inside.join(F.broadcast(offsets), same, "left").select(*rows.columns, before.cast("long").alias("before"))
 
 

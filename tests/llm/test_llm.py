@@ -596,6 +596,19 @@ def test_quote_of_repeated_words_links_latest(spark):
     assert got[n].reply_to == n - 1 and got[n + 1].reply_to == n and got[n + 1].position == n + 1
 
 
+def test_a_line_that_all_say_and_quote_is_many_tasks(spark):
+    n = 400
+    df = spark.createDataFrame([(1, t, "user", "> +1\n+1" if t else "+1") for t in range(n)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = quotes.links(quotes.parse(df.repartition(3))).collect()
+        parts = quotes.running(df.withColumn("spoken", F.col("turn")), ["conv_id"], ["turn"], "spoken", highest=True).select("turn", "before", F.spark_partition_id().alias("p"))
+        assert len({r.p for r in parts.collect()}) > 1 and all(r.before == (r.turn - 1 if r.turn else None) for r in parts.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.turn, r.linked_turn, r.matched) for r in got) == [(t, t - 1, 1) for t in range(1, n)]
+
+
 def test_reply_order_by_hand(spark):
     """Against paths of turns, on chains, stars, forests, repeated and missing turns; no array grows with a thread's length."""
     rng = random.Random(5)
