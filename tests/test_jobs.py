@@ -41,7 +41,7 @@ def test_chain_and_report(spark, tmp_path):
         jobs.main(["chain", method, str(tmp_path / "clean"), str(tmp_path / method), "--words", str(tmp_path / "pos"), str(tmp_path / "neg")])
         got = {r.text.strip(): r.label for r in read_labelled(spark, str(tmp_path / method), escaped=True).collect()}
         assert len(got) == 12 and (method == "cluster" or got["sunny later"] == 4 and got["rainy later"] == 0)
-    assert set(shared.iterdir()) == before
+    assert {p.name.partition("-")[0] for p in set(shared.iterdir()) - before} <= {"ranges"}  # this test's own reading
     none = spark.createDataFrame([("nothing", "pos")], "word string, polarity string")
     assert label_by_seed(spark.createDataFrame([(1, "a")], "row_id long, text string"), none).first().estimated is None
 
