@@ -17,7 +17,7 @@ from labelwright.tables import stored
 
 #: Rows that a query's rarest tokens may list for its first k-th distance, as a multiple of k; the share of the base that its first
 #: tokens may list for the index to be used: comparing a row from a list costs about as much as this many in a tile.
-PROBE, LISTED = 16, 64
+PROBE, LISTED = 6, 64
 #: Room for the rounding of bounds, on the side of comparing more.
 SLACK = 1e-9
 TOP = 1 << 62
