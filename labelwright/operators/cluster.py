@@ -130,7 +130,7 @@ def _components(pairs: DataFrame) -> DataFrame:
     ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "components")
     while True:
-        near = ends.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = ends.join(_small(labels).select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
         moved = labels.join(near, "id").join(jump, "component", "left")
         labels = stored(moved.select("id", F.col("component").alias("was"), F.least("near", "component", "further").alias("component")), "components")
@@ -191,7 +191,7 @@ def linkage(df: DataFrame, method: str = "average", text_col: str = "text", id_c
     if method == "ward" or state.count() <= unit_pairs:
         state = state.withColumn("component", F.lit(0).cast("long"))  # few pairs: one unit
     else:
-        state = stored(state.join(_components(state).withColumnRenamed("id", "a"), "a").select(*state.columns, "component"), "pairs")
+        state = stored(state.join(_small(_components(state)).withColumnRenamed("id", "a"), "a").select(*state.columns, "component"), "pairs")
     tree, turn = None, 0
     while True:
         sizes = stored(state.groupBy("component").agg(F.count("*").alias("pairs")), "component-sizes")
