@@ -62,3 +62,37 @@ def test_candidates_dont_grow_as_the_base(spark):
         seen.append(sum(r.listed for r in ways) / len(ways))
     assert seen[1] < 3 * seen[0] and seen[1] < 10
     assert rows(knn.knn_neighbours(df, base, 1).select("base_id")) == sorted([(i,) for i, _ in queries], key=repr)
+
+
+def test_index_first_gives_the_same(spark, monkeypatch):
+    """Few pairs go by tiles alone; here an index goes first, for all queries or for those of short lists."""
+    monkeypatch.setattr(knn, "FEW_PAIRS", -1)
+    monkeypatch.setattr(knn, "_pays", lambda *a: True)
+    rng = random.Random(8)
+    base = [(3 * i, words(rng, rng.randint(0, 12), 300)) for i in range(250)] + [(1000, ""), (1001, None), (1002, "rare alone")]
+    queries = [(i, words(rng, rng.randint(1, 12), 300)) for i in range(20)] + [(100, ""), (102, "nobody has these"), (103, "rare nobody"), (104, base[7][1]), (105, "w0")]
+    df, b = frames(spark, queries, base)
+    for listed in (0, 16):
+        monkeypatch.setattr(knn, "LISTED", listed)
+        assert found(df, b, 3) == brute(queries, base, 3)
+
+
+def test_lists_of_many_rows_go_by_tiles(spark):
+    """A row from a list moves two whole sets, so a query takes no more of them when the base grows."""
+    base = [(i, f"g{i // 40}") for i in range(4_000)]
+    queries = [(i, f"g{i} more") for i in range(5)]
+    df, b = frames(spark, queries, base)
+    assert not any(r.indexed for r in knn.knn_ways(df, b, 1).collect())
+    assert found(df, b, 1) == brute(queries, base, 1)
+
+
+def test_blocks_arent_repeated(spark, monkeypatch):
+    """Each block is kept once whatever the number of partitions, and a task hands on k rows a query."""
+    rng = random.Random(9)
+    base = [(i, words(rng, 8, 300)) for i in range(300)]
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(knn, "BASE_BLOCK", 10)
+    df, b = frames(spark, base[:40], base)
+    plan = knn.knn_neighbours(df, b, 2)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan.lower()
+    assert found(df, b, 2) == brute(base[:40], base, 2)
