@@ -246,3 +246,15 @@ def test_columns_of_the_results_names(spark, base):
     odd = base.withColumns({"pos": F.lit("x"), "neg": F.lit("y"), "estimated": F.lit("z")})
     for got in (wordlist.classify_wordlist(odd, words), knn.classify_knn(odd, base, 2), bayes.classify_bayes(odd, bayes.train_bayes(base)), cluster.classify_cluster(odd, base, 2)):
         assert got.columns.count("estimated") == 1 and got.select("estimated").filter("estimated IN (0, 2, 4)").count() == base.count()
+
+
+def test_likelihoods_arent_dealt_by_label(spark, base):
+    """Three labels make three groups: counts stay where they are and meet a row a label."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bayes.train_bayes(base).likelihood._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "BroadcastHashJoin" in joins[0]
