@@ -258,3 +258,8 @@ def test_likelihoods_arent_dealt_by_label(spark, base):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "BroadcastHashJoin" in joins[0]
+
+
+def test_a_fitted_tree_is_one_unit():
+    """All pairs of the rows that a labeller's tree is fitted on are merged in one task, without rounds of joins."""
+    assert cluster.UNIT_PAIRS >= cluster.FIT_ROWS * (cluster.FIT_ROWS - 1) // 2
