@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from labelwright.llm.common import slices
 from labelwright.llm.tokenize import encoder
 
+#: Bytes of text encoded at a time, and stretches that a worker keeps: what an encoder takes beside a full heap stays small.
+BYTES, KEPT = 1 << 20, 500_000
 #: ids is little-endian unsigned 32-bit.
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long"
 
@@ -40,10 +42,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 1024,
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, KEPT)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in slices(batch.column(1)):
+            for a, b, texts in slices(batch.column(1), BYTES):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts), strict=True):
                     data = memoryview(np.append(ids, np.uint16(end_id)).astype("<u4").tobytes())

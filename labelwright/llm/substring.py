@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from labelwright.llm.common import cut, hold, slices
+from labelwright.llm.common import cut, hold, release, slices
 from labelwright.llm.words import Words, least_of, mix, powers, runs_of
 
 WINDOW, MINIMISER = 35, 4
@@ -269,6 +269,8 @@ def _count(window: int):
         times = n[string].astype(np.int64)
         from_place = np.cumsum(n, dtype=np.int64) - n
         place = np.repeat(from_place[string] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        del parts, strings
+        release()
         k1, k2, start = places[:, place]
         return pa.table([k1, k2, start + np.repeat(low, times), start + np.repeat(high, times) + window], names=names)
 
@@ -315,6 +317,7 @@ def _kept(spacing: bool):
                     for column, value in zip(out, (n, n - len(words), kept), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["row", "n_words", "n_removed", "kept"])
+        release()
 
     return run
 

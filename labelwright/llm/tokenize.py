@@ -199,11 +199,14 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def _encoder(path: str, kept: int) -> PieceEncoder:
+    made = PieceEncoder(path)
+    made.kept = kept
+    return made
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The encoder of a file, one for each Python worker, with its cache."""
-    hold(f"tokens {path}", _encoder.cache_clear)
-    return _encoder(path)
+def encoder(path: str, kept: int | None = None) -> PieceEncoder:
+    """The encoder of a file, one for each Python worker, with its cache of ``kept`` stretches (``PieceEncoder.kept`` if none is named)."""
+    kept = kept or PieceEncoder.kept
+    hold(f"tokens {path} {kept}", _encoder.cache_clear)
+    return _encoder(path, kept)

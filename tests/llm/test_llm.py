@@ -740,3 +740,16 @@ def test_top_k(spark, big):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert rows(topk.top_k(few, F.col("vec_id") % 20 == 0)) == [(0, 1, 1, 8192)]
     assert topk.top_k(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_an_encoder_keeps_as_much_as_it_is_asked_to():
+    """Packing names a smaller cache than other users of a file: a worker then holds that and one slice, with the same ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i} x{i * 7919}y" for i in range(at, at + 200)) for at in range(0, 8_000, 200)]
+    small, usual = tokenize.encoder(path, 1_000), tokenize.PieceEncoder(path)
+    assert small.kept == 1_000 and packing.KEPT < usual.kept and packing.BYTES <= 1 << 20
+    for text in texts:
+        assert small.encode([text])[0].tolist() == usual.encode([text])[0].tolist()
+        assert len(small.begins) <= 1_000 + 2
+    assert len(usual.begins) > 8_000
+    assert tokenize.encoder(path).kept == usual.kept
