@@ -263,3 +263,16 @@ def test_likelihoods_arent_dealt_by_label(spark, base):
 def test_a_fitted_tree_is_one_unit():
     """All pairs of the rows that a labeller's tree is fitted on are merged in one task, without rounds of joins."""
     assert cluster.UNIT_PAIRS >= cluster.FIT_ROWS * (cluster.FIT_ROWS - 1) // 2
+
+
+@pytest.mark.parametrize("method", ["average", "complete"])
+def test_dense_trees_are_the_same_by_a_matrix(spark, method, monkeypatch):
+    """Rows of which most share a token are merged by rows of a matrix, ties, strangers and rows without tokens among them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.choice(14, rng.integers(2, 6), replace=False)) for _ in range(70)] + ["", "alone", None]
+    df = spark.createDataFrame([(i * 5 % 89, t) for i, t in enumerate(texts)], "row_id long, text string")
+    columns = ["step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9), "size"]
+    want = rows(cluster.linkage(df, method).select(*columns))
+    for name in ("_round", "_components"):
+        monkeypatch.setattr(cluster, name, None)
+    assert rows(cluster.linkage(df, method, unit_pairs=600).select(*columns)) == want
