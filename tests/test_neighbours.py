@@ -96,3 +96,17 @@ def test_blocks_arent_repeated(spark, monkeypatch):
     plan = knn.knn_neighbours(df, b, 2)._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "explode" not in plan.lower()
     assert found(df, b, 2) == brute(base[:40], base, 2)
+
+
+def test_few_base_rows_need_no_order_of_the_queries(spark, monkeypatch):
+    """Queries meet a base of one block where they were read: nothing is dealt by size, and the answers are those of the ordered way."""
+    rng = random.Random(10)
+    base = [(i, words(rng, rng.randint(0, 9), 200)) for i in range(60)] + [(90, ""), (91, None)]
+    queries = [(i, words(rng, rng.randint(0, 9), 200)) for i in range(50)] + [(70, "nobody has these"), (71, None)]
+    df, b = frames(spark, queries, base)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "repartitionByRange", None)
+        few = found(df.repartition(3), b.repartition(4), 3)
+    assert few == brute(queries, base, 3)
+    monkeypatch.setattr(knn, "FEW_ROWS", 0)
+    assert found(df, b, 3) == few
