@@ -276,3 +276,21 @@ def test_dense_trees_are_the_same_by_a_matrix(spark, method, monkeypatch):
     for name in ("_round", "_components"):
         monkeypatch.setattr(cluster, name, None)
     assert rows(cluster.linkage(df, method, unit_pairs=600).select(*columns)) == want
+
+
+@pytest.mark.parametrize("method, large, listed", [("average", 2, 1), ("complete", 16, 4)])
+def test_dense_trees_are_merged_without_a_stored_matrix(spark, method, large, listed, monkeypatch):
+    """Whatever is kept of clusters between rounds, the tree is the same, and no table of all pairs is written."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.choice(13, rng.integers(2, 6), replace=False)) for _ in range(36)] + ["", "alone", None]
+    df = spark.createDataFrame([(i * 5 % 89, t) for i, t in enumerate(texts)], "row_id long, text string")
+    columns = ["step", "cluster1", "cluster2", "new_cluster", F.round("dissimilarity", 9), "size"]
+    want = rows(cluster.linkage(df, method).select(*columns))
+    for name, value in (("LARGE", large), ("LEAST_NEXT", listed), ("MOST_NEXT", listed), ("ASKED", 90)):
+        monkeypatch.setattr(cluster.matrix, name, value)
+    written = []
+    keep = cluster.matrix.stored
+    monkeypatch.setattr(cluster.matrix, "stored", lambda df, *a, **b: written.append((found := keep(df, *a, **b))) or found)
+    assert rows(cluster.linkage(df, method, unit_pairs=20).select(*columns)) == want
+    assert max(t.count() for t in written) <= len(texts)  # no row a pair
+    assert sum(len(r.cells) for t in written if "cells" in t.columns for r in t.collect()) < 8 * 20 * 20  # cells of the last clusters only
