@@ -294,3 +294,15 @@ def test_dense_trees_are_merged_without_a_stored_matrix(spark, method, large, li
     assert rows(cluster.linkage(df, method, unit_pairs=20).select(*columns)) == want
     assert max(t.count() for t in written) <= len(texts)  # no row a pair
     assert sum(len(r.cells) for t in written if "cells" in t.columns for r in t.collect()) < 8 * 20 * 20  # cells of the last clusters only
+
+
+def test_trees_are_of_the_whole_base(spark, monkeypatch):
+    """A base above ``FIT_ROWS`` rows isn't sampled for the tree, unless a caller asks for it."""
+    base = spark.range(cluster.FIT_ROWS + 1).select(F.col("id").alias("row_id"), F.lit("a").alias("text"), F.lit(0).alias("label"))
+    seen = []
+    monkeypatch.setattr(cluster, "linkage", lambda df, *more: seen.append(df.count()) or df)
+    monkeypatch.setattr(cluster, "classify_by_tree", lambda df, base, tree, *more: df)
+    cluster.classify_cluster(base, base)
+    assert seen == [cluster.FIT_ROWS + 1]
+    cluster.fit_tree(base, fit_rows=5)
+    assert seen[1:] == [5]
