@@ -2,8 +2,9 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from labelwright.operators import knn
+from labelwright.operators import distance, knn
 
 
 def words(rng, n, vocabulary):
@@ -110,3 +111,13 @@ def test_few_base_rows_need_no_order_of_the_queries(spark, monkeypatch):
     assert few == brute(queries, base, 3)
     monkeypatch.setattr(knn, "FEW_ROWS", 0)
     assert found(df, b, 3) == few
+
+
+def test_a_task_is_told_a_block_once(spark):
+    """Of blocks that meet in many tiles, each range's are sent to its Python process once, and every pair is still met."""
+    df, _ = frames(spark, [(i, f"a w{i} w{i % 7}") for i in range(60)], [(0, "a")])
+    every = distance.token_sets(df).withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")}).coalesce(1)
+    pairs = distance.tiles(distance.blocks(every, 10), distance.blocks(every, 20))
+    sent = pairs.agg(F.count("*"), F.count("q_hashes"), F.count("b_hashes")).first()
+    assert tuple(sent) == (18, 6, 3)  # one range of either side
+    assert distance.pairwise_distances(df).count() == 60 * 59 // 2
